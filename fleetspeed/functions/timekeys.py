@@ -23,9 +23,10 @@ def month_text(year: int, month: int) -> str:
     return f"{year:04d}-{month:02d}"
 
 
-def previous_month(text: str) -> str:
-    year, month = int(text[:4]), int(text[5:7])
-    return month_text(year - 1, 12) if month == 1 else month_text(year, month - 1)
+def shift_month(text: str, months: int) -> str:
+    """The ``yyyy-MM`` text some months later (or earlier)."""
+    count = int(text[:4]) * 12 + int(text[5:7]) - 1 + months
+    return month_text(count // 12, count % 12 + 1)
 
 
 def months_between(first: str, last: str) -> Column:
