@@ -19,15 +19,16 @@ ROUTE_MONTH = ("line_id", "year_month")
 MEASURES = ("total_distance_km", "total_time_hours", "valid_segments", "skipped_segments")
 
 
-def route_month_totals(segments: DataFrame) -> DataFrame:
+def route_month_totals(segments: DataFrame, *part: str) -> DataFrame:
     """Sums per line and month over all valid datagrams.
 
     Rows that close no segment add nothing but keep their month present, so the months of
-    the result are exactly the observed months.
+    the result are exactly the observed months.  With ``part`` columns (a bus shard, a day)
+    the result holds partial totals for ``merged_totals``.
     """
     good = F.col("segment_ok")
     hours = hours_of(F.col("gap_us"))
-    return segments.groupBy(*ROUTE_MONTH).agg(
+    return segments.groupBy(*part, *ROUTE_MONTH).agg(
         F.coalesce(F.sum(F.when(good, F.col("km"))), F.lit(0.0)).alias("total_distance_km"),
         F.coalesce(F.sum(F.when(good, hours)), F.lit(0.0)).alias("total_time_hours"),
         F.count_if(good).alias("valid_segments"),

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamReader
 from fleetspeed.schema import DATAGRAM_SCHEMA
 from fleetspeed.sources.datagrams import file_path, place_in_file
 
-BYTES_PER_TRIGGER = "256m"
+BYTES_PER_TRIGGER = 256 * 1024 * 1024
 
 
 def _paced(reader: DataStreamReader, files_per_trigger: int | None) -> DataStreamReader:
