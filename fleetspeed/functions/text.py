@@ -35,14 +35,13 @@ def trimmed(text: Column) -> Column:
 
 
 def to_int(text: Column) -> Column:
-    """Strict integer: optional sign and digits only, else NULL."""
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
+    """Strict integer (optional sign and digits), else NULL."""
+    return text.try_cast("int")
 
 
 def to_long_lenient(text: Column) -> Column:
     """Integer text, or any decimal text cut to its integer part, else NULL."""
-    exact = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long"))
-    return F.coalesce(exact, text.try_cast("double").try_cast("long"))
+    return F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"))
 
 
 def quoted(value: Column) -> Column:

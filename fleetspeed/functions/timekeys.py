@@ -19,6 +19,16 @@ def year_month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def month_number(ts: Column) -> Column:
+    """``yyyymm`` as a number: cheaper to compute and to group by than the text."""
+    return F.year(ts) * 100 + F.month(ts)
+
+
+def month_of_number(number: Column) -> Column:
+    """``yyyy-MM`` text of a month number."""
+    return F.format_string("%04d-%02d", (number / 100).cast("int"), number % 100)
+
+
 def month_text(year: int, month: int) -> str:
     return f"{year:04d}-{month:02d}"
 
@@ -49,6 +59,15 @@ def parse_timestamp(text: Column, *patterns: str) -> Column:
     return F.coalesce(*tries)
 
 
+def parse_seconds(text: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` to TIMESTAMP_NTZ; any other text gives NULL.
+
+    The cast alone would also take bare dates and other forms.
+    """
+    fits = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$")
+    return F.when(fits, text.try_cast("timestamp_ntz"))
+
+
 def inferred_month(text: Column, fallback: str) -> Column:
     """Month of a timestamp text, or ``fallback`` when the text cannot be read."""
     return F.coalesce(year_month(parse_timestamp(text, *TIMESTAMP_PATTERNS)), F.lit(fallback))
@@ -60,12 +79,13 @@ def iso_text(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm"), seconds)
 
 
-def micros_between(earlier: Column, later: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", earlier, later)
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zoneless timestamp (the session time zone is UTC)."""
+    return F.unix_micros(ts.cast("timestamp"))
 
 
-def epoch_micros(ts: Column) -> Column:
-    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+def micros_between(earlier: Column, later: Column) -> Column:
+    return epoch_micros(later) - epoch_micros(earlier)
 
 
 def whole_seconds_between(earlier: Column, later: Column) -> Column:

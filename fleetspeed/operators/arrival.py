@@ -1,7 +1,7 @@
 """Ordered state per key that also holds when one key owns a large share of the rows.
 
 A running window needs all rows of its key in one task.  Trips are short, but a broken
-vehicle id can own a third of the table, and windows per bus or line grow with the history.
+vehicle id can own a third of the table, and windows per bus grow with the history.
 So keys above a row limit are cut into consecutive slices: every slice is windowed on its
 own and starts from the state that the earlier slices ended with.  That works because the
 state is a maximum, which can be taken per slice first and then over the slice results.
@@ -38,49 +38,83 @@ def crowded_keys(df: DataFrame, keys: Sequence[str], position: Column, slice_row
     )
 
 
+def _slice_ends(rows: DataFrame, by: Sequence[Column | str], rank: list[str], carry: list[str]) -> DataFrame:
+    """Highest-ranked row per group as a struct."""
+    if len(rank) > 1:
+        return rows.groupBy(*by).agg(F.max(F.struct(*rank, *carry)).alias("_end"))
+    # With a single rank all buffers have a fixed width, so partial results are hashed and
+    # the rows need no sort.
+    top = rank[0]
+    found = rows.groupBy(*by).agg(
+        F.max(top).alias("_top"), *[F.max_by(c, top).alias(f"_top_{c}") for c in carry]
+    )
+    names = [c if isinstance(c, str) else SLICE for c in by]
+    return found.select(
+        *names,
+        F.struct(F.col("_top").alias(top), *[F.col(f"_top_{c}").alias(c) for c in carry]).alias("_end"),
+    )
+
+
 def prior_max(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    state: Column,
+    rank: Sequence[str],
+    carry: Sequence[str],
     into: str,
     slice_rows: int | None,
-    position: Column | None = None,
+    counts: Column | None = None,
 ) -> DataFrame:
-    """Add ``into``: the largest ``state`` among the strictly earlier rows of the same key.
+    """Add ``into``: the highest-ranked row among the strictly earlier rows of the same key.
 
-    ``state`` is a struct; rows where it is NULL do not count.  ``order`` must be a total order
-    within a key.  ``position`` is a number that never falls along ``order`` (default: the
-    first order column); it places rows in slices and does not affect the result.
+    ``order`` is a total order within a key and starts with a number, by which crowded keys are
+    sliced.  ``rank`` columns, ``carry`` columns and the result are kept as one struct; where
+    ``counts`` is false a row is not a candidate.  The result is NULL without a candidate.
     """
-    keys, order = list(keys), list(order)
-    df = df.withColumn("_state", state)
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    keys, order, rank, carry = list(keys), list(order), list(rank), list(carry)
+    columns = df.columns
+    # The shuffle carries the state as one struct instead of its columns and a copy of them.
+    df = df.withColumn("_state", F.struct(*rank, *carry))
+    packed = [c for c in (*rank, *carry) if c not in (*keys, *order)] if counts is None else []
+    candidate = F.col("_state") if counts is None else F.when(counts, F.col("_state"))
+
+    def unpacked(result: DataFrame) -> DataFrame:
+        return result.select(
+            *[F.col("_state")[c].alias(c) if c in packed else F.col(c) for c in columns], into
+        )
+
+    def highest_before(*by: str) -> Column:
+        window = Window.partitionBy(*by).orderBy(*order)
+        return F.max(candidate).over(window.rowsBetween(Window.unboundedPreceding, -1))
+
     if slice_rows is None:
-        window = before(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(into, F.max("_state").over(window)).drop("_state")
+        return unpacked(df.drop(*packed).withColumn(into, highest_before(*keys)))
 
-    position = (F.col(order[0]) if position is None else position).cast("double")
+    position = F.col(order[0]).cast("double")
     crowded = F.broadcast(crowded_keys(df, keys, position, slice_rows))
     bucket = F.width_bucket(position, F.col("_lo"), F.col("_hi"), F.col("_slices"))
 
-    # State each slice of a crowded key starts from.
-    ends = (
-        df.join(crowded, keys)
-        .groupBy(*keys, bucket.alias(SLICE))
-        .agg(F.max("_state").alias("_end"))
+    # The state every slice of a crowded key starts from.
+    candidates = df if counts is None else df.where(counts)
+    ends = _slice_ends(candidates.join(crowded, keys), [*keys, bucket.alias(SLICE)], rank, carry)
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # A slice without candidates has no end of its own but still needs a start.
+    every = (
+        crowded.select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_slices") + 1)).alias(SLICE))
+    )
+    starts = (
+        every.join(ends, [*keys, SLICE], "left")
+        .withColumn("_start", F.max("_end").over(earlier))
+        .where(F.col("_start").isNotNull())
+        .drop("_end")
     )
-    starts = ends.withColumn(
-        "_start", F.max("_end").over(before(Window.partitionBy(*keys).orderBy(SLICE)))
-    ).drop("_end")
-
     sliced = (
-        df.join(crowded, keys, "left")
+        df.drop(*packed)
+        .join(crowded, keys, "left")
         .withColumn(SLICE, F.coalesce(bucket, F.lit(0)))
         .drop("_lo", "_hi", "_slices")
         .join(starts, [*keys, SLICE], "left")
     )
-    window = before(Window.partitionBy(*keys, SLICE).orderBy(*order))
-    return sliced.withColumn(
-        into, F.greatest(F.col("_start"), F.max("_state").over(window))
-    ).drop("_state", "_start", SLICE)
+    return unpacked(
+        sliced.withColumn(into, F.greatest(F.col("_start"), highest_before(*keys, SLICE)))
+    )

@@ -52,8 +52,9 @@ def state_label(odometer: Column, previous_routine_odometer: Column) -> Column:
 
 def operational_state(datagrams: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add ``operational_state``: critical events do not touch the remembered odometer."""
-    remembered = F.when(~is_exceptional(), F.struct("seq", "odometer"))
-    with_prior = prior_max(datagrams, ["bus_id"], ["seq"], remembered, "_routine", limits.slice_rows)
+    with_prior = prior_max(
+        datagrams, ["bus_id"], ["seq"], ["seq"], ["odometer"], "_routine", limits.slice_rows, ~is_exceptional()
+    )
     label = state_label(F.col("odometer"), F.col("_routine.odometer"))
     return with_prior.withColumn("operational_state", label).drop("_routine")
 
@@ -108,9 +109,8 @@ def critical_alerts(zoned: DataFrame) -> DataFrame:
 
 def signal_gaps(datagrams: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Silences longer than the limit between consecutive arrivals of a bus."""
-    state = F.struct("seq", "ts")
     rows = datagrams.select("bus_id", "seq", "ts")
-    paired = prior_max(rows, ["bus_id"], ["seq"], state, "_prev", limits.slice_rows)
+    paired = prior_max(rows, ["bus_id"], ["seq"], ["seq"], ["ts"], "_prev", limits.slice_rows)
     silent = whole_seconds_between(F.col("_prev.ts"), F.col("ts"))
     return paired.select(
         "bus_id", "seq", F.col("_prev.ts").alias("last_ts"), "ts", silent.alias("silent_s")
@@ -276,8 +276,10 @@ def alerts_with_position(alerts: DataFrame, updates: DataFrame, limits: Limits =
         F.struct(*[c for c in alerts.columns if c not in shared]).alias("_alert"),
     )
     both = moves.unionByName(asks, allowMissingColumns=True)
-    known = F.when(F.col("_kind") == 0, F.struct("seq", "lat", "lon"))
-    placed = prior_max(both, ["bus_id"], ["seq", "_kind"], known, "_pos", limits.slice_rows)
+    known = F.col("_kind") == 0
+    placed = prior_max(
+        both, ["bus_id"], ["seq", "_kind"], ["seq"], ["lat", "lon"], "_pos", limits.slice_rows, known
+    )
     return placed.where(F.col("_kind") == 1).select(
         *shared,
         "_alert.*",

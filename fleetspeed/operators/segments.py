@@ -7,8 +7,9 @@ Three ways to choose the earlier end of a segment are offered:
 ``sorted``     reports of a trip and month are ordered by time first, so none is late.
 ``arrival``    reports of a trip and month are paired as they arrived, late ones too.
 
-Result columns: the input, ``year_month``, ``late``, ``gap_us``, ``km`` and ``segment_ok``.
-``segment_ok`` is NULL where a report closes no segment (first of its trip, or late).
+Result columns: the trip key, ``seq``, ``ts_us`` (microseconds since 1970), ``lat``, ``lon``,
+``month_no``, ``late``, ``gap_us``, ``km`` and ``segment_ok``.  The last one is NULL where a
+report closes no segment (first of its trip, or late).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspeed.functions import geo
-from fleetspeed.functions.timekeys import epoch_micros, micros_between, year_month
+from fleetspeed.functions.timekeys import epoch_micros, month_number, month_of_number
 from fleetspeed.operators.arrival import prior_max
 from fleetspeed.schema import TRIP_KEY, Limits
 
@@ -25,67 +26,66 @@ MODES = ("normative", "sorted", "arrival")
 
 
 def located(df: DataFrame) -> DataFrame:
-    """The columns segmentation needs, with coordinates in degrees; the rest is pruned."""
+    """The columns segmentation needs, as plain numbers; all others are pruned."""
     return df.select(
         *TRIP_KEY,
         "seq",
-        "ts",
+        epoch_micros(F.col("ts")).alias("ts_us"),
         geo.degrees_of(F.col("raw_lat")).alias("lat"),
         geo.degrees_of(F.col("raw_lon")).alias("lon"),
-        year_month(F.col("ts")).alias("year_month"),
     )
 
 
 def trip_segments(valid: DataFrame, limits: Limits = Limits(), mode: str = "normative") -> DataFrame:
     """One row per valid datagram with the segment it closes."""
-    rows = located(valid)
+    rows, place, slices = located(valid), ["lat", "lon"], limits.slice_rows
     if mode == "normative":
         # The newest report so far is the one the next newer report is paired with, and a
         # report is late when it is not newer than that.  With equal times the first arrival
         # stands, hence the negated sequence.  One running maximum answers both questions.
-        state = F.struct("ts", (-F.col("seq")).alias("rank"), "lat", "lon")
-        paired = prior_max(rows, TRIP_KEY, ["seq"], state, "prev", limits.slice_rows)
-        late = F.coalesce(F.col("ts") <= F.col("prev.ts"), F.lit(False))
-        return _measured(paired, late, geo.segment_ok, limits)
+        rows = rows.withColumn("first", -F.col("seq"))
+        paired = prior_max(rows, TRIP_KEY, ["seq"], ["ts_us", "first"], place, "prev", slices)
+        late = F.coalesce(F.col("ts_us") <= F.col("prev.ts_us"), F.lit(False))
+        return with_segment(paired.drop("first"), late, geo.segment_ok, limits)
 
     # The other two modes see one line and month at a time and leave out line -1.
-    rows = rows.where(F.col("line_id") != -1)
-    keys = [*TRIP_KEY, "year_month"]
+    rows = rows.where(F.col("line_id") != -1).withColumn("month_no", _month_no())
+    keys = [*TRIP_KEY, "month_no"]
     if mode == "sorted":
-        state = F.struct("ts", "seq", "lat", "lon")
-        paired = prior_max(
-            rows, keys, ["ts", "seq"], state, "prev", limits.slice_rows, epoch_micros(F.col("ts"))
-        )
+        paired = prior_max(rows, keys, ["ts_us", "seq"], ["ts_us", "seq"], place, "prev", slices)
     elif mode == "arrival":
-        state = F.struct("seq", "ts", "lat", "lon")
-        paired = prior_max(rows, keys, ["seq"], state, "prev", limits.slice_rows)
+        paired = prior_max(rows, keys, ["seq"], ["seq"], ["ts_us", *place], "prev", slices)
     else:
         raise ValueError(f"mode must be one of {MODES}: {mode}")
-    return _measured(paired, F.lit(False), geo.segment_ok_whole_seconds, limits)
+    return with_segment(paired, F.lit(False), geo.segment_ok_whole_seconds, limits)
 
 
-def _measured(paired: DataFrame, late: Column, accept, limits: Limits) -> DataFrame:
-    closes = F.col("prev").isNotNull() & ~late
+def with_segment(paired: DataFrame, late: Column, accept, limits: Limits) -> DataFrame:
+    """Gap, distance and acceptance between ``prev`` and the row itself."""
+    gap = F.when(~F.col("late"), F.col("ts_us") - F.col("prev.ts_us"))
     km = geo.haversine_km(F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon"))
-    gap = micros_between(F.col("prev.ts"), F.col("ts"))
-    return (
+    measured = (
         paired.withColumn("late", late)
-        .withColumn("gap_us", F.when(closes, gap))
-        .withColumn("km", F.when(closes, km))
-        .withColumn(
-            "segment_ok", F.when(closes, accept(F.col("gap_us"), F.col("km"), limits))
-        )
-        .drop("prev")
+        .withColumn("gap_us", gap)
+        .withColumn("km", F.when(F.col("gap_us").isNotNull(), km))
+    )
+    ok = F.when(F.col("gap_us").isNotNull(), accept(F.col("gap_us"), F.col("km"), limits))
+    return (
+        measured.withColumn("segment_ok", ok).withColumn("month_no", _month_no()).drop("prev")
     )
 
 
+def _month_no() -> Column:
+    return month_number(F.timestamp_micros("ts_us"))
+
+
 def segment_table(segments: DataFrame) -> DataFrame:
     """Closed segments with distance, duration and speed, for inspection."""
     hours = geo.hours_of(F.col("gap_us"))
     return segments.where(F.col("segment_ok").isNotNull()).select(
         "seq",
         *TRIP_KEY,
-        "year_month",
+        month_of_number(F.col("month_no")).alias("year_month"),
         "km",
         (F.col("gap_us") / 1_000_000).alias("seconds"),
         F.when(F.col("gap_us") >= 1000, F.col("km") / hours).alias("kmh"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspeed.functions.geo import hours_of
-from fleetspeed.functions.timekeys import months_between
+from fleetspeed.functions.timekeys import month_of_number, months_between
 from fleetspeed.schema import (
     NO_DATA,
     OK,
@@ -28,12 +28,15 @@ def route_month_totals(segments: DataFrame, *part: str) -> DataFrame:
     """
     good = F.col("segment_ok")
     hours = hours_of(F.col("gap_us"))
-    return segments.groupBy(*part, *ROUTE_MONTH).agg(
+    sums = segments.groupBy(*part, "line_id", "month_no").agg(
         F.coalesce(F.sum(F.when(good, F.col("km"))), F.lit(0.0)).alias("total_distance_km"),
         F.coalesce(F.sum(F.when(good, hours)), F.lit(0.0)).alias("total_time_hours"),
         F.count_if(good).alias("valid_segments"),
         F.count_if(F.col("late") | ~good).alias("skipped_segments"),
     )
+    return sums.select(
+        *part, "line_id", month_of_number(F.col("month_no")).alias("year_month"), *MEASURES
+    )
 
 
 def merged_totals(*parts: DataFrame) -> DataFrame:
@@ -136,7 +139,8 @@ def in_report_order(report: DataFrame) -> DataFrame:
 
 def partition_metrics(segments: DataFrame) -> DataFrame:
     """Per line and month: rows read, valid segments, segments dropped, missing coordinates."""
-    return segments.groupBy("line_id", F.year("ts").alias("year"), F.month("ts").alias("month")).agg(
+    year, month = (F.col("month_no") / 100).cast("int"), F.col("month_no") % 100
+    return segments.groupBy("line_id", year.alias("year"), month.alias("month")).agg(
         F.count(F.lit(1)).alias("datagrams_read"),
         F.count_if("segment_ok").alias("valid_segments"),
         F.count_if(~F.col("segment_ok")).alias("outliers_dropped"),

@@ -27,7 +27,8 @@ UNKNOWN_ROUTE_NAME, UNKNOWN_ROUTE_TEXT = "UNKNOWN", "NA"
 DEFAULT_ALERT_LAT, DEFAULT_ALERT_LON = 3.42, -76.52
 DEFAULT_ZONE = ALL_ZONES = 0
 
-TRIP_KEY = ("bus_id", "line_id", "trip_id")
+# Sorts compare the first column first, so the most selective one leads.
+TRIP_KEY = ("trip_id", "bus_id", "line_id")
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ class Limits:
     signal_s: int = 60
     # Keys holding more rows than this are split into slices by the ordered operators.
     # None switches the check off (for inputs known to have no such keys).
-    slice_rows: int | None = 2_000_000
+    slice_rows: int | None = 500_000
 
 
 DATAGRAM_SCHEMA = T.StructType(

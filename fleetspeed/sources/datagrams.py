@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspeed.functions import text
-from fleetspeed.functions.timekeys import parse_timestamp
+from fleetspeed.functions.timekeys import parse_seconds
 from fleetspeed.schema import CSV_FIELDS, DATAGRAM_SCHEMA
 
 # A sequence number is the rank of the file in the high bits and the place in the file in the
@@ -62,20 +62,25 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     whether the field count or a field is wrong; the fields of such a row may be NULL.
     """
     kept = [c for c in lines.columns if c != value]
-    split = lines.select(*kept, value, text.split_fields(F.col(value)).alias("_f"))
-    typed = split.select(
-        *kept,
-        value,
-        F.size("_f").alias("_size"),
-        *[_typed(i, name).alias(name) for i, name in enumerate(CSV_FIELDS)],
-    )
+    split = _once(lines, text.split_fields(F.col(value)), "_f")
+    typed = F.struct(*[_typed(i, name).alias(name) for i, name in enumerate(CSV_FIELDS)])
+    rows = _once(split, typed, "_row")
     broken = F.lit(False)
     for name in CSV_FIELDS:
-        broken = broken | F.col(name).isNull()
-    error = F.when(F.col("_size") != len(CSV_FIELDS), F.lit("FieldCount")).when(
+        broken = broken | F.col("_row")[name].isNull()
+    error = F.when(F.size("_f") != len(CSV_FIELDS), F.lit("FieldCount")).when(
         broken, F.lit("FieldFormat")
     )
-    return typed.withColumn("parse_error", error).drop("_size")
+    return rows.select(*kept, value, "_row.*", error.alias("parse_error"))
+
+
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    The optimizer copies a plain projected expression into every later use of it, filters
+    included; it does not look through a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _typed(place: int, name: str) -> Column:
@@ -86,7 +91,7 @@ def _typed(place: int, name: str) -> Column:
     if kind == "long":
         return text.to_long_lenient(field)
     if kind == "timestamp_ntz":
-        return parse_timestamp(field, "yyyy-MM-dd HH:mm:ss")
+        return parse_seconds(field)
     return field
 
 

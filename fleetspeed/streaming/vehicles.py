@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetspeed.functions import geo
-from fleetspeed.functions.timekeys import epoch_micros, year_month
+from fleetspeed.functions.timekeys import epoch_micros
 from fleetspeed.operators import monitoring
 from fleetspeed.operators.metrics import stream_counters
 from fleetspeed.operators.quality import plausible
+from fleetspeed.operators.segments import located, with_segment
 from fleetspeed.schema import TRIP_KEY, Limits
 from fleetspeed.sinks.live import write_batch, write_updates_and_alerts
 from fleetspeed.streaming.processors import OperationalState, SignalLoss, TripSegments
@@ -106,14 +107,7 @@ def trip_segment_stream(datagrams: DataFrame, routes: DataFrame, limits: Limits
     valid = datagrams.where(plausible()).join(
         routes.select("line_id").distinct(), "line_id", "left_semi"
     )
-    rows = valid.select(
-        *TRIP_KEY,
-        "seq",
-        "ts",
-        epoch_micros(F.col("ts")).alias("ts_us"),
-        geo.degrees_of(F.col("raw_lat")).alias("lat"),
-        geo.degrees_of(F.col("raw_lon")).alias("lon"),
-    )
+    rows = located(valid)
     out = _with(
         rows.schema,
         ("late", T.BooleanType()),
@@ -124,15 +118,10 @@ def trip_segment_stream(datagrams: DataFrame, routes: DataFrame, limits: Limits
     paired = rows.groupBy(*TRIP_KEY).transformWithStateInPandas(
         statefulProcessor=TripSegments(), outputStructType=out, outputMode="Append", timeMode="None"
     )
-    closes = F.col("prev_ts_us").isNotNull()
-    km = geo.haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
-    return (
-        paired.withColumn("year_month", year_month(F.col("ts")))
-        .withColumn("gap_us", F.col("ts_us") - F.col("prev_ts_us"))
-        .withColumn("km", F.when(closes, km))
-        .withColumn("segment_ok", F.when(closes, geo.segment_ok(F.col("gap_us"), F.col("km"), limits)))
-        .drop("ts_us", "prev_ts_us", "prev_lat", "prev_lon")
-    )
+    names = ("ts_us", "lat", "lon")
+    prev = F.struct(*[F.col(f"prev_{n}").alias(n) for n in names])
+    packed = paired.withColumn("prev", prev).drop(*[f"prev_{n}" for n in names])
+    return with_segment(packed, F.col("late"), geo.segment_ok, limits)
 
 
 def publish_board(updates: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
