@@ -23,14 +23,14 @@ def file_path() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
 
 
-def place_in_file() -> Column:
-    """A number that grows line by line within a file.
+def place_in_file(block_start: Column) -> Column:
+    """A number that grows line by line within a file, for a frame in scan order.
 
     It adds the row index of the task to the byte offset of its block.  A line is at least one
     byte long, so a block's places end before the next block of the file starts.
     """
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
-    return F.col("_metadata.file_block_start") + index
+    return block_start + index
 
 
 def stamp_arrival(lines: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def stamp_arrival(lines: DataFrame) -> DataFrame:
     )
     if len(paths) <= MAX_BROADCAST_FILES:
         ranks = F.broadcast(ranks)
-    placed = lines.select("value", file_path().alias("_path"), place_in_file().alias("_place"))
+    place = place_in_file(F.col("_metadata.file_block_start"))
+    placed = lines.select("value", file_path().alias("_path"), place.alias("_place"))
     seq = F.shiftleft(F.col("_rank"), PLACE_BITS) + F.col("_place")
     return placed.join(ranks, "_path").select(seq.alias("seq"), "value")
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
 from fleetspeed.schema import DATAGRAM_SCHEMA
-from fleetspeed.sources.datagrams import file_path, place_in_file
+from fleetspeed.sources.datagrams import file_path
 
 BYTES_PER_TRIGGER = 256 * 1024 * 1024
 
@@ -41,5 +41,5 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
         "value",
         F.col("_metadata.file_modification_time").alias("file_time"),
         file_path().alias("file_path"),
-        place_in_file().alias("place"),
+        F.col("_metadata.file_block_start").alias("block_start"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetspeed.operators import quality
 from fleetspeed.sinks.lake import with_partition_columns
 from fleetspeed.sinks.live import write_batch
-from fleetspeed.sources.datagrams import parse_lines
+from fleetspeed.sources.datagrams import parse_lines, place_in_file
 from fleetspeed.sources.lake import PARTITIONS
 
 # Sequence numbers of streamed lines: micro-batch, file in the batch, place in the file.
@@ -27,9 +27,11 @@ def stamp_batch(lines: DataFrame, batch_id: int) -> DataFrame:
         "file_path",
         (F.row_number().over(Window.orderBy("file_time", "file_path")) - 1).cast("long").alias("_rank"),
     )
+    # The rows of a micro-batch come straight from the scan, so they are still in file order.
+    placed = lines.select("value", "file_path", place_in_file(F.col("block_start")).alias("_place"))
     base = batch_id << (FILE_BITS + STREAM_PLACE_BITS)
-    seq = F.lit(base) + F.shiftleft(F.col("_rank"), STREAM_PLACE_BITS) + F.col("place")
-    return lines.join(F.broadcast(ranks), "file_path").select(seq.alias("seq"), "value")
+    seq = F.lit(base) + F.shiftleft(F.col("_rank"), STREAM_PLACE_BITS) + F.col("_place")
+    return placed.join(F.broadcast(ranks), "file_path").select(seq.alias("seq"), "value")
 
 
 def archive_batch(tagged: DataFrame, batch_id: int, lake: str, rejects: str) -> None:

@@ -19,7 +19,7 @@ LINE = "0,28-MAY-19,513327,70,34761183,-764873683,757,{line},159,6255401365,2019
 
 
 def lines_of(n, bus=lambda i: 1 + i % 7):
-    return [LINE.format(line=131, bus=bus(i)) + f"\n" for i in range(n)]
+    return [LINE.format(line=131, bus=bus(i)) + "\n" for i in range(n)]
 
 
 def test_scan_keeps_line_order_over_files_and_splits(spark, tmp_path):
@@ -292,7 +292,7 @@ def test_reconcile(report):
 
 
 def test_named_report_has_placeholders(frame, routes):
-    df = frame([datagram(1, 999, 1, "2019-05-27 10:00:00", 0, 5, 1), *[datagram(*c) for c in ()]])
+    df = frame([datagram(1, 999, 1, "2019-05-27 10:00:00", 0, 5, 1)])
     (row,) = speed.named_report(speed.route_month_totals(trip_segments(df)), routes).collect()
     assert (row["short_name"], row["description"], row["status"]) == ("UNKNOWN", "NA", "NO_DATA")
 
