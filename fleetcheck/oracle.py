@@ -270,6 +270,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {_SPEED_COLUMNS} FROM rep ORDER BY year_month, line_id",
         ),
         "route_catalogue_scan": _with(_DATAGRAMS, "SELECT * FROM routes"),
+        "zone_map_scan": _with(_DATAGRAMS, "SELECT line_id, zone_id FROM zones"),
         "month_inference": _with(
             _DATAGRAMS,
             "SELECT seq, CASE WHEN seq % 5 < 3 THEN strftime(ts, '%Y-%m') ELSE '2018-01' END AS year_month FROM d",

@@ -25,6 +25,7 @@ from fleetspeed.sources import lake as lake_source
 from fleetspeed.sources import landing
 from fleetspeed.sources import results as result_source
 from fleetspeed.sources import routes as route_source
+from fleetspeed.sources import zones
 from fleetspeed.streaming import delivery, ingest, vehicles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,6 +266,16 @@ def route_catalogue_scan(spark, sf):
     return route_source.read_routes(spark, folder)
 
 
+@query
+def zone_map_scan(spark, sf):
+    """The zone map written as one JSON object and read back."""
+    folder = work_folder(spark, "zones")
+    pair = F.struct(F.col("line_id").cast("string"), "zone_id")
+    lines = inputs.line_zones(spark, sf).agg(F.map_from_entries(F.collect_list(pair)).alias("lineToZone"))
+    lines.select(F.to_json(F.struct("lineToZone")).alias("value")).write.text(folder)
+    return zones.read_zone_maps(spark, folder)[0]
+
+
 @query
 def month_inference(spark, sf):
     patterns = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm")

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Accepted timestamp texts (ISO seconds and fractions are optional).
-TIMESTAMP_PATTERNS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-)
+# Shapes of accepted timestamp texts.  The second one also takes the ISO form,
+# where seconds and fractions are optional.
+_DATE, _MINUTES = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}"
+SECONDS_SHAPE = f"^{_DATE} {_MINUTES}:[0-9]{{2}}$"
+ANY_SHAPE = f"^{_DATE}( {_MINUTES}:[0-9]{{2}}|T{_MINUTES}(:[0-9]{{2}}([.][0-9]{{1,9}})?)?)$"
 
 
 def year_month(ts: Column) -> Column:
@@ -53,24 +51,17 @@ def month_frame(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.range(1).select(F.explode(months_between(first, last)).alias("year_month"))
 
 
-def parse_timestamp(text: Column, *patterns: str) -> Column:
-    """First pattern that fits, as TIMESTAMP_NTZ; NULL when none does."""
-    tries = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in patterns]
-    return F.coalesce(*tries)
-
-
-def parse_seconds(text: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` to TIMESTAMP_NTZ; any other text gives NULL.
+def parse_timestamp(text: Column, shape: str = SECONDS_SHAPE) -> Column:
+    """TIMESTAMP_NTZ of a text of the given shape; any other text gives NULL.
 
     The cast alone would also take bare dates and other forms.
     """
-    fits = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$")
-    return F.when(fits, text.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(shape), text.try_cast("timestamp_ntz"))
 
 
 def inferred_month(text: Column, fallback: str) -> Column:
     """Month of a timestamp text, or ``fallback`` when the text cannot be read."""
-    return F.coalesce(year_month(parse_timestamp(text, *TIMESTAMP_PATTERNS)), F.lit(fallback))
+    return F.coalesce(year_month(parse_timestamp(text, ANY_SHAPE)), F.lit(fallback))
 
 
 def iso_text(ts: Column) -> Column:

@@ -118,9 +118,13 @@ def signal_gaps(datagrams: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def latest_per_bus(df: DataFrame, *columns: str) -> DataFrame:
-    """The given columns of the last arrival of every bus; partial results are merged."""
-    latest = F.max(F.struct("seq", *columns))
-    return df.groupBy("bus_id").agg(latest.alias("_last")).select("bus_id", "_last.*")
+    """The given columns of the last arrival of every bus; partial results are merged.
+
+    Columns of fixed width are aggregated by hash, without sorting the rows.
+    """
+    return df.groupBy("bus_id").agg(
+        F.max("seq").alias("_seq"), *[F.max_by(c, "seq").alias(c) for c in columns]
+    ).select("bus_id", F.col("_seq").alias("seq"), *columns)
 
 
 def signal_lost_as_of(datagrams: DataFrame, now: Column, limits: Limits = Limits()) -> DataFrame:

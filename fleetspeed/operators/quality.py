@@ -27,11 +27,11 @@ def on_active_route(df: DataFrame, routes: DataFrame) -> DataFrame:
     No broadcast hint: the planner broadcasts the catalogue while its measured size allows it
     and otherwise shuffles, where adaptive execution splits a line that holds too many rows.
     """
-    return df.join(routes.select("line_id").distinct(), "line_id", "left_semi")
+    return df.join(routes.select("line_id"), "line_id", "left_semi")
 
 
 def off_active_route(df: DataFrame, routes: DataFrame) -> DataFrame:
-    return df.join(routes.select("line_id").distinct(), "line_id", "left_anti")
+    return df.join(routes.select("line_id"), "line_id", "left_anti")
 
 
 def valid_datagrams(df: DataFrame, routes: DataFrame) -> DataFrame:

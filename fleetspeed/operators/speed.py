@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspeed.functions.geo import hours_of
-from fleetspeed.functions.timekeys import month_of_number, months_between
+from fleetspeed.functions.timekeys import month_number, month_of_number, months_between
 from fleetspeed.schema import (
     NO_DATA,
     OK,
@@ -49,7 +49,8 @@ def merged_totals(*parts: DataFrame) -> DataFrame:
 
 def observed_months(valid: DataFrame) -> DataFrame:
     """Months of the valid datagrams, late ones included."""
-    return valid.select(F.date_format("ts", "yyyy-MM").alias("year_month")).distinct()
+    numbers = valid.select(month_number(F.col("ts")).alias("month_no")).distinct()
+    return numbers.select(month_of_number(F.col("month_no")).alias("year_month"))
 
 
 def _graded(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from fleetspeed.operators.metrics import observed
 from fleetspeed.operators.segments import trip_segments
 from fleetspeed.schema import Limits
 from fleetspeed.sinks import lake as lake_sink
+from fleetspeed.sinks.results import write_speed_csv
 from fleetspeed.sources import datagrams as datagram_source
 from fleetspeed.sources import lake as lake_source
 
@@ -79,6 +80,11 @@ def run_range(
     return speed.range_report(totals, routes, *span)
 
 
+def write_range(report: DataFrame, path: str) -> None:
+    """Result file of a range run, by month then line."""
+    write_speed_csv(report, path)
+
+
 def run_month(
     spark: SparkSession, lake: str, routes: DataFrame, year: int, month: int, **options
 ) -> DataFrame:

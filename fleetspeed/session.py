@@ -46,6 +46,22 @@ def local_session(name: str, cores: str = "8", memory: str = "8g", **conf: str)
     return spark
 
 
+def sized_conf(input_bytes: int) -> dict[str, str]:
+    """Cluster settings for an input of a given size.
+
+    Adaptive execution merges shuffle partitions that turn out small but cannot add any, so
+    the starting number must fit the input: about 256 MB of scanned data each.
+    """
+    partitions = min(max(200, input_bytes // (256 << 20)), 200_000)
+    return {
+        **REQUIRED_CONF,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    }
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 

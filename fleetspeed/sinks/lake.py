@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetspeed.functions import text
 from fleetspeed.schema import DATAGRAM_SCHEMA
+from fleetspeed.sources.datagrams import once
 from fleetspeed.sources.lake import PARTITIONS
 
 MAX_ROWS_PER_FILE = 20_000_000
@@ -49,7 +50,7 @@ def with_shard(lines: DataFrame, shards: int, drop_unreadable: bool = True) -> D
     if shards <= 0:
         raise ValueError("shards must be positive")
     bus_id = text.to_int(text.trimmed(F.get(text.split_fields(F.col("value")), F.lit(11))))
-    tagged = lines.withColumn("bus_id", bus_id)
+    tagged = once(lines, bus_id, "bus_id")
     if drop_unreadable:
         tagged = tagged.where(F.col("bus_id") > 0)
     return tagged.withColumn("shard", F.coalesce(shard_of(F.col("bus_id"), shards), F.lit(0)))

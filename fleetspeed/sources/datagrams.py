@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspeed.functions import text
-from fleetspeed.functions.timekeys import parse_seconds
+from fleetspeed.functions.timekeys import parse_timestamp
 from fleetspeed.schema import CSV_FIELDS, DATAGRAM_SCHEMA
 
 # A sequence number is the rank of the file in the high bits and the place in the file in the
@@ -63,9 +63,9 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     whether the field count or a field is wrong; the fields of such a row may be NULL.
     """
     kept = [c for c in lines.columns if c != value]
-    split = _once(lines, text.split_fields(F.col(value)), "_f")
+    split = once(lines, text.split_fields(F.col(value)), "_f")
     typed = F.struct(*[_typed(i, name).alias(name) for i, name in enumerate(CSV_FIELDS)])
-    rows = _once(split, typed, "_row")
+    rows = once(split, typed, "_row")
     broken = F.lit(False)
     for name in CSV_FIELDS:
         broken = broken | F.col("_row")[name].isNull()
@@ -75,7 +75,7 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.select(*kept, value, "_row.*", error.alias("parse_error"))
 
 
-def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
     """Add a column that is computed once per row.
 
     The optimizer copies a plain projected expression into every later use of it, filters
@@ -92,7 +92,7 @@ def _typed(place: int, name: str) -> Column:
     if kind == "long":
         return text.to_long_lenient(field)
     if kind == "timestamp_ntz":
-        return parse_seconds(field)
+        return parse_timestamp(field)
     return field
 
 

@@ -11,7 +11,7 @@ from fleetspeed.functions import geo
 from fleetspeed.functions.timekeys import epoch_micros
 from fleetspeed.operators import monitoring
 from fleetspeed.operators.metrics import stream_counters
-from fleetspeed.operators.quality import plausible
+from fleetspeed.operators.quality import valid_datagrams
 from fleetspeed.operators.segments import located, with_segment
 from fleetspeed.schema import TRIP_KEY, Limits
 from fleetspeed.sinks.live import write_batch, write_updates_and_alerts
@@ -104,10 +104,7 @@ def signal_loss_stream(
 
 def trip_segment_stream(datagrams: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Streaming twin of ``segments.trip_segments`` in the normative mode."""
-    valid = datagrams.where(plausible()).join(
-        routes.select("line_id").distinct(), "line_id", "left_semi"
-    )
-    rows = located(valid)
+    rows = located(valid_datagrams(datagrams, routes))
     out = _with(
         rows.schema,
         ("late", T.BooleanType()),
