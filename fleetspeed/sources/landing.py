@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamReader
 from fleetspeed.schema import DATAGRAM_SCHEMA
 from fleetspeed.sources.datagrams import file_path
 
-BYTES_PER_TRIGGER = 256 * 1024 * 1024
+BYTES_PER_TRIGGER = 128 << 20
 
 
 def _paced(reader: DataStreamReader, files_per_trigger: int | None) -> DataStreamReader:

@@ -168,9 +168,10 @@ def test_derived_rows_against_sequential_reading(derived):
 
 
 @pytest.mark.parametrize("mode", ["normative", "sorted", "arrival"])
-@pytest.mark.parametrize("slice_rows", [None, 2, 7, 50])
-def test_slices_do_not_change_the_result(derived, mode, slice_rows):
-    assert totals_of(derived, Limits(slice_rows=slice_rows), mode) == totals_of(derived, mode=mode)
+def test_slices_do_not_change_the_result(derived, mode):
+    whole = totals_of(derived, Limits(slice_rows=None), mode)
+    for slice_rows in (2, 50):
+        assert totals_of(derived, Limits(slice_rows=slice_rows), mode) == whole
 
 
 def test_one_key_with_a_third_of_the_rows(frame):
