@@ -18,11 +18,6 @@ _INDEX_BITS = 33  # rows per task in monotonically_increasing_id
 MAX_BROADCAST_FILES = 200_000
 
 
-def file_path() -> Column:
-    """Path of the current file with one spelling for local files."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
-
-
 def place_in_file(block_start: Column) -> Column:
     """A number that grows line by line within a file, for a frame in scan order.
 
@@ -38,19 +33,20 @@ def stamp_arrival(lines: DataFrame) -> DataFrame:
 
     The file list is the one the driver already keeps for the scan.
     """
-    paths = sorted({_one_spelling(p) for p in lines.inputFiles()})
+    paths = sorted({_as_in_metadata(p) for p in lines.inputFiles()})
     ranks = lines.sparkSession.createDataFrame(
         list(enumerate(paths)) or [], "_rank bigint, _path string"
     )
     if len(paths) <= MAX_BROADCAST_FILES:
         ranks = F.broadcast(ranks)
     place = place_in_file(F.col("_metadata.file_block_start"))
-    placed = lines.select("value", file_path().alias("_path"), place.alias("_place"))
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_path"), place.alias("_place"))
     seq = F.shiftleft(F.col("_rank"), PLACE_BITS) + F.col("_place")
     return placed.join(ranks, "_path").select(seq.alias("seq"), "value")
 
 
-def _one_spelling(path: str) -> str:
+def _as_in_metadata(path: str) -> str:
+    """Local paths are listed as ``file:///x`` but named ``file:/x`` in the rows."""
     if not path.startswith("file:"):
         return path
     return "file:/" + path.removeprefix("file:").lstrip("/")
@@ -63,7 +59,8 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     whether the field count or a field is wrong; the fields of such a row may be NULL.
     """
     kept = [c for c in lines.columns if c != value]
-    split = once(lines, text.split_fields(F.col(value)), "_f")
+    # The generator in ``once`` also keeps the split from being copied into every field.
+    split = lines.select(*kept, value, text.split_fields(F.col(value)).alias("_f"))
     typed = F.struct(*[_typed(i, name).alias(name) for i, name in enumerate(CSV_FIELDS)])
     rows = once(split, typed, "_row")
     broken = F.lit(False)
@@ -85,15 +82,16 @@ def once(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def _typed(place: int, name: str) -> Column:
-    field = text.trimmed(F.get("_f", F.lit(place)))
+    field = F.get("_f", F.lit(place))
     kind = DATAGRAM_SCHEMA[name].dataType.typeName()
+    # Casts to numbers ignore blanks around the text by themselves.
     if kind == "integer":
         return text.to_int(field)
     if kind == "long":
         return text.to_long_lenient(field)
     if kind == "timestamp_ntz":
-        return parse_timestamp(field)
-    return field
+        return parse_timestamp(text.trimmed(field))
+    return text.trimmed(field)
 
 
 def readable(parsed: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
 from fleetspeed.schema import DATAGRAM_SCHEMA
-from fleetspeed.sources.datagrams import file_path
 
 BYTES_PER_TRIGGER = 128 << 20
 
@@ -40,6 +39,6 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
     return lines.select(
         "value",
         F.col("_metadata.file_modification_time").alias("file_time"),
-        file_path().alias("file_path"),
+        F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
