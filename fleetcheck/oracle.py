@@ -157,9 +157,9 @@ _SPEED_LINE = (
 _JSON = (
     "'{\"lineId\":' || CAST(line_id AS VARCHAR) || ',\"shortName\":\"' || short_name || '\",\"description\":\"'"
     " || description || '\",\"yearMonth\":\"' || year_month || '\",\"averageSpeedKmH\":'"
-    " || CAST(round(average_speed_kmh, 3) AS VARCHAR) || ',\"totalDistanceKm\":'"
-    " || CAST(round(total_distance_km, 3) AS VARCHAR) || ',\"totalTimeHours\":'"
-    " || CAST(round(total_time_hours, 3) AS VARCHAR) || ',\"validSegments\":' || CAST(valid_segments AS VARCHAR)"
+    " || CAST(round(average_speed_kmh, 6) AS VARCHAR) || ',\"totalDistanceKm\":'"
+    " || CAST(round(total_distance_km, 6) AS VARCHAR) || ',\"totalTimeHours\":'"
+    " || CAST(round(total_time_hours, 6) AS VARCHAR) || ',\"validSegments\":' || CAST(valid_segments AS VARCHAR)"
     " || ',\"skippedSegments\":' || CAST(skipped_segments AS VARCHAR) || ',\"status\":\"' || status || '\"}'"
 )
 
@@ -330,9 +330,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "speed_csv_roundtrip": _with(
             _REPORT,
-            f"""SELECT {_NAMES}, round(round(total_distance_km, 6), 5) AS total_distance_km,
-              round(round(total_time_hours, 9), 5) AS total_time_hours,
-              round(round(average_speed_kmh, 6), 5) AS average_speed_kmh, valid_segments, skipped_segments, status
+            f"""SELECT {_NAMES}, round(total_distance_km, 6) AS total_distance_km,
+              round(round(total_time_hours, 9), 6) AS total_time_hours,
+              round(average_speed_kmh, 6) AS average_speed_kmh, valid_segments, skipped_segments, status
             FROM rep""",
         ),
         "metrics_csv": _with(

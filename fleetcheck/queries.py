@@ -353,14 +353,14 @@ def run_summary(spark, sf):
 
 @query
 def report_json(spark, sf):
-    return _rounded(_report(spark, sf), 3).select(
+    return _rounded(_report(spark, sf)).select(
         "line_id", "year_month", result_sink.report_json().alias("json")
     )
 
 
 @query
 def report_json_array(spark, sf):
-    return result_sink.reports_json_array(_rounded(_report(spark, sf), 3))
+    return result_sink.reports_json_array(_rounded(_report(spark, sf)))
 
 
 @query
@@ -372,7 +372,7 @@ def speed_csv_lines(spark, sf):
 def speed_csv_roundtrip(spark, sf):
     folder = work_folder(spark, "speed-csv")
     result_sink.write_store(_report(spark, sf), folder)
-    return _rounded(result_source.read_speed_results(spark, folder), 5)
+    return _rounded(result_source.read_speed_results(spark, folder))
 
 
 @query
