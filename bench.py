@@ -29,8 +29,6 @@ HEADLINE = (
     "route_month_speed",
     "route_month_speed_sorted",
     "route_month_speed_arrival",
-    "partial_merge_by_bus_shard",
-    "month_range_report",
     "run_metrics",
     "rejects_by_reason",
     "csv_parse_roundtrip",
