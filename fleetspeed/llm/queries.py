@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspeed.llm import quality_classifier
+from fleetspeed.llm import decontamination, quality_classifier, source_mixing
 from fleetspeed.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_source_mixing": op2_source_mixing,
+        "op9_decontamination": op9_decontamination,
         "op5_quality_classifier": op5_quality_classifier,
     }
