@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspeed.llm import decontamination, quality_classifier, source_mixing
+from fleetspeed.llm import decontamination, license_scan, quality_classifier, quality_rules, source_mixing
 from fleetspeed.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(spark, read(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(spark, read(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -27,6 +35,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_source_mixing": op2_source_mixing,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_license_scan": op4_license_scan,
         "op9_decontamination": op9_decontamination,
         "op5_quality_classifier": op5_quality_classifier,
     }
