@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspeed.llm import decontamination, license_scan, quality_classifier, quality_rules, source_mixing
+from fleetspeed.llm import decontamination, license_scan, personal_data, quality_classifier, quality_rules, source_mixing
 from fleetspeed.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(spark, read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_source_mixing": op2_source_mixing,
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scan": op4_license_scan,
         "op9_decontamination": op9_decontamination,
+        "op10_personal_data": op10_personal_data,
         "op5_quality_classifier": op5_quality_classifier,
     }
