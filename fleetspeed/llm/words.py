@@ -33,7 +33,7 @@ u64 = np.uint64
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(kind: str) -> np.ndarray:
+def power(kind: str) -> np.ndarray:
     if not _powers:
         inverse = pow(_BASE, -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", inverse)):
@@ -91,7 +91,7 @@ class Words(NamedTuple):
 
 def _word_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.empty(len(begin), u64)
-    up, down = _power("up"), _power("down")
+    up, down = power("up"), power("down")
     at = 0
     while at < len(begin):
         low = begin[at]
