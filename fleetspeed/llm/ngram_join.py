@@ -364,15 +364,15 @@ def node_components(spark: SparkSession, texts: DataFrame, join: Join) -> DataFr
 
 
 def classes(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and the set's ``node`` of every row."""
+    """``doc_id``, ``n_shingles``, ``component_id``, the set's ``node`` and the component's least node of every row."""
     texts = with_text(docs)
     signed = stored(spark, texts.mapInArrow(lambda b: _signed(b, join), "doc_id long, n long, node long"), "join-nodes")
     groups = node_components(spark, texts, join)
     named = signed.where("n > 0").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    full = named.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
+    full = named.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "component")
     empty = signed.where("n = 0").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node"
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", F.col("node").alias("component")
     )
     return full.union(empty)
 
@@ -384,16 +384,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataF
     sets all stay.
     """
     found = stored(spark, classes(spark, docs, join).where("n_shingles > 0"), "join-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first")
+    keepers = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"))
+    rows = found.groupBy(F.col("doc_id").alias("_own"), F.col("node").alias("_own_node")).agg(F.count("*").alias("_rows"))
     keepers = stored(
         spark,
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("component_id").alias("_id"))
-        .agg(F.min("node").alias("_node"))
-        .join(
-            found.groupBy(F.col("doc_id").alias("_own"), F.col("node").alias("_own_node")).agg(F.count("*").alias("_rows")),
-            F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_node") == F.col("_own_node")),
-        )
-        .select("_id", "_node", "_rows"),
+        keepers.join(rows, F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_node") == F.col("_own_node"))).select(
+            "_id", "_node", "_rows"
+        ),
         "join-keepers",
     )
     size, node = unused(docs, "_n"), unused(docs, "_set")

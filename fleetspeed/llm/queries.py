@@ -74,7 +74,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = pages.select("page_id", "url", F.timestamp_seconds(second).alias("fetched_at"))
     found = url_filters.judge(captures, list_entries(pages))
     return found.select(
-        "page_id", "host", "verdict", "matched", F.unix_seconds("fetched_at").alias("fetched"), F.unix_seconds("since").alias("since")
+        "page_id", "host", "verdict", "matched", F.unix_seconds("fetched_at").alias("fetched"), F.unix_seconds("since").cast("string").alias("since")
     )
 
 

@@ -1,0 +1,194 @@
+"""Quality rules, license scans, personal data and the classifier on odd rows, against plain Python."""
+
+import hashlib
+import re
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+from helpers import DOCS, LOWER, odd_rows, personal_spans, prose, rule_measures, same, words  # noqa: E402
+
+from fleetspeed.llm import license_scan, personal_data, quality_classifier, quality_rules  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows with extra columns whose names the operators use themselves."""
+    rows = [(*r, "x", 1.5, "y") for r in odd_rows()]
+    return spark.createDataFrame(rows, DOCS + ", _text_hash string, score double, spans string")
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(n, t, "en", "s", 0) for n, t in enumerate(texts)], DOCS)
+
+
+def test_rule_measures(spark, odd):
+    texts = [r[1] for r in odd_rows()]
+    got = [tuple(r)[1:-1] for r in quality_rules.report(spark, odd).collect()]
+    order = ("n_words", "word_chars", "n_repeat_words", "n_symbols", "n_dup_lines")
+    names = quality_rules.report(spark, odd).columns
+    assert set(order) < set(names)
+    rows = quality_rules.report(spark, odd).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
+    same(rows.collect(), [(r[0], *rule_measures(r[1])) for r in odd_rows()])
+    assert len(got) == len(texts)
+
+
+def test_rules_keep_prose_and_reject_junk(spark):
+    good = prose(1, 200)
+    junk = [" | ".join(good.split()), " ".join(w + "###" for w in good.split()), good.upper(), "a b c d " * 3 + " ".join("abcdefgh"[k % 8] for k in range(90))]
+    kept = [r["kept"] for r in quality_rules.report(spark, frame(spark, [good, *junk])).orderBy("doc_id").collect()]
+    assert kept == [True, False, False, False, False]
+
+
+def test_cascade_order_and_result(spark):
+    docs = frame(spark, [prose(n, 80) for n in range(30)] + [prose(n, 80).upper() for n in range(30)])
+    everything = quality_rules.Sampling(fraction=1.0)
+    order = quality_rules.ordered_rules(spark, docs, sampling=everything)
+    gains = [rejected / cost for _, cost, rejected in order]
+    assert gains == sorted(gains, reverse=True) and order[0][0].name == "shouting"
+    rules = [rule for rule, _, _ in order]
+    for chosen in (rules, rules[::-1]):
+        names = docs.select(quality_rules.cascade(chosen, F.col("text")).alias("r")).groupBy("r").count().collect()
+        assert {r["r"] for r in names} == {None, "shouting"}
+    assert quality_rules.keep_passing(spark, docs, sampling=everything).count() == 30
+
+
+def test_repeated_words_of_a_long_text_with_many_equal_windows(spark):
+    text = ("a b c d " * 700 + prose(9, 500)) * 2
+    row = quality_rules.report(spark, frame(spark, [text])).first()
+    assert row["n_repeat_words"] == rule_measures(text)[4]
+
+
+def license_row(text):
+    w = words((text or "").translate(LOWER), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    places, labels = [], set()
+    for phrase, label in license_scan.PHRASES:
+        p = phrase.split()
+        hits = [k for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
+        places += hits
+        labels |= {label} if hits else set()
+    found, best = set(labels), 1.0 if places else 0.0
+    for at in range(0, len(w), license_scan.STRIDE):
+        block = set(w[at : at + 2 * license_scan.STRIDE])
+        for label, template in license_scan.TEMPLATES:
+            need = set(template.split())
+            if 100 * len(block & need) >= license_scan.NEEDED_PERCENT * len(need):
+                found.add(label)
+                best = max(best, len(block & need) / len(need))
+    join = lambda s: ",".join(sorted(s))
+    return (len(w), len(places), min(places, default=None), max(places, default=None), join(labels), join(found), round(best, 9))
+
+
+def test_licenses(spark, odd):
+    body = [t for _, t in license_scan.TEMPLATES]
+    texts = [prose(n, 40 + 7 * n) + "\n" + t.upper() + ".\n" + prose(n + 90, 70) for n, t in enumerate(body)]
+    texts += [" ".join(x for k, x in enumerate(t.split()) if k % 9) for t in body]
+    texts += ["MIT License", "mit-license mit license, the GENERAL PUBLIC\nLICENSE", "license", "apache licenses", None, ""]
+    got = license_scan.report(spark, frame(spark, texts)).orderBy("doc_id").collect()
+    assert [(*tuple(r)[1:-1], round(r["score"], 9)) for r in got] == [license_row(t) for t in texts]
+    rows = license_scan.report(spark, odd).collect()
+    same([tuple(r)[:-1] for r in rows], [(r[0], *license_row(r[1])[:-1]) for r in odd_rows()])
+
+
+PERSONAL_TEXTS = [
+    "mail a@b.com_x@y.z and a.b%c+d-e@x-y.co.uk, @nobody a@b a@b..c",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3 12.34.56.78.",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 5 12345 79927398713 4111111111111111",
+    "+1 (017) 555-7713 +12 +4930 1234567890123456 ++44 20 7946 0958",
+    "é" * 50 + " ünï@example.org 😀😀 10.0.0.1😀+1 234 567 8901",
+    "a" * 60_000 + " " + "1" * 60_000 + " 1 2 3 4 5 6 " * 3000,
+    "x@y.zz " * 900,
+    None,
+    "",
+]
+
+
+def test_personal_base_spans(spark, odd):
+    rows = personal_data.report(spark, frame(spark, PERSONAL_TEXTS)).orderBy("doc_id").collect()
+    for row, text in zip(rows, PERSONAL_TEXTS, strict=True):
+        base = personal_spans(text)
+        assert [x for x in row["spans"].split(",") if x and not x.startswith("id:")] == base
+        assert row["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        for kind in personal_data.KINDS:
+            assert row[f"n_{kind}"] == sum(x.startswith(kind + ":") for x in base)
+    assert personal_data.report(spark, odd).count() == len(odd_rows())
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    seen = [f"{prose(n, 20)} please call +1 ({n:03d}) 555-01{n:02d} now" for n in range(20)]
+    seen += [f"{prose(n, 20)} client ip 10.0.{n}.7 seen" for n in range(20)]
+    hidden = prose(77, 30) + " client ip 999.1.2.3 seen"
+    clean = prose(78, 30) + " release 1.2.3 of 2024 and chapter 7"
+    rows = personal_data.report(spark, frame(spark, [*seen, hidden, clean])).orderBy("doc_id").collect()
+    found = rows[-2]["spans"]
+    start = hidden.index("999.1")
+    assert found == f"id:{start}:{start + len('999.1.2.3')}"
+    assert rows[-1]["spans"] == ""
+
+
+def test_redaction(spark):
+    docs = frame(spark, ["Write to a@b.com, card 4111 1111 1111 1111!", None, "nothing"])
+    rows = personal_data.redact(spark, docs).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == ["Write to <EMAIL>, card <CARD>!", None, "nothing"]
+    assert rows[0]["n_chars"] == len(rows[0]["text"])
+
+
+def labelled(n):
+    return [(k, prose(k, 60) if k % 3 else " ".join(w + "###" for w in prose(k, 60).split()), "en", "s", 0) for k in range(n)]
+
+
+def test_classifier_learns_and_holds_out(spark):
+    rows = labelled(300)
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 > 0), 0) for r in rows], "doc_id long, quality int, toxic int")
+    found = quality_classifier.classify(spark, docs, labels).collect()
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found)
+    held = [r for r in found if r["held_out"]]
+    assert held and sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) > 0.95 * len(held)
+    again = quality_classifier.classify(spark, docs, labels).collect()
+    same(found, again)
+    # Labels of held-out rows change nothing.
+    turned = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    same(found, quality_classifier.classify(spark, docs, turned).collect())
+
+
+def test_classifier_on_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (12, 0, 0), (None, 1, 0), (13, 1, None), (3, None, 0)], "doc_id long, quality int, toxic int")
+    found = quality_classifier.classify(spark, odd, labels).collect()
+    assert len(found) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in found)
+    assert len({r["score"] for r in found if r["doc_id"] in (5, 6, 7)}) == 1
+    untrained = quality_classifier.classify(spark, odd, labels.limit(0)).collect()
+    assert {r["score"] for r in untrained} == {1.0}
+    kept = quality_classifier.keep_good(spark, odd, labels)
+    assert kept.columns == odd.columns
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.report(spark, docs).count() == 0
+    assert license_scan.report(spark, docs).count() == 0
+    assert personal_data.report(spark, docs).count() == 0
+    assert personal_data.redact(spark, docs).count() == 0
+    assert quality_classifier.classify(spark, docs, labels).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    import pyarrow as pa
+
+    from fleetspeed.llm import words as w
+
+    texts = pa.array([prose(1, 50), None, "", "x" * 5000 + " y", " lead", "Ünï CASE"])
+    whole = [list(b.hash[b.first[k] : b.first[k + 1]]) for b in w.word_blocks(texts) for k in range(b.rows)]
+    monkeypatch.setattr(w, "BLOCK", 64)
+    parts = [list(b.hash[b.first[k] : b.first[k + 1]]) for b in w.word_blocks(texts) for k in range(b.rows)]
+    assert whole == parts
+    assert [len(x) for x in whole] == [len(words(t)) for t in texts.to_pylist()]
+    assert not re.search("[A-Z]", "")
