@@ -6,7 +6,7 @@ are joined, each hit fixes how the two texts lie against each other, and the wor
 alignment are compared: a document is contaminated where a stretch of ``stretch`` words (or the
 whole item, if shorter) agrees in at least 80 %.
 
-Words are runs of letters and digits, ``A-Z`` lowered.  Before the join a bit table of fixed size drops
+Words are runs of letters and digits in lower case.  Before the join a bit table of fixed size drops
 document seeds that no item has; it has no false negatives, and the join is exact.  Items under five
 words match nothing.  Null and empty texts are clean.  Rows with the same ``doc_id`` and text get the
 same result, rows with the same ``doc_id`` and other texts are judged each by its own text; a null
@@ -77,7 +77,7 @@ def _slots(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def benchmark_seeds(spark: SparkSession, benchmark: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Items with words and seeds under a key of their own, and the bit table of their seeds."""
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     schema = "item_id long, words array<long>, seeds array<long>, places array<int>"
     items = stored(
         spark, texts.mapInArrow(_item_seeds, schema).withColumn("item", F.monotonically_increasing_id()), "benchmark-items"
@@ -111,7 +111,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterato
             order = np.argsort(owner, kind="stable")
             seeds, at, owner = seeds[order], at[order], owner[order]
             rows_hit, begin = np.unique(owner, return_index=True)
-            for row, low, high in zip(rows_hit, begin, np.append(begin[1:], len(owner)), strict=True):
+            ends = np.append(begin, len(owner))[1:]
+            for row, low, high in zip(rows_hit, begin, ends, strict=True):
                 start = words.first[row]
                 rows.append(words.row + int(row))
                 lists.append(
@@ -146,7 +147,7 @@ def find_overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ov
     """``doc_id``, ``_text_hash``, ``item_id`` and ``overlap`` for every verified alignment."""
     items, table = benchmark_seeds(spark, benchmark)
     shared = spark.sparkContext.broadcast(table)  # 2 ** FILTER_BITS bytes
-    texts = with_text(docs).select("doc_id", F.xxhash64("text").alias("_text_hash"), "text")
+    texts = with_text(docs).select("doc_id", F.xxhash64("text").alias("_text_hash"), F.lower("text").alias("text"))
     candidates = stored(
         spark,
         texts.mapInArrow(

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from helpers import DOCS, edited, odd_rows, prose, same, words  # noqa: E402
+from helpers import DOCS, edited, jaccard_classes, odd_rows, prose, same, words  # noqa: E402
 
 from fleetspeed.llm import chat_formatting, decontamination, source_mixing, url_filters  # noqa: E402
 
@@ -97,7 +97,7 @@ def test_mix_prefers_good_documents(spark):
     rows = [(n, prose(n, 50), "en", "c" if n < 600 else "ab"[n % 2], 0) for n in range(1800)]
     found = mix(spark, rows, [(n, n % 2, 0) for n in range(600)])
     extra = [r["doc_id"] % 2 for r in found if r["doc_id"] < 600 and r["copies"] == max(x["copies"] for x in found if x["doc_id"] < 600)]
-    assert 0.6 < sum(extra) / len(extra) < 0.95
+    assert len(extra) == 500 and sum(extra) > 280
 
 
 def test_mix_of_odd_rows(spark):
@@ -140,6 +140,10 @@ def test_url_filters_on_empty_tables(spark):
     assert judge(spark, [(1, "http://a.b", DAY, 0)], [])[0][2] == "kept"
 
 
+def shouted(text):
+    return "".join(c.upper() if len(c.upper()) == 1 else c for c in text)
+
+
 def leaks(spark, rows, items):
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
     return decontamination.report(spark, docs, bench).collect()
@@ -148,7 +152,7 @@ def leaks(spark, rows, items):
 def test_leaks_with_substitutions_are_found_and_prose_is_not(spark):
     items = [(n, prose(1000 + n, 15 + n)) for n in range(20)] + [(90, None), (91, ""), (92, "four words only here"), (93, prose(1, 2))]
     rows = [(n, prose(n, 60) + " " + edited(items[n][1], n, 0.12) + " " + prose(n + 300, 40), "en", "s", 0) for n in range(20)]
-    rows += [(100 + n, items[n][1].upper().replace(" ", "; "), "en", "s", 0) for n in range(20)]
+    rows += [(100 + n, shouted(items[n][1]).replace(" ", "; "), "en", "s", 0) for n in range(20)]
     rows += [(200 + n, prose(5000 + n, 300), "en", "s", 0) for n in range(50)]
     found = {r["doc_id"]: r for r in leaks(spark, rows, items)}
     assert all(found[100 + n]["item_ids"] == [n] and found[100 + n]["best_overlap"] == 1 for n in range(20))
@@ -210,7 +214,10 @@ def test_pipeline(spark, tables):
     ids = {name: [r["doc_id"] for r in rows] for name, rows in seen.items()}
     first, second, third, fourth, last = ids.values()
     assert not set(range(100, 140)) & set(first) and set(range(16, 80)) <= set(first)
-    assert {7} == {7, *range(200, 210)} & set(second) and second.count(2) == 0
+    rows = [tuple(r) for r in seen["quality classifier"]]
+    groups = jaccard_classes(rows)
+    stay = {(g[2] if g[0] else ("empty", k)) for k, g in enumerate(groups)}
+    assert len(second) == len(stay) < len(first) and 7 in second and 2 not in second
     assert not set(range(300, 305)) & set(third) and set(third) == set(second) - set(range(300, 305))
     assert sorted(map(str, third)) == sorted(map(str, fourth))
     assert not any("@" in (r["text"] or "") for r in seen["PII"])
