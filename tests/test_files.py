@@ -15,11 +15,11 @@ from fleetspeed.sinks import results as result_sink
 from fleetspeed.sources import archives, lake, results, routes as route_source, zones
 from fleetspeed.sources.datagrams import parse_lines, readable, scan_datagrams, scan_lines, to_line
 
-LINE = "0,28-MAY-19,513327,70,34761183,-764873683,757,{line},159,6255401365,2019-05-27 20:14:43,{bus}"
+LINE = "0,14-MAY-19,604118,70,34512345,-765310987,391,{line},159,7300125588,2019-05-27 20:14:43,{bus}"
 
 
 def lines_of(n, bus=lambda i: 1 + i % 7):
-    return [LINE.format(line=131, bus=bus(i)) + "\n" for i in range(n)]
+    return [LINE.format(line=207, bus=bus(i)) + "\n" for i in range(n)]
 
 
 def test_scan_keeps_line_order_over_files_and_splits(spark, tmp_path):
@@ -55,11 +55,11 @@ def test_line_round_trip(frame):
 def test_routes(spark, tmp_path):
     path = tmp_path / "routes.csv"
     path.write_text(
-        ' lineid ,PLANVERSIONID,ShortName,DESCRIPTION,lineId\n131,1,"T31","Old, name",7\n'
-        '131,1,T31,"Route ""31"", main",7\n140,1, T40 ,Route 40,7\nx,1,T,bad id,7\n150,1\n'
+        ' lineid ,PLANVERSIONID,ShortName,DESCRIPTION,lineId\n207,1,"E7","Old, name",7\n'
+        '207,1,E7,"Loop ""East"", main",7\n219,1, N19 ,North hill,7\nx,1,T,bad id,7\n233,1\n'
     )
     rows = {r["line_id"]: (r["short_name"], r["description"]) for r in route_source.read_routes(spark, str(path)).collect()}
-    assert rows == {131: ("T31", 'Route "31", main'), 140: ("T40", "Route 40")}
+    assert rows == {207: ("E7", 'Loop "East", main'), 219: ("N19", "North hill")}
 
 
 def test_routes_empty_and_without_header(spark, tmp_path):
@@ -72,9 +72,9 @@ def test_routes_empty_and_without_header(spark, tmp_path):
 
 def test_zone_maps(spark, tmp_path):
     path = tmp_path / "zones.json"
-    path.write_text(json.dumps({"lineToZone": {"131": 1, "140": 2, "150": -4}, "userToZone": {"ctrl-001": 1}}, indent=2))
+    path.write_text(json.dumps({"lineToZone": {"207": 1, "219": 2, "233": -4}, "userToZone": {"ctrl-001": 1}}, indent=2))
     lines, users = zones.read_zone_maps(spark, str(path))
-    assert {tuple(r) for r in lines.collect()} == {(131, 1), (140, 2)}
+    assert {tuple(r) for r in lines.collect()} == {(207, 1), (219, 2)}
     assert {tuple(r) for r in users.collect()} == {("ctrl-001", 1)}
     missing = zones.read_zone_maps(spark, str(tmp_path / "none.json"))
     assert [m.count() for m in missing] == [0, 0]
@@ -103,8 +103,8 @@ def test_archive_without_csv_is_an_error(spark, tmp_path):
 
 
 MONTH_ROWS = SIX_ROWS[:4] + [
-    datagram(20, 131, 5, "2019-05-31 23:59:30", 30000000, -760000000, 12),
-    datagram(21, 131, 5, "2019-06-01 00:00:30", 30001000, -760000000, 12),
+    datagram(20, 207, 5, "2019-05-31 23:59:30", 30000000, -760000000, 12),
+    datagram(21, 207, 5, "2019-06-01 00:00:30", 30001000, -760000000, 12),
     datagram(22, -1, 5, "2019-06-01 00:00:30", 30001000, -760000000, 13),
 ]
 
@@ -118,8 +118,8 @@ def small_lake(spark, frame, tmp_path):
 
 def test_lake_round_trip(spark, frame, small_lake):
     keys = {tuple(r) for r in lake.lake_partitions(spark, small_lake).collect()}
-    assert keys == {(131, 2019, "05"), (131, 2019, "06"), (-1, 2019, "06")}
-    part = lake.lake_partition(spark, small_lake, 131, 2019, 5)
+    assert keys == {(207, 2019, "05"), (207, 2019, "06"), (-1, 2019, "06")}
+    part = lake.lake_partition(spark, small_lake, 207, 2019, 5)
     assert sorted(r["seq"] for r in part.collect()) == [1, 2, 3, 4, 20]
     assert lake.lake_partition(spark, small_lake, 5, 2019, 5).count() == 0
     names = frame(MONTH_ROWS).columns
@@ -135,7 +135,7 @@ def test_absent_lake_is_empty(spark, tmp_path):
 
 def test_lake_reads_are_pruned(spark, small_lake):
     for df in (
-        lake.lake_partition(spark, small_lake, 131, 2019, 5),
+        lake.lake_partition(spark, small_lake, 207, 2019, 5),
         lake.lake_months(spark, small_lake, "2019-05", "2019-05"),
     ):
         assert all("line_id=-1" not in f and "month=06" not in f for f in _files_read(df))
@@ -148,9 +148,9 @@ def _files_read(df):
 def test_month_of_the_lake_keeps_the_crossing_segment(spark, routes, small_lake):
     for context in (None, 1):
         june = route_month.run_month(spark, small_lake, routes, 2019, 6, context_months=context)
-        assert {r["line_id"]: r["valid_segments"] for r in june.collect()} == {131: 1, 140: 0, 150: 0}
+        assert {r["line_id"]: r["valid_segments"] for r in june.collect()} == {207: 1, 219: 0, 233: 0}
     arrival = route_month.run_month(spark, small_lake, routes, 2019, 6, mode="arrival")
-    assert {r["line_id"]: r["valid_segments"] for r in arrival.collect()}[131] == 0
+    assert {r["line_id"]: r["valid_segments"] for r in arrival.collect()}[207] == 0
     ranged = route_month.run_range(spark, small_lake, routes, (2019, 4), (2019, 6), context_months=1)
     assert ranged.count() == 9
 
@@ -163,7 +163,7 @@ def test_build_lake(spark, routes, tmp_path):
 
 
 def test_csv_lake(spark, tmp_path):
-    folder = tmp_path / "csv" / "lineId=131" / "year=2019" / "month=05"
+    folder = tmp_path / "csv" / "lineId=207" / "year=2019" / "month=05"
     folder.mkdir(parents=True)
     (folder / "part-0.csv").write_text("".join(lines_of(4)) + "bad\n")
     (folder / "part-1.csv").write_text("".join(lines_of(2)))
@@ -185,10 +185,10 @@ def test_shards(spark, tmp_path):
 
 
 REPORT = [
-    (131, "T31", "Terminal Paso del Comercio - Universidades", "2019-05", 19066.45252, 1097.321666667, 17.375445, 206566, 5871, "OK"),
+    (207, "E7", "Harbour - Hill station", "2019-05", 8421.70314, 530.204166667, 15.883887, 90417, 3120, "OK"),
     (-1, "TESTGT1", "NA", "2019-05", 0.004651, 0.060555556, 0.0768, 1, 11, "OK"),
     (8, 'say "x", y', "Andrés", "2019-05", 0.0, 0.0, 0.0, 0, 0, "NO_DATA"),
-    (131, "T31", "Terminal", "2019-04", 1.0, 0.5, 2.0, 3, 4, "OK"),
+    (207, "E7", "Harbour", "2019-04", 1.0, 0.5, 2.0, 3, 4, "OK"),
 ]
 
 
@@ -212,8 +212,8 @@ def test_speed_csv_bytes(spark, report, tmp_path):
     result_sink.write_speed_csv(report, str(tmp_path / "out"))
     lines = read_text(spark, str(tmp_path / "out")).splitlines()
     assert lines[0].startswith("lineId,shortName,description,yearMonth,")
-    assert [x.split(",")[0] for x in lines[1:]] == ["131", "-1", "8", "131"]
-    assert lines[4] == '131,"T31","Terminal Paso del Comercio - Universidades",2019-05,19066.452520,1097.321666667,17.375445,206566,5871,OK'
+    assert [x.split(",")[0] for x in lines[1:]] == ["207", "-1", "8", "207"]
+    assert lines[4] == '207,"E7","Harbour - Hill station",2019-05,8421.703140,530.204166667,15.883887,90417,3120,OK'
     assert lines[3] == '8,"say ""x"", y","Andrés",2019-05,0.000000,0.000000000,0.000000,0,0,NO_DATA'
 
 
@@ -224,7 +224,7 @@ def test_speed_csv_round_trip(spark, report, tmp_path):
     assert sorted(back.collect()) == sorted(report.collect())
     result_sink.write_store(back, second)
     assert read_text(spark, first) == read_text(spark, second)
-    assert [x.split(",")[0] for x in read_text(spark, first).splitlines()[1:]] == ["-1", "8", "131", "131"]
+    assert [x.split(",")[0] for x in read_text(spark, first).splitlines()[1:]] == ["-1", "8", "207", "207"]
 
 
 @pytest.mark.parametrize("line", ["1,2,3", '1,"a","b",2019-05,x,0,0,1,1,OK'])
@@ -244,31 +244,31 @@ def test_report_json(spark, report):
     assert json.loads(texts[2])["shortName"] == 'say "x", y'
     array = json.loads(result_sink.reports_json_array(report).first()["json"])
     assert [(r["yearMonth"], r["lineId"]) for r in array] == [
-        ("2019-04", 131), ("2019-05", -1), ("2019-05", 8), ("2019-05", 131),
+        ("2019-04", 207), ("2019-05", -1), ("2019-05", 8), ("2019-05", 207),
     ]
 
 
 def test_report_queries(report):
-    assert reports.point(report, 131, 2019, 5).first()["valid_segments"] == 206566
-    assert reports.point(report, 131, 2018, 5).count() == 0
+    assert reports.point(report, 207, 2019, 5).first()["valid_segments"] == 90417
+    assert reports.point(report, 207, 2018, 5).count() == 0
     assert reports.monthly(report, 2019, 5).count() == 3
     assert reports.in_range(report, (2019, 4), (2019, 5)).count() == 4
     assert reports.in_range(report, (2018, 1), (2019, 4)).count() == 1
     assert {r["status"]: r["reports"] for r in reports.run_summary(report).collect()} == {"OK": 3, "NO_DATA": 1}
-    assert [r["line_id"] for r in reports.of_routes(report, [131, 8]).collect()] == [131, 131, 8]
+    assert [r["line_id"] for r in reports.of_routes(report, [207, 8]).collect()] == [207, 207, 8]
     (delta,) = reports.month_deltas(report).collect()
-    assert delta["delta_kmh"] == pytest.approx(15.375445)
+    assert delta["delta_kmh"] == pytest.approx(13.883887)
     bands = {r["line_id"]: r["band"] for r in reports.comparison(report, (2019, 5), (2019, 5)).collect()}
-    assert bands == {131: "good", -1: "bad", 8: "bad"}
-    assert [r["line_id"] for r in reports.store_order(report).collect()] == [-1, 8, 131, 131]
+    assert bands == {207: "good", -1: "bad", 8: "bad"}
+    assert [r["line_id"] for r in reports.store_order(report).collect()] == [-1, 8, 207, 207]
     assert reports.preview(report, 2).count() == 2
 
 
 def test_upsert_last_write_wins(report):
-    change = report.where("line_id = 131 and year_month = '2019-05'").withColumn("valid_segments", F.lit(1).cast("long"))
+    change = report.where("line_id = 207 and year_month = '2019-05'").withColumn("valid_segments", F.lit(1).cast("long"))
     store = reports.upserted(report, change)
     assert store.count() == 4
-    assert reports.point(store, 131, 2019, 5).first()["valid_segments"] == 1
+    assert reports.point(store, 207, 2019, 5).first()["valid_segments"] == 1
 
 
 def test_save_months_replaces_only_given_months(spark, report, tmp_path):

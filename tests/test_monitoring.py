@@ -20,7 +20,7 @@ def at(seconds):
 
 @pytest.fixture(scope="module")
 def zones(spark):
-    return spark.createDataFrame([(131, 1), (140, 2)], "line_id int, zone_id int")
+    return spark.createDataFrame([(207, 1), (219, 2)], "line_id int, zone_id int")
 
 
 @pytest.fixture(scope="module")
@@ -33,15 +33,15 @@ def subscriptions(spark):
 def reports_of_buses(frame):
     return frame(
         [
-            datagram(1, 131, 1, at(0), 34000000, -765000000, 10, 0, 100),
-            datagram(2, 131, 1, at(30), 34000001, -765000000, 10, 1, 100),  # same odometer
-            datagram(3, 131, 1, at(60), 34000002, -765000000, 10, 50, 100),  # critical
-            datagram(4, 131, 1, at(90), 34000003, -765000000, 10, 2, 100),  # still the same
-            datagram(5, 131, 1, at(151), 34000004, -765000000, 10, 0, 101),
-            datagram(6, 140, 1, at(0), 34000005, -765000000, 11, 50, 5),
-            datagram(7, 140, 1, at(61), 34000006, -765000000, 11, 0, 5),  # first routine one
-            datagram(8, 150, 1, at(61), 34000007, -765000000, 12, 0, 5),
-            datagram(9, 150, 1, at(61), 34000007, -765000000, 0, 0, 5),  # empty record
+            datagram(1, 207, 1, at(0), 34000000, -765000000, 10, 0, 100),
+            datagram(2, 207, 1, at(30), 34000001, -765000000, 10, 1, 100),  # same odometer
+            datagram(3, 207, 1, at(60), 34000002, -765000000, 10, 50, 100),  # critical
+            datagram(4, 207, 1, at(90), 34000003, -765000000, 10, 2, 100),  # still the same
+            datagram(5, 207, 1, at(151), 34000004, -765000000, 10, 0, 101),
+            datagram(6, 219, 1, at(0), 34000005, -765000000, 11, 50, 5),
+            datagram(7, 219, 1, at(61), 34000006, -765000000, 11, 0, 5),  # first routine one
+            datagram(8, 233, 1, at(61), 34000007, -765000000, 12, 0, 5),
+            datagram(9, 233, 1, at(61), 34000007, -765000000, 0, 0, 5),  # empty record
         ]
     )
 
@@ -131,23 +131,23 @@ def test_alert_position(reports_of_buses, zones, slice_rows):
 
 def test_month_speed_only_from_ok_reports(spark, reports_of_buses, zones):
     reports = spark.createDataFrame(
-        [(131, "2019-05", 17.5, "OK"), (140, "2019-05", 0.0, "NO_DATA"), (131, "2019-06", 9.0, "OK")],
+        [(207, "2019-05", 17.5, "OK"), (219, "2019-05", 0.0, "NO_DATA"), (207, "2019-06", 9.0, "OK")],
         "line_id int, year_month string, average_speed_kmh double, status string",
     )
     rows = monitoring.with_month_speed(monitoring.bus_updates(reports_of_buses, zones), reports, "2018-01").collect()
-    assert {(r["line_id"], r["line_speed_kmh"]) for r in rows} == {(131, 17.5), (140, None), (150, None)}
+    assert {(r["line_id"], r["line_speed_kmh"]) for r in rows} == {(207, 17.5), (219, None), (233, None)}
     broken = monitoring.bus_updates(reports_of_buses, zones).withColumn("ts_text", F.lit("?"))
     rows = monitoring.with_month_speed(broken, reports, "2019-06").collect()
-    assert {(r["line_id"], r["line_speed_kmh"]) for r in rows} == {(131, 9.0), (140, None), (150, None)}
+    assert {(r["line_id"], r["line_speed_kmh"]) for r in rows} == {(207, 9.0), (219, None), (233, None)}
 
 
 def test_map_filter_and_detail(reports_of_buses, zones):
     updates = monitoring.bus_updates(reports_of_buses, zones)
     assert monitoring.map_filter(updates).count() == 8
-    assert monitoring.map_filter(updates, lines=[140, 150]).count() == 3
+    assert monitoring.map_filter(updates, lines=[219, 233]).count() == 3
     assert monitoring.map_filter(updates, zone_id=1, first_ts=str(at(30)), last_ts=str(at(90))).count() == 3
     detail = monitoring.bus_detail(updates, 10).first()
-    assert (detail["line_id"], detail["operational_state"]) == (131, "EN_RUTA")
+    assert (detail["line_id"], detail["operational_state"]) == (207, "EN_RUTA")
     assert detail["ts"] == at(151)
 
 

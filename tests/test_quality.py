@@ -9,16 +9,16 @@ from fleetspeed.sinks.results import metrics_csv
 from fleetspeed.sources.datagrams import parse_lines
 
 AT = "2019-05-27 10:00:00"
-GOOD = (1, 131, 7, AT, 34761183, -764873683, 10)
+GOOD = (1, 207, 7, AT, 34512345, -765310987, 10)
 CASES = [
     (GOOD, None),
-    ((2, 131, 7, AT, -1, -1, 0), "LAT_MINUS_ONE"),
-    ((3, 131, 7, AT, 34761183, -1, 0), "LON_MINUS_ONE"),
-    ((4, 131, -1, AT, 34761183, -764873683, 0), "BUSID_NONPOSITIVE"),
-    ((5, 131, 7, AT, 34761183, -764873683, -3), "BUSID_NONPOSITIVE"),
-    ((6, 99999, -1, AT, 34761183, -764873683, 10), "TRIPID_NEGATIVE"),
-    ((7, 99999, 7, AT, 34761183, -764873683, 10), "LINEID_NOT_ACTIVE"),
-    ((8, 131, 7, None, 34761183, -764873683, 10), "NULL_DATE"),
+    ((2, 207, 7, AT, -1, -1, 0), "LAT_MINUS_ONE"),
+    ((3, 207, 7, AT, 34512345, -1, 0), "LON_MINUS_ONE"),
+    ((4, 207, -1, AT, 34512345, -765310987, 0), "BUSID_NONPOSITIVE"),
+    ((5, 207, 7, AT, 34512345, -765310987, -3), "BUSID_NONPOSITIVE"),
+    ((6, 99999, -1, AT, 34512345, -765310987, 10), "TRIPID_NEGATIVE"),
+    ((7, 99999, 7, AT, 34512345, -765310987, 10), "LINEID_NOT_ACTIVE"),
+    ((8, 207, 7, None, 34512345, -765310987, 10), "NULL_DATE"),
 ]
 
 
@@ -46,7 +46,7 @@ def test_counts_and_sample(rows, routes):
     assert counts["BUSID_NONPOSITIVE"] == 2 and sum(counts.values()) == 7
     assert [r["seq"] for r in quality.reject_sample(tagged, 3).collect()] == [2, 3, 4]
     split = {r["line_id"]: (r["accepted"], r["rejected"]) for r in quality.accept_reject_counts(tagged).collect()}
-    assert split == {131: (1, 5), 99999: (0, 2)}
+    assert split == {207: (1, 5), 99999: (0, 2)}
 
 
 def test_unreadable_lines_are_malformed(spark, routes):

@@ -16,7 +16,7 @@ from fleetspeed.operators.metrics import run_metrics
 from fleetspeed.operators.segments import trip_segments
 from fleetspeed.plans.route_month import speed_report
 
-FAR = (34516000, -765320000), (34761183, -764873683)
+FAR = (34516000, -765320000), (34512345, -765310987)
 
 
 def totals_of(df, limits=Limits(), mode="normative"):
@@ -65,9 +65,9 @@ def sequential(rows):
 def test_six_rows(frame, routes):
     df = frame(SIX_ROWS)
     report = {r["line_id"]: r for r in speed_report(df, routes).collect()}
-    assert set(report) == {131, 140, 150}
-    assert (report[131]["status"], report[131]["valid_segments"], report[131]["skipped_segments"]) == ("OK", 2, 1)
-    assert report[140]["status"] == report[150]["status"] == "NO_DATA"
+    assert set(report) == {207, 219, 233}
+    assert (report[207]["status"], report[207]["valid_segments"], report[207]["skipped_segments"]) == ("OK", 2, 1)
+    assert report[219]["status"] == report[233]["status"] == "NO_DATA"
     tagged = quality.with_reject_reason(df, routes)
     counters = run_metrics(tagged, trip_segments(quality.valid_datagrams(df, routes))).first()
     assert tuple(counters) == (6, 4, 2)
@@ -76,48 +76,48 @@ def test_six_rows(frame, routes):
 def test_exactly_five_minutes_is_kept(frame):
     rows = lambda s: frame(
         [
-            datagram(1, 131, 1, "2019-05-27 10:00:00", *FAR[0], 10),
-            datagram(2, 131, 1, datetime(2019, 5, 27, 10, 5) + timedelta(microseconds=s), *FAR[1], 10),
+            datagram(1, 207, 1, "2019-05-27 10:00:00", *FAR[0], 10),
+            datagram(2, 207, 1, datetime(2019, 5, 27, 10, 5) + timedelta(microseconds=s), *FAR[1], 10),
         ]
     )
-    assert totals_of(rows(0))[(131, "2019-05")][:2] == (1, 0)
-    assert totals_of(rows(500))[(131, "2019-05")][:2] == (0, 1)
-    assert totals_of(rows(1_000_000))[(131, "2019-05")][:2] == (0, 1)
+    assert totals_of(rows(0))[(207, "2019-05")][:2] == (1, 0)
+    assert totals_of(rows(500))[(207, "2019-05")][:2] == (0, 1)
+    assert totals_of(rows(1_000_000))[(207, "2019-05")][:2] == (0, 1)
 
 
 def test_speed_limit_is_inclusive(frame):
     df = frame(
         [
-            datagram(1, 131, 1, "2019-05-27 10:00:00", 0, 0, 10),
-            datagram(2, 131, 1, "2019-05-27 10:01:00", 0, 1_000_000, 10),
+            datagram(1, 207, 1, "2019-05-27 10:00:00", 0, 0, 10),
+            datagram(2, 207, 1, "2019-05-27 10:01:00", 0, 1_000_000, 10),
         ]
     )
     km = trip_segments(df).where("segment_ok is not null").first()["km"]
-    assert totals_of(df, Limits(max_speed_kmh=km / (1 / 60)))[(131, "2019-05")][0] == 1
-    assert totals_of(df, Limits(max_speed_kmh=km / (1 / 60) - 1e-6))[(131, "2019-05")][:2] == (0, 1)
+    assert totals_of(df, Limits(max_speed_kmh=km / (1 / 60)))[(207, "2019-05")][0] == 1
+    assert totals_of(df, Limits(max_speed_kmh=km / (1 / 60) - 1e-6))[(207, "2019-05")][:2] == (0, 1)
 
 
 def test_trips_are_not_joined(frame):
     df = frame(
         [
-            datagram(1, 131, 1, "2019-05-27 10:00:00", *FAR[0], 10),
-            datagram(2, 131, 2, "2019-05-27 10:01:00", *FAR[1], 10),
+            datagram(1, 207, 1, "2019-05-27 10:00:00", *FAR[0], 10),
+            datagram(2, 207, 2, "2019-05-27 10:01:00", *FAR[1], 10),
         ]
     )
     for mode in ("normative", "sorted", "arrival"):
-        assert totals_of(df, mode=mode)[(131, "2019-05")][:2] == (0, 0)
+        assert totals_of(df, mode=mode)[(207, "2019-05")][:2] == (0, 0)
 
 
 def test_late_row_does_not_advance_but_rejected_segment_does(frame):
     lat = 30000000
     df = frame(
         [
-            datagram(1, 131, 1, "2019-05-27 10:00:00", lat, 0, 10),
-            datagram(2, 131, 1, "2019-05-27 09:59:00", lat + 9000, 0, 10),  # late
-            datagram(3, 131, 1, "2019-05-27 10:00:00", lat + 9000, 0, 10),  # equal time: late
-            datagram(4, 131, 1, "2019-05-27 10:01:00", lat + 1000, 0, 10),  # pairs with 1
-            datagram(5, 131, 1, "2019-05-27 10:20:00", lat + 2000, 0, 10),  # gap
-            datagram(6, 131, 1, "2019-05-27 10:21:00", lat + 3000, 0, 10),  # pairs with 5
+            datagram(1, 207, 1, "2019-05-27 10:00:00", lat, 0, 10),
+            datagram(2, 207, 1, "2019-05-27 09:59:00", lat + 9000, 0, 10),  # late
+            datagram(3, 207, 1, "2019-05-27 10:00:00", lat + 9000, 0, 10),  # equal time: late
+            datagram(4, 207, 1, "2019-05-27 10:01:00", lat + 1000, 0, 10),  # pairs with 1
+            datagram(5, 207, 1, "2019-05-27 10:20:00", lat + 2000, 0, 10),  # gap
+            datagram(6, 207, 1, "2019-05-27 10:21:00", lat + 3000, 0, 10),  # pairs with 5
         ]
     )
     rows = {r["seq"]: r for r in trip_segments(df).collect()}
@@ -125,20 +125,20 @@ def test_late_row_does_not_advance_but_rejected_segment_does(frame):
     assert [rows[i]["segment_ok"] for i in range(1, 7)] == [None, None, None, True, False, True]
     assert rows[4]["km"] == pytest.approx(km_between((lat, 0), (lat + 1000, 0)))
     # The same rows in the other modes: late rows take part.
-    assert totals_of(df, mode="sorted")[(131, "2019-05")][:2] == (3, 2)
-    assert totals_of(df, mode="arrival")[(131, "2019-05")][:2] == (3, 2)
+    assert totals_of(df, mode="sorted")[(207, "2019-05")][:2] == (3, 2)
+    assert totals_of(df, mode="arrival")[(207, "2019-05")][:2] == (3, 2)
 
 
 def test_segment_over_the_month_end(frame):
     df = frame(
         [
-            datagram(1, 131, 1, "2019-05-31 23:59:30", 30000000, 0, 10),
-            datagram(2, 131, 1, "2019-06-01 00:00:30", 30001000, 0, 10),
+            datagram(1, 207, 1, "2019-05-31 23:59:30", 30000000, 0, 10),
+            datagram(2, 207, 1, "2019-06-01 00:00:30", 30001000, 0, 10),
         ]
     )
-    assert totals_of(df)[(131, "2019-06")][:2] == (1, 0)
-    assert totals_of(df)[(131, "2019-05")][:2] == (0, 0)
-    assert totals_of(df, mode="arrival")[(131, "2019-06")][:2] == (0, 0)
+    assert totals_of(df)[(207, "2019-06")][:2] == (1, 0)
+    assert totals_of(df)[(207, "2019-05")][:2] == (0, 0)
+    assert totals_of(df, mode="arrival")[(207, "2019-06")][:2] == (0, 0)
 
 
 def test_line_minus_one_counts_only_in_the_normative_mode(frame):
@@ -182,7 +182,7 @@ def test_one_key_with_a_third_of_the_rows(frame):
         ts = datetime(2019, 5, 30, 12) + timedelta(seconds=seq * 20 + rng.choice([0, 0, 0, -90, -4000, 300]))
         trip = 1 if hot else seq % 11
         bus = 1 if hot else 2 + seq % 5
-        rows.append(datagram(seq, 131, trip, ts, 30000000 + rng.randrange(4000), rng.randrange(4000), bus))
+        rows.append(datagram(seq, 207, trip, ts, 30000000 + rng.randrange(4000), rng.randrange(4000), bus))
     df = frame(rows)
     expected = sequential(df.collect())
     assert totals_of(df, Limits(slice_rows=25)) == expected
@@ -206,11 +206,11 @@ def test_merge_of_bus_shards(derived, spark):
 
 def test_report_grid_and_order(frame, routes):
     df = frame(
-        SIX_ROWS + [datagram(9, 140, 2, "2019-06-01 10:00:00", 30000000, -760000000, 11)]
+        SIX_ROWS + [datagram(9, 219, 2, "2019-06-01 10:00:00", 30000000, -760000000, 11)]
     )
     rows = speed_report(df, routes).collect()
     assert [(r["year_month"], r["line_id"]) for r in rows] == [
-        (m, line) for m in ("2019-05", "2019-06") for line in (131, 140, 150)
+        (m, line) for m in ("2019-05", "2019-06") for line in (207, 219, 233)
     ]
     empty = speed_report(df.limit(0), routes)
     assert empty.count() == 0
@@ -222,4 +222,4 @@ def test_range_report_has_every_month(frame, routes):
     assert len(rows) == 13 * 3
     assert sum(r["status"] == "OK" for r in rows) == 1
     single = speed.month_report(totals, routes, "2019-05").collect()
-    assert [r["line_id"] for r in single] == [131, 140, 150]
+    assert [r["line_id"] for r in single] == [207, 219, 233]

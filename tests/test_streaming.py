@@ -113,10 +113,10 @@ def test_signal_loss_equals_the_gap_list(spark, derived, landed, tmp_path):
 def test_signal_loss_timer_fires_once(spark, frame, tmp_path):
     """Bus 1 falls silent; bus 2 moves time on; bus 1 comes back later."""
     rows = [
-        [datagram(1, 131, 1, at(0), 1, 1, 1), datagram(2, 131, 1, at(0), 1, 1, 2)],
-        [datagram(3, 131, 1, at(8000), 1, 1, 2)],
-        [datagram(4, 131, 1, at(8010), 1, 1, 2)],
-        [datagram(5, 131, 1, at(8020), 1, 1, 1)],
+        [datagram(1, 207, 1, at(0), 1, 1, 1), datagram(2, 207, 1, at(0), 1, 1, 2)],
+        [datagram(3, 207, 1, at(8000), 1, 1, 2)],
+        [datagram(4, 207, 1, at(8010), 1, 1, 2)],
+        [datagram(5, 207, 1, at(8020), 1, 1, 1)],
     ]
     folder = str(tmp_path)
     for part in rows:
@@ -198,7 +198,7 @@ def test_repeats_are_dropped(spark, derived, landed, tmp_path):
 
 def test_throttled_alert_stream(spark, frame, tmp_path):
     folder = str(tmp_path)
-    alerts = [datagram(i, 131, 1, at(s), 1, 1, bus, 50) for i, (s, bus) in enumerate([(0, 1), (4, 1), (5, 1), (4, 2), (900, 1), (901, 3)])]
+    alerts = [datagram(i, 207, 1, at(s), 1, 1, bus, 50) for i, (s, bus) in enumerate([(0, 1), (4, 1), (5, 1), (4, 2), (900, 1), (901, 3)])]
     for part in (alerts[:4], alerts[4:5], alerts[5:]):
         frame(part).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
     no_zones = spark.createDataFrame([], "line_id int, zone_id int")

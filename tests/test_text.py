@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from fleetspeed.functions import geo, text, timekeys
 from fleetspeed.sources.datagrams import parse_lines, readable
 
-CANONICAL = "0,28-MAY-19,513327,70,34761183,-764873683,757,2241,159,6255401365,2019-05-27 20:14:43,1069"
+CANONICAL = "0,14-MAY-19,604118,70,34512345,-765310987,391,2077,31,7300125588,2019-05-14 06:30:10,4217"
 
 
 def one(spark, column):
@@ -21,15 +24,15 @@ def parsed(spark, *lines):
 def test_canonical_line(spark):
     (row,) = parsed(spark, CANONICAL)
     assert row["parse_error"] is None
-    assert (row["line_id"], row["trip_id"], row["bus_id"], row["unknown1"]) == (2241, 159, 1069, 6255401365)
-    assert str(row["ts"]) == "2019-05-27 20:14:43"
-    assert one(spark, geo.degrees_of(F.lit(row["raw_lat"]))) == pytest.approx(3.4761183)
-    assert one(spark, geo.degrees_of(F.lit(row["raw_lon"]))) == pytest.approx(-76.4873683)
+    assert (row["line_id"], row["trip_id"], row["bus_id"], row["unknown1"]) == (2077, 31, 4217, 7300125588)
+    assert str(row["ts"]) == "2019-05-14 06:30:10"
+    assert one(spark, geo.degrees_of(F.lit(row["raw_lat"]))) == pytest.approx(3.4512345)
+    assert one(spark, geo.degrees_of(F.lit(row["raw_lon"]))) == pytest.approx(-76.5310987)
 
 
 def test_scientific_notation(spark):
-    (row,) = parsed(spark, CANONICAL.replace("6255401365", "6.255401365E9"))
-    assert row["parse_error"] is None and row["unknown1"] == 6255401365
+    (row,) = parsed(spark, CANONICAL.replace("7300125588", "7.300125588E9"))
+    assert row["parse_error"] is None and row["unknown1"] == 7300125588
 
 
 @pytest.mark.parametrize(
@@ -38,11 +41,11 @@ def test_scientific_notation(spark):
         ("not,enough,fields", "FieldCount"),
         ("", "FieldCount"),
         (CANONICAL + ",1", "FieldCount"),
-        (CANONICAL.replace("2019-05-27", "2019-05-xx"), "FieldFormat"),
-        (CANONICAL.replace("2019-05-27 20:14:43", "2019-05-27"), "FieldFormat"),
-        (CANONICAL.replace(",757,", ",75.7,"), "FieldFormat"),
-        (CANONICAL.replace(",1069", ",99999999999"), "FieldFormat"),
-        (CANONICAL.replace(",159,", ",,"), "FieldFormat"),
+        (CANONICAL.replace("2019-05-14", "2019-05-xx"), "FieldFormat"),
+        (CANONICAL.replace("2019-05-14 06:30:10", "2019-05-14"), "FieldFormat"),
+        (CANONICAL.replace(",391,", ",39.1,"), "FieldFormat"),
+        (CANONICAL.replace(",4217", ",99999999999"), "FieldFormat"),
+        (CANONICAL.replace(",31,", ",,"), "FieldFormat"),
     ],
 )
 def test_bad_lines(spark, line, error):
@@ -54,7 +57,7 @@ def test_blank_padding_and_quotes(spark):
     padded = ", ".join(CANONICAL.split(","))
     quoted = ",".join(f'"{f}"' for f in CANONICAL.split(","))
     for row in parsed(spark, padded, quoted):
-        assert row["parse_error"] is None and row["bus_id"] == 1069
+        assert row["parse_error"] is None and row["bus_id"] == 4217
 
 
 @pytest.mark.parametrize(
@@ -74,24 +77,21 @@ def test_split_fields(spark, line, fields):
     assert one(spark, text.split_fields(F.lit(line))) == fields
 
 
-def _reference_split(line):
-    """Character-wise reading, as an independent check of the column expression."""
-    fields, current, inside, i = [], "", False, 0
-    while i < len(line):
-        c = line[i]
-        if c == '"':
-            if inside and line[i + 1 : i + 2] == '"':
-                current += '"'
-                i += 1
-            else:
-                inside = not inside
-        elif c == "," and not inside:
-            fields.append(current)
-            current = ""
+TOKEN = re.compile(r'(?P<quoted>"(?:[^"]|"")*"?)|(?P<comma>,)|(?P<plain>[^",]+)')
+
+
+def fields_by_tokens(line):
+    """The line as quoted parts, plain parts and commas; parts between commas make a field."""
+    parts = [[]]
+    for token in TOKEN.finditer(line):
+        if token["comma"]:
+            parts.append([])
+        elif token["plain"]:
+            parts[-1].append(token["plain"])
         else:
-            current += c
-        i += 1
-    return [*fields, current]
+            body = token["quoted"][1:].replace('""', "\0").replace('"', "")
+            parts[-1].append(body.replace("\0", '"'))
+    return ["".join(p) for p in parts]
 
 
 def test_split_fields_on_all_short_texts(spark):
@@ -100,7 +100,7 @@ def test_split_fields_on_all_short_texts(spark):
     lines = ["".join(p) for n in range(7) for p in itertools.product('a,"', repeat=n)]
     df = spark.createDataFrame([(line,) for line in lines], "value string")
     for row in df.select("value", text.split_fields(F.col("value")).alias("f")).collect():
-        assert row["f"] == _reference_split(row["value"]), row["value"]
+        assert row["f"] == fields_by_tokens(row["value"]), row["value"]
 
 
 def test_readable_keeps_schema(spark):
@@ -141,8 +141,10 @@ def test_haversine(spark):
     def km(*p):
         return one(spark, geo.haversine_km(*[F.lit(float(x)) for x in p]))
 
-    pair = (3.4516, -76.5320, 3.4761183, -76.4873683)
-    assert km(*pair) == pytest.approx(5.66, abs=0.15)
+    pair = (3.4210, -76.5205, 3.4512345, -76.5310987)
+    lat1, lon1, lat2, lon2 = map(math.radians, pair)
+    cosine = math.sin(lat1) * math.sin(lat2) + math.cos(lat1) * math.cos(lat2) * math.cos(lon2 - lon1)
+    assert km(*pair) == pytest.approx(6371.0088 * math.acos(cosine), rel=1e-5)
     assert km(*pair) == pytest.approx(km(*pair[2:], *pair[:2]), rel=1e-12)
     assert km(3.4, -76.5, 3.4, -76.5) == 0
     assert km(0, 0, 0, 180) == pytest.approx(20015.1, abs=0.5)
