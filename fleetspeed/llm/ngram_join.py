@@ -6,8 +6,9 @@ first, and two sets that reach the threshold share a shingle of their prefixes.
 index lists.
 
 * Every set of a list is first compared with the list's leader alone, so a list costs as many
-  comparisons as it has sets.  Sets linked to one leader are answered by that: they are one
-  component, and no pair among them is looked at again.
+  comparisons as it has sets.  The leader is the set in which the list's shingle comes earliest: the
+  one with the fewest shingles of its own, as the original of edited copies is.  Sets linked to one
+  leader are answered by that: they are one component, and no pair among them is looked at again.
 * What can be missing are links between different components of a list.  Its entries are cut into
   blocks by size and position; two blocks whose positions leave too few common shingles are skipped
   as a whole.  Known similarities to the leader rule out further pairs, since Jaccard distance obeys
@@ -140,7 +141,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, join: Join)
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of the lists with two nodes or more, each with its list's first entry.
 
-    The rows come sorted by token and node; only the open list's first entry is kept meanwhile.
+    The rows come sorted by token, position and node; only the open list's first entry is kept meanwhile.
     """
     names = ["token", "node", "place", "leader", "leader_place"]
     token = leader = place = None  # first entry of the open list
@@ -186,7 +187,7 @@ def index_lists(texts: DataFrame, counts, join: Join) -> DataFrame:
 
     return (
         prefixes.repartition("token")
-        .sortWithinPartitions("token", "node")
+        .sortWithinPartitions("token", F.col("place").bitwiseAND(F.lit(low)), "node")
         .mapInArrow(_led, schema)
         .select(
             "token", "node", *unpacked("place", "n", "at"), "leader", *unpacked("leader_place", "leader_n", "leader_at")
