@@ -6,7 +6,8 @@ documents, which are ordered by ``doc_id``; all strings are judged on the input.
 1. Every string of ``length`` bytes holds an anchor, the k-gram with the least hash in it, so equal
    strings have equal anchors.  Consecutive strings with the same anchor form a run.  Runs are sorted by
    anchor and content: of equal runs all but the first are removed whole, and only anchors with
-   different runs go on, each run once.
+   different runs go on, each run once.  Copies within a block of texts are told apart before the
+   shuffle and dealt anywhere, so a passage that all texts share meets once a block, not once a text.
 2. Runs of one anchor meet in a task as shards.  The rows of their transforms, laid end to end, are the
    first interleave.  Each step puts the two symbols before a row in front of it and stably deals the
    rows by them: the interleave then is sorted by a prefix two symbols longer.  A row whose block ends
@@ -38,6 +39,7 @@ from fleetspeed.llm.words import BLOCK, mix, power, text_blocks, text_bytes, u64
 
 NULL_ID = -(1 << 63)
 _START, _TAG = 8, 39  # bits of a place: text tag (24), start (31), run length (8)
+COPY = np.int64(-(1 << 63))  # sign of a place: the run is known to be a copy
 
 
 @dataclass(frozen=True)
@@ -85,6 +87,17 @@ def _runs(data: np.ndarray, offsets: np.ndarray, repeats: Repeats):
     return grams[anchor[head]], content, begin - offsets[row], end - begin, row
 
 
+def _copies_in_block(anchor, content, doc, place) -> np.ndarray:
+    """Runs of a block that equal an earlier one of it; they need not meet the others to be known as copies."""
+    order = np.argsort(content, kind="stable")
+    equal = content[order][1:] == content[order][:-1]
+    own = order[np.append(equal, False) | np.append(False, equal)] if len(order) > 1 else order[:0]
+    own = own[np.lexsort((place[own], doc[own], anchor[own], content[own]))]
+    again = np.zeros(len(own), bool)
+    again[1:] = (content[own][1:] == content[own][:-1]) & (anchor[own][1:] == anchor[own][:-1])
+    return own[again]
+
+
 def _run_rows(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterator[pa.RecordBatch]:
     step = BLOCK - repeats.length + 1
     for batch in batches:
@@ -104,6 +117,9 @@ def _run_rows(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterator[p
                 anchor, content, start, size, own = found
                 own = own + row
                 place = tag[own] << _TAG | (start + at) << _START | size
+                copies = _copies_in_block(anchor, content, doc[own], place)
+                anchor[copies] = mix(doc[own][copies].view(u64) ^ place[copies].view(u64))  # anywhere
+                place[copies] |= COPY
                 columns = (anchor.view(np.int64), content.view(np.int64), doc[own], place)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "doc", "place"])
 
@@ -118,6 +134,11 @@ def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = None  # the open anchor's first run, while it is the only one
     for batch in batches:
         anchor, content, doc, place = (batch[k].to_numpy() for k in ("anchor", "content", "doc", "place"))
+        known = place < 0
+        if known.any():
+            none = pa.nulls(int(known.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(doc[known]), pa.array(place[known] & ~COPY)], ["anchor", "doc", "place"])
+            anchor, content, doc, place = (x[~known] for x in (anchor, content, doc, place))
         n = len(anchor)
         if not n:
             continue
@@ -220,7 +241,8 @@ def _later_starts(docs, places, parts: list[bytes], repeats: Repeats) -> pa.Reco
     at = (places[run] >> _START & ((1 << 31) - 1)) + starts - begin[run]
     doc = docs[run]
     order = np.lexsort((at, tag, doc, interval))
-    later = np.append(False, interval[order][1:] == interval[order][:-1])
+    later = np.zeros(len(order), bool)
+    later[1:] = interval[order][1:] == interval[order][:-1]
     doc, tag, at = doc[order][later], tag[order][later], at[order][later]
     order = np.lexsort((at, tag, doc))
     doc, tag, at = doc[order], tag[order], at[order]
