@@ -14,6 +14,8 @@ index lists.
   as a whole.  Known similarities to the leader rule out further pairs, since Jaccard distance obeys
   the triangle inequality.  The pairs that are left are compared exactly.
 
+Before sets are compared, counts of their shingles in 256 bins bound what they can share.
+
 So no link is lost, and no group of copies is expanded into its pairs.  Lists are streamed in sorted
 order, however long.
 
@@ -80,12 +82,21 @@ def _slot(tokens: np.ndarray, join: Join) -> np.ndarray:
     return (tokens >> u64(64 - join.count_bits)).astype(np.int64)
 
 
+def _sketch(tokens: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of 256 bins; none for sets with a full bin."""
+    bins = np.bincount((tokens >> u64(8) & u64(255)).astype(np.int64), minlength=256)
+    return bins.astype(np.uint8).tobytes() if bins.max() < 256 else None
+
+
 def _signed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, node = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+        sketches = [None] * len(batch)
         for row, tokens in document_sets(batch["text"], join):
-            n[row], node[row] = len(tokens), node_of(tokens)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(node)], ["doc_id", "n", "node"])
+            n[row], node[row], sketches[row] = len(tokens), node_of(tokens), _sketch(tokens)
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"], pa.array(n), pa.array(node), pa.array(sketches, pa.binary())], ["doc_id", "n", "node", "sketch"]
+        )
 
 
 def _counted(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
@@ -223,10 +234,46 @@ def _slot_table(nodes: DataFrame) -> np.ndarray:
     return table
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most shingles two sets can share, by their sketches; null where one has none."""
+    for batch in batches:
+        known = np.array(batch["mine"].is_valid()) & np.array(batch["theirs"].is_valid())
+        rows = batch.filter(pa.array(known))
+        mine, theirs = (
+            np.frombuffer(b"".join(rows[k].to_pylist()), np.uint8).reshape(-1, 256) for k in ("mine", "theirs")
+        )
+        bound = np.zeros(len(batch), np.int64)
+        bound[known] = np.minimum(mine, theirs).sum(axis=1, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch["node"], batch["other"], pa.array(bound, mask=~known), batch["both"]], ["node", "other", "bound", "both"]
+        )
+
+
+def compared(spark: SparkSession, texts: DataFrame, signed: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """The pairs with the size of their intersection (``common``) and of both sets, and whether it is ``exact``.
+
+    Where the sketches show that a pair can't link, ``common`` is what it can have at most.
+    """
+    nodes = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
+    sketches = signed.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    bounded = (
+        pairs.join(sketches.select("node", F.col("n").alias("my_n"), F.col("sketch").alias("mine")), "node")
+        .join(sketches.select(F.col("node").alias("other"), F.col("n").alias("their_n"), F.col("sketch").alias("theirs")), "other")
+        .select("node", "other", "mine", "theirs", (F.col("my_n") + F.col("their_n")).alias("both"))
+        .mapInArrow(_bounded, "node long, other long, bound long, both long")
+    )
+    bounded = stored(spark, bounded, "bounded-pairs")
+    hopeless = F.coalesce(F.col("bound") < needed(join, F.col("both")), F.lit(False))
+    ruled_out = bounded.where(hopeless).select("node", "other", F.col("bound").alias("common"), "both", F.lit(False).alias("exact"))
+    counted = verified(spark, texts, bounded.where(~hopeless).select("node", "other"), join)
+    return counted.withColumn("exact", F.lit(True)).union(ruled_out)
+
+
 def verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     """The pairs (``node``, ``other``) with the size of their intersection and of both sets."""
     nodes = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
     shared = spark.sparkContext.broadcast(_slot_table(nodes))
+    # Both joins read one shuffle of the sets, dealt by node.
     sets = (
         texts.select("text")
         .mapInArrow(lambda batches: _wanted_sets(batches, shared.value, join), "node long, tokens array<long>")
@@ -234,7 +281,6 @@ def verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, join: Join
         .groupBy("node")
         .agg(F.first("tokens").alias("tokens"))
     )
-    sets = stored(spark, sets, "join-sets")
     return (
         pairs.join(sets.select("node", F.col("tokens").alias("mine")), "node")
         .join(sets.select(F.col("node").alias("other"), F.col("tokens").alias("theirs")), "other")
@@ -282,12 +328,16 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def _remaining_pairs(lists: DataFrame, groups: DataFrame, similar: DataFrame, join: Join) -> DataFrame:
     """Pairs of different components that share a list and that no filter rules out."""
-    known = similar.select("node", F.col("other").alias("leader"), (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("far"))
+    least = 1 - F.col("common") / (F.col("both") - F.col("common"))
+    known = similar.select(
+        "node", F.col("other").alias("leader"), least.alias("far"), F.when(F.col("exact"), least).otherwise(1.0).alias("farthest")
+    )
     entries = (
         lists.join(groups, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
         .join(known, ["node", "leader"], "left")
-        .withColumn("far", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")))
+        .withColumn("far", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("far", F.lit(0.0))))
+        .withColumn("farthest", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("farthest", F.lit(1.0))))
     )
     mixed = (
         entries.groupBy("token")
@@ -316,7 +366,7 @@ def _remaining_pairs(lists: DataFrame, groups: DataFrame, similar: DataFrame, jo
         & ((F.col("a_low") != F.col("b_high")) | (F.col("a_high") != F.col("b_low")))
         & (F.least("a_most_left", "b_most_left") >= needed(join, F.col("a_least_n") + F.col("b_least_n")))
     )
-    columns = ["node", "n", "at", "component", "leader", "far"]
+    columns = ["node", "n", "at", "component", "leader", "far", "farthest"]
 
     def side(name: str) -> DataFrame:
         return entries.select(
@@ -334,7 +384,8 @@ def _remaining_pairs(lists: DataFrame, groups: DataFrame, similar: DataFrame, jo
         .where(
             (F.col("a_component") != F.col("b_component"))
             & _may_link(join, F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at"))
-            & F.coalesce(F.abs(F.col("a_far") - F.col("b_far")) <= distance, F.lit(True))
+            & (F.col("a_far") - F.col("b_farthest") <= distance)
+            & (F.col("b_far") - F.col("a_farthest") <= distance)
             # Pairs with the leader have been compared.
             & (F.col("a_node") != F.col("b_leader"))
             & (F.col("b_node") != F.col("a_leader"))
@@ -343,7 +394,7 @@ def _remaining_pairs(lists: DataFrame, groups: DataFrame, similar: DataFrame, jo
     return pairs.select(F.least("a_node", "b_node").alias("node"), F.greatest("a_node", "b_node").alias("other")).distinct()
 
 
-def node_components(spark: SparkSession, texts: DataFrame, join: Join) -> DataFrame:
+def node_components(spark: SparkSession, texts: DataFrame, signed: DataFrame, join: Join) -> DataFrame:
     """``node`` and ``component`` of all nodes that link with another node."""
     counts = spark.sparkContext.broadcast(shingle_counts(texts, join))  # 2 ** count_bits numbers
     lists = stored(spark, index_lists(texts, counts, join), "join-lists")
@@ -354,11 +405,11 @@ def node_components(spark: SparkSession, texts: DataFrame, join: Join) -> DataFr
         .distinct()
     )
     with_leader = stored(spark, with_leader, "leader-pairs")
-    similar = stored(spark, verified(spark, texts, with_leader, join), "leader-links")
+    similar = stored(spark, compared(spark, texts, signed, with_leader, join), "leader-links")
     links = similar.where(linked(join)).select("node", "other")
     groups = components(spark, links)
     remaining = stored(spark, _remaining_pairs(lists, groups, similar, join), "remaining-pairs")
-    more = stored(spark, verified(spark, texts, remaining, join).where(linked(join)), "remaining-links")
+    more = stored(spark, compared(spark, texts, signed, remaining, join).where(linked(join)), "remaining-links")
     if not more.head(1):
         return groups
     return components(spark, links.union(more.select("node", "other")))
@@ -367,8 +418,10 @@ def node_components(spark: SparkSession, texts: DataFrame, join: Join) -> DataFr
 def classes(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, the set's ``node`` and the component's least node of every row."""
     texts = with_text(docs)
-    signed = stored(spark, texts.mapInArrow(lambda b: _signed(b, join), "doc_id long, n long, node long"), "join-nodes")
-    groups = node_components(spark, texts, join)
+    schema = "doc_id long, n long, node long, sketch binary"
+    signed = stored(spark, texts.mapInArrow(lambda b: _signed(b, join), schema), "join-nodes")
+    groups = node_components(spark, texts, signed.where("n > 0").select("node", "n", "sketch"), join)
+    signed = signed.drop("sketch")
     named = signed.where("n > 0").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     full = named.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "component")
