@@ -68,7 +68,6 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "nation")
-        .where("n_nationkey < 6")
         .select(F.expr(ROUTE_LINE_EXPR).alias("line_id"), F.expr("CAST(n_regionkey AS INT)").alias("zone_id"))
     )
 
@@ -76,24 +75,16 @@ def line_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "supplier")
-        .where("s_suppkey % 3 <> 0")
         .select(F.col("s_name").alias("user_id"), F.expr("CAST(s_nationkey % 5 AS INT)").alias("zone_id"))
     )
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = "CAST(s_suppkey % 4 AS INT)"
-    second = "CAST((s_suppkey + 1) % 4 AS INT)"
-    return (
-        table(spark, sf_dir, "supplier")
-        .where("s_suppkey <= 6")
-        .select(
-            F.col("s_name").alias("subscriber"),
-            F.explode(
-                F.expr(f"CASE WHEN s_suppkey % 2 = 0 THEN array({first}, {second}) ELSE array({first}) END")
-            ).alias("zone_id"),
-        )
-    )
+    """Every nation is a control room, of one zone or two; zone 0 means all."""
+    first = "CAST(n_nationkey % 5 AS INT)"
+    second = "CAST((n_nationkey + 1) % 5 AS INT)"
+    rooms = F.expr(f"CASE WHEN n_nationkey % 2 = 0 THEN array({first}, {second}) ELSE array({first}) END")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("subscriber"), F.explode(rooms).alias("zone_id"))
 
 
 def datagram_lines(datagrams_df: DataFrame) -> DataFrame:

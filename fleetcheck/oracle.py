@@ -19,7 +19,7 @@ d AS (SELECT {_COLS},
 routes AS (SELECT {ROUTE_LINE_EXPR} AS line_id, n_name AS short_name, r_name AS description
            FROM nation JOIN region ON n_regionkey = r_regionkey),
 zones AS (SELECT {ROUTE_LINE_EXPR} AS line_id, CAST(n_regionkey AS INT) AS zone_id
-          FROM nation WHERE n_nationkey < 6),
+          FROM nation),
 plausible AS (SELECT d.*, raw_lat / 1e7 AS lat, raw_lon / 1e7 AS lon, strftime(ts, '%Y-%m') AS year_month
               FROM d WHERE raw_lat <> -1 AND raw_lon <> -1 AND bus_id > 0 AND trip_id >= 0
                 AND ts IS NOT NULL),
@@ -125,9 +125,8 @@ upd AS (SELECT st.*, raw_lat / 1e7 AS lat, raw_lon / 1e7 AS lon, coalesce(z.zone
         FROM st LEFT JOIN zones z USING (line_id)),
 alerts AS (SELECT seq, bus_id, line_id, zone_id, event_type, 'ALTA' AS priority, ts,
              'Excepcional eventType=' || CAST(event_type AS VARCHAR) AS description FROM upd WHERE exceptional),
-subs AS (SELECT s_name AS subscriber, CAST(s_suppkey % 4 AS INT) AS zone_id FROM supplier WHERE s_suppkey <= 6
-         UNION ALL SELECT s_name, CAST((s_suppkey + 1) % 4 AS INT) FROM supplier
-         WHERE s_suppkey <= 6 AND s_suppkey % 2 = 0),
+subs AS (SELECT n_name AS subscriber, CAST(n_nationkey % 5 AS INT) AS zone_id FROM nation
+         UNION ALL SELECT n_name, CAST((n_nationkey + 1) % 5 AS INT) FROM nation WHERE n_nationkey % 2 = 0),
 last_upd AS (SELECT * FROM upd QUALIFY row_number() OVER (PARTITION BY bus_id ORDER BY seq DESC) = 1)"""
 )
 _TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
@@ -181,6 +180,23 @@ def oracle_sql() -> dict[str, str]:
     updates = _with(_STATES, f"SELECT {_UPDATE} FROM upd")
     alerts = _with(_STATES, f"SELECT {_ALERT} FROM alerts")
     run = _with(_NORMAL, _RUN)
+    loaded = _with(
+        _DATAGRAMS
+        + f", whole AS (SELECT * FROM valid WHERE {_CSV_KEPT}),"
+        + _segments("seg", "whole")
+        + ","
+        + _totals("tot", "seg")
+        + ","
+        + _report("rep", "tot", "SELECT DISTINCT year_month FROM whole"),
+        f"SELECT {_SPEED_COLUMNS} FROM rep ORDER BY year_month, line_id",
+    )
+    throttled = _with(
+        _STATES,
+        """SELECT bus_id, strftime(time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01 00:00:00'),
+            '%Y-%m-%d %H:%M:%S') AS window_start,
+          count(*) AS alerts, min(seq) AS first_seq, arg_min(description, seq) AS description
+        FROM alerts GROUP BY 1, 2""",
+    )
     sql = {
         "route_month_speed": flagship,
         "partial_merge_by_bus_shard": flagship,
@@ -259,16 +275,20 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT CASE WHEN {_CSV_KEPT} THEN 'NONE' ELSE 'FieldCount' END AS parse_error, count(*) AS n
             FROM d GROUP BY 1""",
         ),
-        "csv_file_scan": _with(
+        "csv_file_scan": loaded,
+        "archive_scan": loaded,
+        "lake_two_loads": loaded,
+        "lake_bulk_then_stream": loaded,
+        "live_chain": _with(
             _DATAGRAMS
-            + f", whole AS (SELECT * FROM valid WHERE {_CSV_KEPT}),"
-            + _segments("seg", "whole")
-            + ","
-            + _totals("tot", "seg")
-            + ","
-            + _report("rep", "tot", "SELECT DISTINCT year_month FROM whole"),
-            f"SELECT {_SPEED_COLUMNS} FROM rep ORDER BY year_month, line_id",
+            + f""",
+acc AS (SELECT *, event_type NOT IN (0, 1, 2) AS exceptional FROM valid WHERE {_CSV_KEPT}),
+told AS (SELECT *, CASE WHEN exceptional THEN 'CRITICO' WHEN odometer = last_value(
+          CASE WHEN NOT exceptional THEN odometer END IGNORE NULLS)
+          OVER (PARTITION BY bus_id ORDER BY seq {_BEFORE}) THEN 'PARADO' ELSE 'EN_RUTA' END AS operational_state FROM acc)""",
+            "SELECT bus_id, line_id, operational_state, count(*) AS n FROM told GROUP BY ALL",
         ),
+        "range_result_file": ranged,
         "route_catalogue_scan": _with(_DATAGRAMS, "SELECT * FROM routes"),
         "zone_map_scan": _with(_DATAGRAMS, "SELECT line_id, zone_id FROM zones"),
         "month_inference": _with(
@@ -345,11 +365,12 @@ def oracle_sql() -> dict[str, str]:
         "result_reconcile": _with(
             _REPORT + "," + _ARRIVAL,
             """SELECT * FROM (SELECT line_id, year_month, round(a.average_speed_kmh, 6) AS actual_kmh,
-              a.valid_segments AS actual_segments, a.status AS actual_status,
-              round(e.average_speed_kmh, 6) AS expected_kmh, e.valid_segments AS expected_segments,
+              a.valid_segments AS actual_segments, a.skipped_segments AS actual_skipped, a.status AS actual_status,
+              round(e.average_speed_kmh, 6) AS expected_kmh, e.valid_segments AS expected_segments, e.skipped_segments AS expected_skipped,
               e.status AS expected_status,
               CASE WHEN a.status IS NULL THEN 'MISSING' WHEN e.status IS NULL THEN 'UNEXPECTED'
                 WHEN abs(a.average_speed_kmh - e.average_speed_kmh) > 1e-4 THEN 'SPEED'
+                WHEN a.valid_segments <> e.valid_segments OR a.skipped_segments <> e.skipped_segments THEN 'SEGMENTS'
                 WHEN a.status <> e.status THEN 'STATUS' END AS difference
               FROM arep a FULL OUTER JOIN rep e USING (line_id, year_month)) WHERE difference IS NOT NULL""",
         ),
@@ -386,14 +407,11 @@ def oracle_sql() -> dict[str, str]:
               date_diff('second', ts, TIMESTAMP '2018-06-04 07:20:00') AS silent_s,
               date_diff('second', ts, TIMESTAMP '2018-06-04 07:20:00') > 60 AS signal_lost FROM last_upd""",
         ),
-        # The watermark ends one hour behind the newest report; later silences are still open.
         "stream_signal_loss_replay": _with(
             _STATES
             + """,
             g AS (SELECT bus_id, ts, lag(ts) OVER (PARTITION BY bus_id ORDER BY seq) AS last_ts FROM c),
-            lost AS (SELECT bus_id, last_ts FROM g WHERE date_diff('second', last_ts, ts) > 60
-              UNION ALL SELECT bus_id, ts FROM last_upd
-              WHERE ts + INTERVAL 61 SECOND <= (SELECT max(ts) FROM c) - INTERVAL 1 HOUR)""",
+            lost AS (SELECT bus_id, last_ts FROM g WHERE date_diff('second', last_ts, ts) > 60)""",
             """SELECT bus_id, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, 'SIN_SENAL' AS operational_state
             FROM lost""",
         ),
@@ -414,8 +432,8 @@ def oracle_sql() -> dict[str, str]:
             _DATAGRAMS,
             """SELECT seq, line_id, coalesce(zone_id, 0) AS zone_id FROM d LEFT JOIN zones USING (line_id)""",
         ),
-        "user_zone": """SELECT s_name AS user_id, CAST(CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey % 5 ELSE 0 END
-            AS INT) AS zone_id FROM supplier""",
+        "user_zone": """SELECT s_name AS user_id, CAST(s_nationkey % 5 AS INT) AS zone_id FROM supplier
+            UNION ALL SELECT c_name, CAST(0 AS INT) FROM customer""",
         "subscription_fanout": _with(
             _STATES,
             f"SELECT subscriber, seq, bus_id, zone_id, operational_state FROM upd x, {_PEOPLE} WHERE {_REACHES}",
@@ -456,13 +474,8 @@ def oracle_sql() -> dict[str, str]:
               round(coalesce(k.lon, -76.52), 7) AS lon
             FROM alerts a ASOF LEFT JOIN known k ON a.bus_id = k.bus_id AND a.seq >= k.seq""",
         ),
-        "alert_throttle": _with(
-            _STATES,
-            """SELECT bus_id, strftime(time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01 00:00:00'),
-                '%Y-%m-%d %H:%M:%S') AS window_start,
-              count(*) AS alerts, min(seq) AS first_seq, arg_min(description, seq) AS description
-            FROM alerts GROUP BY 1, 2""",
-        ),
+        "alert_throttle": throttled,
+        "stream_alert_throttle": throttled,
         "stream_deduplicated": _with(
             _STATES, f"SELECT DISTINCT bus_id, trip_id, {_TS} FROM c"
         ),

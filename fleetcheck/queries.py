@@ -6,8 +6,11 @@ order of the rows.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from fleetspeed.schema import Limits
 from fleetspeed.session import prepare, work_folder
 from fleetspeed.sinks import lake as lake_sink
 from fleetspeed.sinks import results as result_sink
+from fleetspeed.sources import archives
 from fleetspeed.sources import datagrams as datagram_source
 from fleetspeed.sources import lake as lake_source
 from fleetspeed.sources import landing
@@ -473,7 +477,10 @@ def line_zone(spark, sf):
 
 @query
 def user_zone(spark, sf):
-    users = inputs.table(spark, sf, "supplier").select(F.col("s_name").alias("user_id"))
+    # Customers are users without a zone of their own.
+    users = inputs.table(spark, sf, "supplier").select(F.col("s_name").alias("user_id")).unionAll(
+        inputs.table(spark, sf, "customer").select(F.col("c_name").alias("user_id"))
+    )
     return monitoring.with_user_zone(users, inputs.user_zones(spark, sf))
 
 
@@ -553,7 +560,7 @@ def lake_partition_scan(spark, sf):
 @query
 def lake_range_report(spark, sf):
     report = route_month.run_range(
-        spark, _lake(spark, sf), inputs.routes(spark, sf), *RANGE, context_months=1
+        spark, _lake(spark, sf), inputs.routes(spark, sf), *RANGE
     )
     return _rounded(report)
 
@@ -563,11 +570,91 @@ def lake_month_report(spark, sf):
     return _rounded(route_month.run_month(spark, _lake(spark, sf), inputs.routes(spark, sf), *MONTH))
 
 
+def _loaded_report(spark: SparkSession, sf: str, lake: str) -> DataFrame:
+    routes = inputs.routes(spark, sf)
+    totals = speed.route_month_totals(segments.trip_segments(lake_source.read_lake(spark, lake)))
+    return _rounded(speed.complete_report(totals, routes))
+
+
+@query
+def lake_two_loads(spark, sf):
+    """Lines in two bulk loads, the second one behind the first: the report of all of them."""
+    folder, half = work_folder(spark, "loads"), inputs.table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 2
+    lines = inputs.datagram_lines(inputs.datagrams(spark, sf))
+    for name, part in (("first", lines.where(F.col("seq") <= half)), ("second", lines.where(F.col("seq") > half))):
+        part.repartitionByRange(2, "seq").sortWithinPartitions("seq").select("value").write.text(f"{folder}/{name}")
+        route_month.build_lake(spark, inputs.routes(spark, sf), f"{folder}/lake", f"{folder}/{name}")
+    return _loaded_report(spark, sf, f"{folder}/lake")
+
+
+@query
+def lake_bulk_then_stream(spark, sf):
+    """The first half as a bulk load, the rest as micro-batches of raw lines into the same lake."""
+    folder, half = work_folder(spark, "loads"), inputs.table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 2
+    routes = inputs.routes(spark, sf)
+    lines = inputs.datagram_lines(inputs.datagrams(spark, sf).where(F.col("seq") <= half))
+    lines.repartitionByRange(2, "seq").sortWithinPartitions("seq").select("value").write.text(f"{folder}/bulk")
+    route_month.build_lake(spark, routes, f"{folder}/lake", f"{folder}/bulk")
+    stream = _landed_lines(spark, sf, f"{folder}/live", f"seq > {half}")
+    paths = (f"{folder}/lake", f"{folder}/rejects", f"{folder}/checkpoint")
+    ingest.ingest_lines(stream, routes, *paths).awaitTermination()
+    return _loaded_report(spark, sf, f"{folder}/lake")
+
+
+@query
+def live_chain(spark, sf):
+    """Raw lines to accepted datagrams in one stream, and from those to bus updates in the next."""
+    folder, routes = work_folder(spark, "chain"), inputs.routes(spark, sf)
+    stream = _landed_lines(spark, sf, f"{folder}/live", "true")
+    paths = (f"{folder}/lake", f"{folder}/rejects", f"{folder}/checkpoint")
+    ingest.ingest_lines(stream, routes, *paths, accepted=f"{folder}/accepted").awaitTermination()
+    accepted = landing.stream_datagrams(spark, f"{folder}/accepted", files_per_trigger=1)
+    updates = vehicles.bus_update_stream(accepted, inputs.line_zones(spark, sf))
+    found = _drained(spark, updates.select("bus_id", "line_id", "operational_state"), "chain")
+    return found.groupBy("bus_id", "line_id", "operational_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def archive_scan(spark, sf):
+    """Lines packed into zip archives and unpacked again: order and fields survive."""
+    lines = inputs.datagram_lines(inputs.datagrams(spark, sf))
+    path = F.format_string("part-%012d.zip", F.floor(F.col("seq") / 2000))
+    packed = lines.groupBy(path.alias("path")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "\n").alias("text")
+    )
+    landed = archives.unpacked(packed.mapInArrow(_zipped, "path string, content binary"))
+    valid = quality.valid_datagrams(
+        datagram_source.readable(datagram_source.parse_lines(archives.stamp_landed(landed))), inputs.routes(spark, sf)
+    )
+    totals = speed.route_month_totals(segments.trip_segments(valid))
+    return _rounded(speed.complete_report(totals, inputs.routes(spark, sf)))
+
+
+def _zipped(batches):
+    for batch in batches:
+        contents = []
+        for text_of_file in batch["text"].to_pylist():
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("lines.csv", text_of_file)
+            contents.append(held.getvalue())
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(contents, pa.binary())], ["path", "content"])
+
+
+@query
+def range_result_file(spark, sf):
+    """The result file of a range run, read back."""
+    folder = work_folder(spark, "range")
+    report = route_month.run_range(spark, _lake(spark, sf), inputs.routes(spark, sf), *RANGE)
+    route_month.write_range(report, folder)
+    return _rounded(result_source.read_speed_results(spark, folder))
+
+
 @query
 def bus_shards(spark, sf):
     folder = work_folder(spark, "shards")
     lines = inputs.datagram_lines(inputs.datagrams(spark, sf))
-    lake_sink.write_shards(lines.select("value"), folder, SHARDS)
+    lake_sink.write_shards(lines, folder, SHARDS)
     shards = spark.read.option("basePath", folder).text(folder)
     return shards.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("distinct_lines")
@@ -584,6 +671,17 @@ def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.as_datagrams(raw)
 
 
+def _landed_lines(spark: SparkSession, sf: str, folder: str, condition: str) -> DataFrame:
+    """Lines of some rows, landed file after file in arrival order, as a stream of one file a micro-batch."""
+    lines = inputs.datagram_lines(inputs.datagrams(spark, sf).where(condition))
+    low, high, n = lines.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    width = (high - low) // max(3, n // 200_000) + 1
+    for first in range(low, high + 1, width):
+        piece = lines.where(F.col("seq").between(first, first + width - 1))
+        piece.coalesce(1).sortWithinPartitions("seq").select("value").write.mode("append").text(folder)
+    return landing.stream_lines(spark, folder, files_per_trigger=1)
+
+
 def _drained(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
     """Run an append stream over all that has landed and read what it wrote."""
     folder = work_folder(spark, purpose)
@@ -630,7 +728,7 @@ def stream_publish_replay(spark, sf):
 @query
 def stream_signal_loss_replay(spark, sf):
     rows = monitoring.consumable(_events_stream(spark, sf))
-    return _rounded(_drained(spark, vehicles.signal_loss_stream(rows), "signal"))
+    return _rounded(_drained(spark, vehicles.signal_loss_stream(rows, live=False), "signal"))
 
 
 @query
@@ -690,7 +788,7 @@ def stream_status_board(spark, sf):
         spark, updates.inputFiles()[0].rsplit("/", 1)[0], schema=updates.schema
     )
     vehicles.publish_board(source, f"{folder}/board", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/board")
+    return vehicles.read_board(spark, f"{folder}/board")
 
 
 @query
@@ -706,6 +804,16 @@ def alert_throttle(spark, sf):
     return _rounded(vehicles.throttled_alerts(_alerts(spark, sf), window="10 minutes"))
 
 
+@query
+def stream_alert_throttle(spark, sf):
+    folder = work_folder(spark, "throttle")
+    alerts = vehicles.critical_alert_stream(_events_stream(spark, sf), inputs.line_zones(spark, sf))
+    vehicles.publish_throttled(
+        alerts, f"{folder}/windows", f"{folder}/checkpoint", window="10 minutes"
+    ).awaitTermination()
+    return _rounded(vehicles.read_throttled(spark, f"{folder}/windows"))
+
+
 @query
 def stream_counters(spark, sf):
     folder = work_folder(spark, "counters")

@@ -101,7 +101,10 @@ def run_summary(reports: DataFrame) -> DataFrame:
 
 
 def reconcile(actual: DataFrame, expected: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """Route-months that differ: missing on a side, or other speeds, counts or states."""
+    """Route-months that differ: missing on a side, or other speeds, segment counts or states.
+
+    The tolerance is for speeds; counts must be equal.
+    """
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(
@@ -109,6 +112,7 @@ def reconcile(actual: DataFrame, expected: DataFrame, tolerance: float = 1e-4) -
             F.lit(True).alias(f"_in_{name}"),
             F.col("average_speed_kmh").alias(f"{name}_kmh"),
             F.col("valid_segments").alias(f"{name}_segments"),
+            F.col("skipped_segments").alias(f"{name}_skipped"),
             F.col("status").alias(f"{name}_status"),
         )
 
@@ -123,5 +127,10 @@ def _difference(tolerance: float) -> Column:
         F.when(F.col("_in_actual").isNull(), F.lit("MISSING"))
         .when(F.col("_in_expected").isNull(), F.lit("UNEXPECTED"))
         .when(F.abs(F.col("actual_kmh") - F.col("expected_kmh")) > tolerance, F.lit("SPEED"))
+        .when(
+            (F.col("actual_segments") != F.col("expected_segments"))
+            | (F.col("actual_skipped") != F.col("expected_skipped")),
+            F.lit("SEGMENTS"),
+        )
         .when(F.col("actual_status") != F.col("expected_status"), F.lit("STATUS"))
     )

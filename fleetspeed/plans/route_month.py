@@ -11,6 +11,7 @@ from fleetspeed.operators.metrics import observed
 from fleetspeed.operators.segments import trip_segments
 from fleetspeed.schema import Limits
 from fleetspeed.sinks import lake as lake_sink
+from fleetspeed.sinks import loads
 from fleetspeed.sinks.results import write_speed_csv
 from fleetspeed.sources import datagrams as datagram_source
 from fleetspeed.sources import lake as lake_source
@@ -24,15 +25,20 @@ def speed_report(datagrams: DataFrame, routes: DataFrame, limits: Limits = Limit
 
 
 def build_lake(
-    spark: SparkSession, routes: DataFrame, lake: str, *paths: str, mode: str = "append"
+    spark: SparkSession, routes: DataFrame, lake: str, *paths: str, load: str | None = None
 ) -> dict[str, int]:
-    """Scan, validate and archive raw files; returns the counters of the run.
+    """Scan, validate and archive raw files as one load; returns the counters of the run.
 
-    The counters are observed while the lake is written, so the input is read once.
+    The counters are observed while the lake is written, so the input is read once.  Without a name
+    the load is a new one; a load repeated under its name replaces itself.
     """
-    parsed = datagram_source.parse_lines(datagram_source.scan_lines(spark, *paths))
+    files = datagram_source.files_below(spark, *paths)
+    load = load or loads.next_load(spark, lake)
+    first = loads.reserve(spark, lake, load, datagram_source.numbers_of(files))
+    lines = datagram_source.stamp_arrival(spark.read.text(list(paths)), files, first)
+    parsed = datagram_source.parse_lines(lines)
     tagged, watch = observed(quality.with_reject_reason(parsed, routes), "lake")
-    lake_sink.write_lake(quality.accepted(tagged), lake, mode)
+    lake_sink.write_lake(quality.accepted(tagged), lake, load)
     return watch.get
 
 

@@ -65,9 +65,11 @@ def sized_conf(input_bytes: int) -> dict[str, str]:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only when no shared folder is configured (tests, one machine) a local one is made.
+    On one machine a local folder will do; on a cluster the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "fleetspeed-work")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

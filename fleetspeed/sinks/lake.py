@@ -7,13 +7,14 @@ several tasks (and files) by measured size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspeed.functions import text
 from fleetspeed.schema import DATAGRAM_SCHEMA
+from fleetspeed.sinks.loads import LOAD_ID, read_loads
 from fleetspeed.sources.datagrams import once
-from fleetspeed.sources.lake import PARTITIONS
+from fleetspeed.sources.lake import PARTITIONS, read_lake
 
 MAX_ROWS_PER_FILE = 20_000_000
 
@@ -26,18 +27,29 @@ def with_partition_columns(datagrams: DataFrame) -> DataFrame:
     )
 
 
-def write_lake(valid: DataFrame, lake: str, mode: str = "append") -> None:
-    """Valid datagrams under ``line_id=<n>/year=<yyyy>/month=<mm>``; ``seq`` is stored."""
+def write_lake(valid: DataFrame, lake: str, load: str = "bulk-0") -> None:
+    """Valid datagrams under ``line_id=<n>/year=<yyyy>/month=<mm>/load_id=<load>``; ``seq`` is stored.
+
+    A load owns its directories, so a repeated load replaces itself and nothing else.
+    """
     (
         with_partition_columns(valid)
+        .withColumn(LOAD_ID, F.lit(load))
         .hint("rebalance", *PARTITIONS)
-        .write.mode(mode)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
-        .partitionBy(*PARTITIONS)
+        .partitionBy(*PARTITIONS, LOAD_ID)
         .parquet(lake)
     )
 
 
+def compact_lake(spark: SparkSession, lake: str, target: str) -> None:
+    """A copy of the lake in which all loads of a partition share its files; the loads stay known."""
+    write_lake(read_lake(spark, lake), target, "compacted")
+    read_loads(spark, lake).coalesce(1).write.mode("overwrite").parquet(f"{target}/_loads")
+
+
 def shard_of(bus_id: Column, shards: int) -> Column:
     return F.pmod(bus_id, F.lit(shards))
 
@@ -57,12 +69,18 @@ def with_shard(lines: DataFrame, shards: int, drop_unreadable: bool = True) -> D
 
 
 def write_shards(lines: DataFrame, target: str, shards: int = 20) -> None:
-    """Raw lines as text under ``shard=chunk-<nn>``, replacing what is there."""
+    """Raw lines as text under ``shard=chunk-<nn>``, replacing what is there.
+
+    Lines that come with a ``seq`` are in its order within each file.
+    """
     chunk = F.concat(F.lit("chunk-"), F.lpad(F.col("shard").cast("string"), 2, "0"))
+    order = [c for c in ("seq",) if c in lines.columns]
     (
         with_shard(lines, shards)
-        .select("value", chunk.alias("shard"))
+        .select("value", chunk.alias("shard"), *order)
         .hint("rebalance", "shard")
+        .sortWithinPartitions("shard", *order)
+        .select("value", "shard")
         .write.mode("overwrite")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .partitionBy("shard")

@@ -11,10 +11,10 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspeed.sources.datagrams import PLACE_BITS
+from fleetspeed.sources.datagrams import starts_of
 
 BATCH_LINES = 10_000
 
@@ -53,15 +53,20 @@ def _batch(path: str, first: int, values: list[str]) -> pa.RecordBatch:
     )
 
 
+def unpacked(archives: DataFrame) -> DataFrame:
+    """``(path, line_no, value)`` of archives given as ``(path, content)``."""
+    return archives.mapInArrow(_unpack, "path string, line_no bigint, value string")
+
+
 def archive_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """``(path, line_no, value)`` of all zip archives below the paths."""
+    """``(path, line_no, value)`` of all zip archives below the paths, each up to 2 GiB."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[zZ][iI][pP]")
         .load(list(paths))
         .select("path", "content")
     )
-    return files.mapInArrow(_unpack, "path string, line_no bigint, value string")
+    return unpacked(files)
 
 
 def land_archives(spark: SparkSession, target: str, *paths: str) -> None:
@@ -69,12 +74,10 @@ def land_archives(spark: SparkSession, target: str, *paths: str) -> None:
     archive_lines(spark, *paths).write.mode("append").parquet(target)
 
 
-def stamp_landed(landed: DataFrame) -> DataFrame:
+def stamp_landed(landed: DataFrame, first: int = 0) -> DataFrame:
     """``seq`` for landed lines: archives in path order, lines in archive order."""
-    # One row per archive is ranked, not the lines.
-    ranks = landed.select("path").distinct().withColumn(
-        "_rank", F.row_number().over(Window.orderBy("path"))
-    )
-    return landed.join(ranks, "path").select(
-        (F.shiftleft(F.col("_rank").cast("long"), PLACE_BITS) + F.col("line_no")).alias("seq"), "value"
-    )
+    # One row per archive comes back, not the lines.
+    sizes = landed.groupBy("path").agg(F.max("line_no") + 1).collect()
+    starts = starts_of(landed.sparkSession, sorted(tuple(r) for r in sizes), first)
+    placed = landed.withColumnRenamed("path", "_path").join(starts, "_path")
+    return placed.select((F.col("_start") + F.col("line_no")).alias("seq"), "value")

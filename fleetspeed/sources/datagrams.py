@@ -9,47 +9,72 @@ from fleetspeed.functions import text
 from fleetspeed.functions.timekeys import parse_timestamp
 from fleetspeed.schema import CSV_FIELDS, DATAGRAM_SCHEMA
 
-# A sequence number is the rank of the file in the high bits and the place in the file in the
-# low bits: two million files of up to four terabytes each.
-PLACE_BITS = 42
-_INDEX_BITS = 33  # rows per task in monotonically_increasing_id
+_INDEX_BITS = 33  # rows per task in monotonically_increasing_id, in Spark 3 and 4
 
-# Above this many files the rank table is joined by shuffle instead of broadcast.
+# The row index of a task also counts the files that the task read before.  Each file therefore gets
+# this many numbers besides one for each byte: more than a task can have rows, since it reads at
+# most spark.sql.files.maxPartitionBytes, which must not be above this.
+FILE_ROOM = 1 << 31
+
+# Up to this many files the table of their starts is broadcast (some 30 MB), beyond it is shuffled.
 MAX_BROADCAST_FILES = 200_000
 
+# A place in a compressed file is no byte of it, so its lines could run into the next file's numbers.
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
+
+
+def files_below(spark: SparkSession, *paths: str, **options: str) -> list[tuple[str, int]]:
+    """Path and bytes of every file of a scan, in path order; contents are not read.
+
+    One entry a file, as the listing that Spark keeps on the driver for the scan itself.
+    """
+    reader = spark.read.format("binaryFile").options(**options)
+    rows = reader.load(list(paths)).select("_metadata.file_path", "length").collect()
+    found = sorted((r["file_path"], r["length"]) for r in rows)
+    packed = [path for path, _ in found if path.lower().endswith(COMPRESSED)]
+    if packed:
+        raise ValueError(f"unpack compressed files before a load: {packed[0]}")
+    return found
+
 
 def place_in_file(block_start: Column) -> Column:
     """A number that grows line by line within a file, for a frame in scan order.
 
     It adds the row index of the task to the byte offset of its block.  A line is at least one
-    byte long, so a block's places end before the next block of the file starts.
+    byte long and a whole block fills a task, so its places end before the next block of the file
+    starts.  Only a file's last block can share a task with other files.
     """
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
     return block_start + index
 
 
-def stamp_arrival(lines: DataFrame) -> DataFrame:
+def numbers_of(sizes: list[tuple[str, int]]) -> int:
+    """How many numbers files of these sizes take."""
+    return sum(size + FILE_ROOM for _, size in sizes)
+
+
+def starts_of(spark: SparkSession, sizes: list[tuple[str, int]], first: int) -> DataFrame:
+    """Where the numbers of each path start, path after path."""
+    rows, at = [], first
+    for path, size in sizes:
+        rows.append((path, at))
+        at += size + FILE_ROOM
+    if at >= 1 << 63:
+        raise OverflowError("more bytes than sequence numbers")
+    starts = spark.createDataFrame(rows, "_path string, _start bigint")
+    return F.broadcast(starts) if len(rows) <= MAX_BROADCAST_FILES else starts
+
+
+def stamp_arrival(lines: DataFrame, files: list[tuple[str, int]], first: int = 0) -> DataFrame:
     """Add ``seq`` to a text scan: files in path order, lines in file order.
 
-    The file list is the one the driver already keeps for the scan.
+    A line's number is ``first``, plus the numbers of all files before its own, plus its place in
+    the file.
     """
-    paths = sorted({_as_in_metadata(p) for p in lines.inputFiles()})
-    ranks = lines.sparkSession.createDataFrame(
-        list(enumerate(paths)) or [], "_rank bigint, _path string"
-    )
-    if len(paths) <= MAX_BROADCAST_FILES:
-        ranks = F.broadcast(ranks)
     place = place_in_file(F.col("_metadata.file_block_start"))
     placed = lines.select("value", F.col("_metadata.file_path").alias("_path"), place.alias("_place"))
-    seq = F.shiftleft(F.col("_rank"), PLACE_BITS) + F.col("_place")
-    return placed.join(ranks, "_path").select(seq.alias("seq"), "value")
-
-
-def _as_in_metadata(path: str) -> str:
-    """Local paths are listed as ``file:///x`` but named ``file:/x`` in the rows."""
-    if not path.startswith("file:"):
-        return path
-    return "file:/" + path.removeprefix("file:").lstrip("/")
+    starts = starts_of(lines.sparkSession, files, first)
+    return placed.join(starts, "_path").select((F.col("_start") + F.col("_place")).alias("seq"), "value")
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -100,9 +125,10 @@ def readable(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("parse_error").isNull()).select(*names)
 
 
-def scan_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """All lines with their sequence number, unreadable ones included."""
-    return stamp_arrival(spark.read.text(list(paths)))
+def scan_lines(spark: SparkSession, *paths: str, first: int = 0, **options: str) -> DataFrame:
+    """All lines with their sequence number from ``first``, unreadable ones included."""
+    files = files_below(spark, *paths, **options)
+    return stamp_arrival(spark.read.options(**options).text(list(paths)), files, first)
 
 
 def scan_datagrams(spark: SparkSession, *paths: str) -> DataFrame:

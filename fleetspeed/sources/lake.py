@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetspeed.schema import DATAGRAM_SCHEMA
-from fleetspeed.sources.datagrams import parse_lines, readable, stamp_arrival
+from fleetspeed.sources.datagrams import parse_lines, readable, scan_lines
 
 PARTITIONS = ("line_id", "year", "month")
 
@@ -26,7 +26,8 @@ LAKE_SCHEMA = T.StructType(
 def read_lake(spark: SparkSession, lake: str) -> DataFrame:
     """All datagrams; an absent lake is empty."""
     try:
-        return spark.read.schema(LAKE_SCHEMA).parquet(lake)
+        # Directories of single loads lie below the partitions and are no column of the lake.
+        return spark.read.schema(LAKE_SCHEMA).parquet(lake).select(*LAKE_SCHEMA.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -48,12 +49,23 @@ def lake_months(spark: SparkSession, lake: str, first: str, last: str) -> DataFr
 
 
 def lake_partitions(spark: SparkSession, lake: str) -> DataFrame:
-    """The partitions present.  Only partition columns are asked for, so no data is read."""
-    return read_lake(spark, lake).select(*PARTITIONS).distinct()
+    """The partitions present, from the paths of the files; no file is opened."""
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.parquet"}
+    try:
+        files = spark.read.format("binaryFile").options(**options).load(lake).select("_metadata.file_path")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LAKE_SCHEMA).select(*PARTITIONS)
+    part = lambda name: F.regexp_extract("file_path", f"/{name}=([^/]+)/", 1)
+    return (
+        files.where(part("line_id") != "")
+        .select(part("line_id").cast("int").alias("line_id"), part("year").cast("int").alias("year"), part("month").alias("month"))
+        .distinct()
+    )
 
 
 def csv_lake(spark: SparkSession, lake: str) -> DataFrame:
     """Lines of a lake of CSV files in ``lineId=/year=/month=`` directories, unreadable ones
     dropped; the partition columns come from the line itself."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(lake)
-    return readable(parse_lines(stamp_arrival(lines)))
+    return readable(parse_lines(scan_lines(spark, lake, recursiveFileLookup="true", pathGlobFilter="*.csv")))

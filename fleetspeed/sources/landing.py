@@ -40,5 +40,6 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
         "value",
         F.col("_metadata.file_modification_time").alias("file_time"),
         F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )

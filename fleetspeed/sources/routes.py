@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetspeed.functions import text
 from fleetspeed.schema import ROUTE_SCHEMA
-from fleetspeed.sources.datagrams import stamp_arrival
+from fleetspeed.sources.datagrams import scan_lines
 
 REQUIRED = ("LINEID", "SHORTNAME", "DESCRIPTION")
 
@@ -15,7 +15,7 @@ REQUIRED = ("LINEID", "SHORTNAME", "DESCRIPTION")
 def read_routes(spark: SparkSession, path: str) -> DataFrame:
     """Columns are found by header name in any case; short rows and rows without an integer id
     are left out; the last row of a repeated id counts.  An empty file gives no routes."""
-    lines = stamp_arrival(spark.read.text(path))
+    lines = scan_lines(spark, path)
     head = lines.orderBy("seq").limit(1).select(text.split_fields(F.col("value")).alias("h"), "seq")
     first = head.first()
     if first is None:

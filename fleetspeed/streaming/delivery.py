@@ -22,13 +22,15 @@ def enriched_updates(updates: DataFrame, reports: DataFrame, fallback_month: str
     return monitoring.with_month_speed(updates, reports, fallback_month)
 
 
-def write_deliveries(delivered: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """One directory per subscriber; runs over what has landed, then stops."""
+def write_deliveries(
+    delivered: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """One directory per subscriber; without a trigger runs over what has landed, then stops."""
     return (
         delivered.writeStream.format("parquet")
         .partitionBy("subscriber")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

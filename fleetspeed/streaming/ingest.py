@@ -7,81 +7,87 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetspeed.operators import quality
-from fleetspeed.sinks.lake import with_partition_columns
+from fleetspeed.schema import DATAGRAM_SCHEMA
+from fleetspeed.sinks.lake import write_lake
 from fleetspeed.sinks.live import write_batch
-from fleetspeed.sources.datagrams import parse_lines, place_in_file
-from fleetspeed.sources.lake import PARTITIONS
+from fleetspeed.sinks.loads import reserve
+from fleetspeed.sources.datagrams import FILE_ROOM, parse_lines, place_in_file
 
-# Sequence numbers of streamed lines: micro-batch, file in the batch, place in the file.
-FILE_BITS, STREAM_PLACE_BITS = 10, 32
-FILES_PER_TRIGGER = 1 << FILE_BITS
+NOW = {"availableNow": True}  # run over what has landed, then stop
 
 
-def stamp_batch(lines: DataFrame, batch_id: int) -> DataFrame:
-    """``seq`` for the lines of one micro-batch: files by landing time, lines in file order.
+def batch_files(lines: DataFrame) -> DataFrame:
+    """The files of a micro-batch; the trigger bounds their bytes and so their number."""
+    return lines.select("file_path", "file_time", "file_size").distinct()
 
-    At most ``FILES_PER_TRIGGER`` files make a batch, so the list of files is short.
-    """
-    files = lines.select("file_path", "file_time").distinct()
-    ranks = files.select(
-        "file_path",
-        (F.row_number().over(Window.orderBy("file_time", "file_path")) - 1).cast("long").alias("_rank"),
+
+def stamp_batch(lines: DataFrame, first: int) -> DataFrame:
+    """``seq`` from ``first`` for the lines of one micro-batch: files by landing time, lines in file order."""
+    before = Window.orderBy("file_time", "file_path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = batch_files(lines).select(
+        "file_path", (F.lit(first) + F.coalesce(F.sum(F.col("file_size") + FILE_ROOM).over(before), F.lit(0))).alias("_start")
     )
     # The rows of a micro-batch come straight from the scan, so they are still in file order.
     placed = lines.select("value", "file_path", place_in_file(F.col("block_start")).alias("_place"))
-    base = batch_id << (FILE_BITS + STREAM_PLACE_BITS)
-    seq = F.lit(base) + F.shiftleft(F.col("_rank"), STREAM_PLACE_BITS) + F.col("_place")
-    return placed.join(F.broadcast(ranks), "file_path").select(seq.alias("seq"), "value")
+    return placed.join(starts, "file_path").select((F.col("_start") + F.col("_place")).alias("seq"), "value")
 
 
-def archive_batch(tagged: DataFrame, batch_id: int, lake: str, rejects: str) -> None:
+def archive_batch(tagged: DataFrame, batch_id: int, lake: str, rejects: str, accepted: str | None = None) -> None:
     """Accepted rows to the lake, rejected rows with their reason to the reject table.
 
-    A batch owns its directories in both tables, so a repeated batch replaces itself.
+    With ``accepted`` the accepted rows are also passed on, as a table that the monitoring streams
+    read.  A batch owns its directories in all of them, so a repeated batch replaces itself.
     """
     tagged.persist()
     try:
-        (
-            with_partition_columns(quality.accepted(tagged))
-            .withColumn("batch_id", F.lit(batch_id))
-            .hint("rebalance", *PARTITIONS)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS, "batch_id")
-            .parquet(lake)
-        )
+        write_lake(quality.accepted(tagged), lake, f"live-{batch_id}")
         write_batch(quality.rejected(tagged), rejects, batch_id)
+        if accepted:
+            kept = quality.accepted(tagged).select(*DATAGRAM_SCHEMA.fieldNames())
+            write_batch(kept, accepted, batch_id)
     finally:
         tagged.unpersist()
 
 
-def _start(stream: DataFrame, sink, checkpoint: str) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def _start(stream: DataFrame, sink, checkpoint: str, trigger: dict) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def ingest_datagrams(
-    datagrams: DataFrame, routes: DataFrame, lake: str, rejects: str, checkpoint: str
+    datagrams: DataFrame,
+    routes: DataFrame,
+    lake: str,
+    rejects: str,
+    checkpoint: str,
+    accepted: str | None = None,
+    trigger: dict = NOW,
 ) -> StreamingQuery:
-    """Validate a stream of typed datagrams; runs over what has landed, then stops."""
+    """Validate a stream of typed datagrams, whose ``seq`` the writer has given."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        archive_batch(quality.with_reject_reason(batch, routes), batch_id, lake, rejects)
+        archive_batch(quality.with_reject_reason(batch, routes), batch_id, lake, rejects, accepted)
 
-    return _start(datagrams, sink, checkpoint)
+    return _start(datagrams, sink, checkpoint, trigger)
 
 
 def ingest_lines(
-    lines: DataFrame, routes: DataFrame, lake: str, rejects: str, checkpoint: str
+    lines: DataFrame,
+    routes: DataFrame,
+    lake: str,
+    rejects: str,
+    checkpoint: str,
+    accepted: str | None = None,
+    trigger: dict = NOW,
 ) -> StreamingQuery:
-    """Parse and validate a stream of lines (``sources.landing.stream_lines``)."""
+    """Parse and validate a stream of lines (``sources.landing.stream_lines``).
+
+    Each micro-batch is a load of the lake like a bulk load, and numbered behind all before it.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_lines(stamp_batch(batch, batch_id))
-        archive_batch(quality.with_reject_reason(parsed, routes), batch_id, lake, rejects)
+        size = batch_files(batch).agg(F.sum(F.col("file_size") + FILE_ROOM)).first()[0] or 0
+        first = reserve(batch.sparkSession, lake, f"live-{batch_id}", size)
+        parsed = parse_lines(stamp_batch(batch, first))
+        archive_batch(quality.with_reject_reason(parsed, routes), batch_id, lake, rejects, accepted)
 
-    return _start(lines, sink, checkpoint)
+    return _start(lines, sink, checkpoint, trigger)

@@ -23,6 +23,8 @@ from fleetspeed.schema import (
 )
 
 SECOND_US = 1_000_000
+# A trip without a report for a day is over, and its state goes.
+TRIP_TTL_MS = 24 * 3600 * 1000
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -47,7 +49,10 @@ class OperationalState(StatefulProcessor):
             same[1:] = readings[1:] == readings[:-1]
             same[0] = self._odometer.exists() and self._odometer.get()[0] == readings[0]
             state[routine] = np.where(same, STOPPED, EN_ROUTE)
-            self._odometer.update((int(readings[-1]),))
+            if pd.isna(readings[-1]):
+                self._odometer.clear()
+            else:
+                self._odometer.update((int(readings[-1]),))
         frame["operational_state"] = state
         yield frame
 
@@ -58,12 +63,14 @@ class OperationalState(StatefulProcessor):
 class SignalLoss(StatefulProcessor):
     """Emits one row per silence of a bus longer than the limit.
 
-    A silence shows either when the next report arrives or, at the end, when event time has
-    passed the limit (timer).  It is reported once, whichever comes first.
+    A silence shows when the next report arrives, by the times of the reports.  On a live stream a
+    timer per bus tells it before that, when no report has arrived for as long as the limit.  It
+    is reported once, whichever comes first.  Buses have no clock in common, so a bus that is late
+    or ahead changes nothing for the others.
     """
 
-    def __init__(self, limit_s: int):
-        self._limit_s = limit_s
+    def __init__(self, limit_s: int, timers: bool):
+        self._limit_s, self._timers = limit_s, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -96,11 +103,12 @@ class SignalLoss(StatefulProcessor):
         if silent.any():
             yield self._rows(key[0], times[:-1][silent])
         self._last.update((int(times[-1]), False))
-        # Only the newest report may have a timer.
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        due_us = int(times[-1]) + (self._limit_s + 1) * SECOND_US
-        self._handle.registerTimer(-(-due_us // 1000))
+        if self._timers:
+            # Only the newest report may have a timer.
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer)
+            now_ms = timerValues.getCurrentProcessingTimeInMs()
+            self._handle.registerTimer(now_ms + (self._limit_s + 1) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last_us, reported = self._last.get()
@@ -116,9 +124,13 @@ class TripSegments(StatefulProcessor):
     """Adds the earlier end of the segment a report closes, and whether the report is late.
 
     Late means not newer than the last accepted report of the trip; a late report leaves the
-    state untouched, so lateness is judged per trip and not by a watermark.
+    state untouched, so lateness is judged per trip and not by a watermark.  On a live stream the
+    state of a trip expires.
     """
 
+    def __init__(self, expires: bool):
+        self._expires = expires
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState(
             "accepted",
@@ -129,6 +141,7 @@ class TripSegments(StatefulProcessor):
                     T.StructField("lon", T.DoubleType()),
                 ]
             ),
+            ttlDurationMs=TRIP_TTL_MS if self._expires else None,
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:

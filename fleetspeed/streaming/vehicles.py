@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,9 +17,7 @@ from fleetspeed.schema import TRIP_KEY, Limits
 from fleetspeed.sinks.live import write_batch, write_updates_and_alerts
 from fleetspeed.streaming.processors import OperationalState, SignalLoss, TripSegments
 
-# Rows behind the watermark never reach a processor, so the delay must be above the largest
-# delay expected of a vehicle.
-WATERMARK_DELAY = "1 hour"
+NOW = {"availableNow": True}  # run over what has landed, then stop
 
 
 def _with(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
@@ -55,9 +53,9 @@ def critical_alert_stream(datagrams: DataFrame, line_zones: DataFrame) -> DataFr
 
 
 def publish(
-    datagrams: DataFrame, line_zones: DataFrame, updates: str, alerts: str, checkpoint: str
+    datagrams: DataFrame, line_zones: DataFrame, updates: str, alerts: str, checkpoint: str, trigger: dict = NOW
 ) -> StreamingQuery:
-    """Write updates and alerts from one query; runs over what has landed, then stops.
+    """Write updates and alerts from one query.
 
     Each micro-batch is written under its number and a repeated one replaces itself.
     """
@@ -66,25 +64,16 @@ def publish(
     def sink(batch: DataFrame, batch_id: int) -> None:
         write_updates_and_alerts(batch, batch_id, updates, alerts)
 
-    return (
-        live.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return live.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _event_time(ts: Column) -> Column:
-    return ts.cast("timestamp")
+def signal_loss_stream(datagrams: DataFrame, limits: Limits = Limits(), live: bool = True) -> DataFrame:
+    """``(bus_id, last_ts, operational_state)``, one row per silence above the limit.
 
-
-def signal_loss_stream(
-    datagrams: DataFrame, limits: Limits = Limits(), delay: str = WATERMARK_DELAY
-) -> DataFrame:
-    """``(bus_id, last_ts, operational_state)``, one row per silence above the limit."""
-    reports = datagrams.select(
-        "bus_id", "seq", epoch_micros(F.col("ts")).alias("ts_us"), _event_time(F.col("ts")).alias("event_time")
-    ).withWatermark("event_time", delay)
+    No report is dropped, however late.  A ``live`` stream also tells silences that still last, by the
+    clock; a replay runs faster than the clock and tells those that ended.
+    """
+    reports = datagrams.select("bus_id", "seq", epoch_micros(F.col("ts")).alias("ts_us"))
     out = T.StructType(
         [
             T.StructField("bus_id", T.IntegerType()),
@@ -93,17 +82,23 @@ def signal_loss_stream(
         ]
     )
     lost = reports.groupBy("bus_id").transformWithStateInPandas(
-        statefulProcessor=SignalLoss(limits.signal_s),
+        statefulProcessor=SignalLoss(limits.signal_s, live),
         outputStructType=out,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="ProcessingTime" if live else "None",
     )
     last_ts = F.timestamp_micros(F.col("last_us")).cast("timestamp_ntz")
     return lost.select("bus_id", last_ts.alias("last_ts"), "operational_state")
 
 
-def trip_segment_stream(datagrams: DataFrame, routes: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Streaming twin of ``segments.trip_segments`` in the normative mode."""
+def trip_segment_stream(
+    datagrams: DataFrame, routes: DataFrame, limits: Limits = Limits(), live: bool = False
+) -> DataFrame:
+    """Streaming twin of ``segments.trip_segments`` in the normative mode.
+
+    A ``live`` stream forgets trips that have been silent for a day, by the clock; such a query runs on
+    after all that has landed and so needs another trigger than ``NOW``.
+    """
     rows = located(valid_datagrams(datagrams, routes))
     out = _with(
         rows.schema,
@@ -113,7 +108,10 @@ def trip_segment_stream(datagrams: DataFrame, routes: DataFrame, limits: Limits
         ("prev_lon", T.DoubleType()),
     )
     paired = rows.groupBy(*TRIP_KEY).transformWithStateInPandas(
-        statefulProcessor=TripSegments(), outputStructType=out, outputMode="Append", timeMode="None"
+        statefulProcessor=TripSegments(live),
+        outputStructType=out,
+        outputMode="Append",
+        timeMode="ProcessingTime" if live else "None",
     )
     names = ("ts_us", "lat", "lon")
     prev = F.struct(*[F.col(f"prev_{n}").alias(n) for n in names])
@@ -121,37 +119,32 @@ def trip_segment_stream(datagrams: DataFrame, routes: DataFrame, limits: Limits
     return with_segment(packed, F.col("late"), geo.segment_ok, limits)
 
 
-def publish_board(updates: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the status board current: one row, replaced after every micro-batch.
+def publish_board(updates: DataFrame, target: str, checkpoint: str, trigger: dict = NOW) -> StreamingQuery:
+    """Keep the status board current: one row after every micro-batch, under its number.
 
-    The state is one row per bus, and so is what a micro-batch hands to the sink.
+    Nothing is deleted, so a reader finds a whole board at any time (``read_board``).
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        monitoring.board_totals(batch).write.mode("overwrite").parquet(target)
+        write_batch(monitoring.board_totals(batch), target, batch_id)
 
-    return (
-        monitoring.bus_board(updates)
-        .writeStream.outputMode("complete")
-        .foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    board = monitoring.bus_board(updates).writeStream.outputMode("complete").foreachBatch(sink)
+    return board.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def throttled_alerts(
-    alerts: DataFrame, window: str = "5 seconds", delay: str = WATERMARK_DELAY
-) -> DataFrame:
-    """Alerts per bus and tumbling window: their number and the first of them.
+def read_board(spark: SparkSession, target: str) -> DataFrame:
+    """The board of the newest micro-batch."""
+    return spark.read.parquet(target).orderBy(F.desc("batch_id")).limit(1).drop("batch_id")
+
+
+def throttled_alerts(alerts: DataFrame, window: str = "5 seconds") -> DataFrame:
+    """Alerts per bus and tumbling window: their number and the first of them, of a batch or a stream.
 
-    On a stream a window is given out once the watermark has passed it; on a batch the
-    watermark has no effect.
+    A stream keeps every window, so an alert counts however late it comes; write it with
+    ``publish_throttled``.
     """
     return (
-        alerts.withColumn("event_time", _event_time(F.col("ts")))
-        .withWatermark("event_time", delay)
-        .groupBy("bus_id", F.window("event_time", window).alias("_w"))
+        alerts.groupBy("bus_id", F.window(F.col("ts").cast("timestamp"), window).alias("_w"))
         .agg(
             F.count(F.lit(1)).alias("alerts"),
             F.min("seq").alias("first_seq"),
@@ -167,24 +160,39 @@ def throttled_alerts(
     )
 
 
-def deduplicated(datagrams: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
-    """Drop repeats of a report that a source may deliver again after a failure."""
-    return (
-        datagrams.withColumn("event_time", _event_time(F.col("ts")))
-        .withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["bus_id", "ts", "trip_id"])
-        .drop("event_time")
-    )
+def publish_throttled(
+    alerts: DataFrame, target: str, checkpoint: str, window: str = "5 seconds", trigger: dict = NOW
+) -> StreamingQuery:
+    """Write the windows that a micro-batch has changed, under its number."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, target, batch_id)
+
+    changed = throttled_alerts(alerts, window).writeStream.outputMode("update").foreachBatch(sink)
+    return changed.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_throttled(spark: SparkSession, target: str) -> DataFrame:
+    """Every window as its last micro-batch left it."""
+    columns = ("alerts", "first_seq", "description")
+    newest = F.max(F.struct("batch_id", *columns)).alias("last")
+    found = spark.read.parquet(target).groupBy("bus_id", "window_start").agg(newest)
+    return found.select("bus_id", "window_start", *(F.col(f"last.{c}").alias(c) for c in columns))
 
 
-def publish_counters(datagrams: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def deduplicated(datagrams: DataFrame) -> DataFrame:
+    """Drop repeats of a report that a source may deliver again after a failure.
+
+    Reports are remembered in the state store on disk, without a limit in time: a late report is
+    never taken for a repeat.
+    """
+    return datagrams.dropDuplicates(["bus_id", "ts", "trip_id"])
+
+
+def publish_counters(datagrams: DataFrame, target: str, checkpoint: str, trigger: dict = NOW) -> StreamingQuery:
     """One row of counters per micro-batch; their sum is the state of the consumer."""
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         write_batch(stream_counters(batch), target, batch_id)
 
-    return (
-        datagrams.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return datagrams.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -24,12 +24,16 @@ CHECKED = (
     "alert_last_position",
     "subscription_fanout",
     "lake_range_report",
+    "lake_two_loads",
     "stream_signal_loss_replay",
 )
 
 
-def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_fleet_query_has_a_twin():
+    from fleetcheck import oracle, queries
+
+    assert set(queries.queries()) == set(oracle.oracle_sql())
+    assert set(queries.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import json
 import zipfile
 
@@ -12,8 +13,9 @@ from fleetspeed.operators.segments import trip_segments
 from fleetspeed.plans import route_month
 from fleetspeed.sinks import lake as lake_sink
 from fleetspeed.sinks import results as result_sink
+from fleetspeed.sinks.loads import read_loads
 from fleetspeed.sources import archives, lake, results, routes as route_source, zones
-from fleetspeed.sources.datagrams import parse_lines, readable, scan_datagrams, scan_lines, to_line
+from fleetspeed.sources.datagrams import FILE_ROOM, parse_lines, readable, scan_datagrams, scan_lines, to_line
 
 LINE = "0,14-MAY-19,604118,70,34512345,-765310987,391,{line},159,7300125588,2019-05-27 20:14:43,{bus}"
 
@@ -124,7 +126,7 @@ def test_lake_round_trip(spark, frame, small_lake):
     assert lake.lake_partition(spark, small_lake, 5, 2019, 5).count() == 0
     names = frame(MONTH_ROWS).columns
     assert sorted(lake.read_lake(spark, small_lake).select(*names).collect()) == sorted(frame(MONTH_ROWS).collect())
-    lake_sink.write_lake(frame(MONTH_ROWS[:1]), small_lake)  # appends
+    lake_sink.write_lake(frame(MONTH_ROWS[:1]), small_lake, "bulk-1")  # another load appends
     assert lake.read_lake(spark, small_lake).count() == 8
 
 
@@ -162,6 +164,40 @@ def test_build_lake(spark, routes, tmp_path):
     assert lake.read_lake(spark, str(tmp_path / "lake")).count() == 5
 
 
+def trip_lines(first, n):
+    """Reports of one trip a minute apart, moving east."""
+    line = "0,14-MAY-19,604118,70,34512345,{lon},391,207,31,7300125588,2019-05-14 06:{minute:02d}:00,42"
+    return "".join(line.format(lon=-765310987 + 9000 * k, minute=k) + "\n" for k in range(first, first + n))
+
+
+def test_loads_continue_each_other(spark, routes, tmp_path):
+    for name, first in (("a", 0), ("b", 10)):
+        (tmp_path / f"{name}.csv").write_text(trip_lines(first, 10))
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    route_month.build_lake(spark, routes, one, f"{tmp_path}/*.csv")
+    for name in ("a", "b"):
+        route_month.build_lake(spark, routes, two, f"{tmp_path}/{name}.csv")
+    # The second load is repeated and replaces itself.
+    route_month.build_lake(spark, routes, two, f"{tmp_path}/b.csv", load="bulk-1")
+    for folder in (one, two):
+        report = route_month.run_month(spark, folder, routes, 2019, 5).where("line_id = 207").first()
+        assert (report["valid_segments"], report["skipped_segments"]) == (19, 0)
+    compact = str(tmp_path / "compact")
+    lake_sink.compact_lake(spark, two, compact)
+    assert sorted(lake.read_lake(spark, compact).collect()) == sorted(lake.read_lake(spark, two).collect())
+    loads = {r["load"]: (r["first"], r["size"]) for r in read_loads(spark, compact).collect()}
+    sizes = [(tmp_path / f"{n}.csv").stat().st_size + FILE_ROOM for n in "ab"]
+    assert loads == {"bulk-0": (0, sizes[0]), "bulk-1": (sizes[0], sizes[1])}
+    with pytest.raises(ValueError, match="numbers of input"):
+        route_month.build_lake(spark, routes, two, f"{tmp_path}/*.csv", load="bulk-1")
+
+
+def test_compressed_lines_are_refused(spark, tmp_path):
+    (tmp_path / "d.csv.gz").write_bytes(gzip.compress(b"line\n"))
+    with pytest.raises(ValueError, match="unpack compressed"):
+        scan_lines(spark, str(tmp_path))
+
+
 def test_csv_lake(spark, tmp_path):
     folder = tmp_path / "csv" / "lineId=207" / "year=2019" / "month=05"
     folder.mkdir(parents=True)

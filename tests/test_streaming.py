@@ -5,12 +5,12 @@ from conftest import SMALL, datagram
 from pyspark.sql import functions as F
 
 from fleetcheck import inputs
-from fleetspeed import Limits
 from fleetspeed.operators import monitoring, quality
 from fleetspeed.operators.segments import trip_segments
 from fleetspeed.schema import DATAGRAM_SCHEMA
 from fleetspeed.sources import landing
-from fleetspeed.sources.datagrams import to_line
+from fleetspeed.sources.datagrams import FILE_ROOM, to_line
+from fleetspeed.sources.lake import read_lake
 from fleetspeed.streaming import delivery, ingest, vehicles
 from test_monitoring import STATES, at, reports_of_buses, subscriptions, zones  # noqa: F401
 
@@ -98,33 +98,27 @@ def test_segments_equal_the_batch_form(spark, derived, landed, tmp_path):
 
 
 def test_signal_loss_equals_the_gap_list(spark, derived, landed, tmp_path):
-    stream = vehicles.signal_loss_stream(monitoring.consumable(source(spark, landed)))
+    stream = vehicles.signal_loss_stream(monitoring.consumable(source(spark, landed)), live=False)
     drain(stream, str(tmp_path))
-    rows = monitoring.consumable(derived)
-    gaps = monitoring.signal_gaps(rows).select("bus_id", "last_ts")
-    horizon = rows.agg(F.max("ts")).first()[0]
-    tails = monitoring.latest_per_bus(rows, "ts").where(
-        F.col("ts") + F.expr("interval 61 seconds") <= F.lit(str(horizon)).cast("timestamp_ntz") - F.expr("interval 1 hour")
-    )
-    expected = gaps.unionByName(tails.select("bus_id", F.col("ts").alias("last_ts")))
-    same(result(spark, stream, str(tmp_path)), expected)
+    gaps = monitoring.signal_gaps(monitoring.consumable(derived))
+    same(result(spark, stream, str(tmp_path)), gaps.select("bus_id", "last_ts"))
 
 
-def test_signal_loss_timer_fires_once(spark, frame, tmp_path):
-    """Bus 1 falls silent; bus 2 moves time on; bus 1 comes back later."""
+def test_late_buses_and_clocks_ahead_lose_nothing(spark, frame, tmp_path):
+    """Bus 1 sends after two hours without coverage, the clock of bus 2 runs a day ahead."""
     rows = [
-        [datagram(1, 207, 1, at(0), 1, 1, 1), datagram(2, 207, 1, at(0), 1, 1, 2)],
-        [datagram(3, 207, 1, at(8000), 1, 1, 2)],
-        [datagram(4, 207, 1, at(8010), 1, 1, 2)],
-        [datagram(5, 207, 1, at(8020), 1, 1, 1)],
+        [datagram(1, 207, 1, at(0), 1, 1, 1), datagram(2, 207, 1, at(86400), 1, 1, 2)],
+        [datagram(3, 207, 1, at(86410), 1, 1, 2)],
+        [datagram(4, 207, 1, at(30), 1, 1, 1), datagram(5, 207, 1, at(7230), 1, 1, 1)],
+        [datagram(6, 207, 1, at(86500), 1, 1, 2)],
     ]
     folder = str(tmp_path)
     for part in rows:
         frame(part).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
-    stream = vehicles.signal_loss_stream(source(spark, f"{folder}/landing"), Limits(), "10 minutes")
-    drain(stream, folder)
+        stream = vehicles.signal_loss_stream(source(spark, f"{folder}/landing"), live=False)
+        drain(stream, folder)  # every batch is a restart
     found = sorted((r["bus_id"], r["last_ts"]) for r in result(spark, stream, folder).collect())
-    assert found == [(1, at(0)), (2, at(0))]
+    assert found == [(1, at(30)), (2, at(86410))]
 
 
 def test_ingest_of_lines(spark, derived, landed, tmp_path):
@@ -137,7 +131,7 @@ def test_ingest_of_lines(spark, derived, landed, tmp_path):
             landing.stream_lines(spark, f"{folder}/lines", files_per_trigger=1),
             catalogue, f"{folder}/lake", f"{folder}/rejects", f"{folder}/checkpoint",
         ).awaitTermination()
-    lake = spark.read.parquet(f"{folder}/lake")
+    lake = read_lake(spark, f"{folder}/lake")
     valid = quality.valid_datagrams(derived, catalogue)
     assert lake.count() == valid.count()
     assert lake.select("seq").distinct().count() == valid.count()
@@ -155,7 +149,7 @@ def test_repeated_batch_replaces_itself(spark, derived, tmp_path):
     for _ in range(2):
         ingest.archive_batch(tagged, 3, f"{folder}/lake", f"{folder}/rejects")
     ingest.archive_batch(tagged.limit(0), 4, f"{folder}/lake", f"{folder}/rejects")
-    assert spark.read.parquet(f"{folder}/lake").count() + spark.read.parquet(f"{folder}/rejects").count() == 1000
+    assert read_lake(spark, f"{folder}/lake").count() + spark.read.parquet(f"{folder}/rejects").count() == 1000
 
 
 def test_delivery_by_subscriber(spark, reports_of_buses, zones, subscriptions, tmp_path):  # noqa: F811
@@ -182,12 +176,12 @@ def test_board_is_replaced_per_batch(spark, derived, landed, tmp_path):
         updates.where(F.col("seq") % 2 == piece).coalesce(1).write.mode("append").parquet(f"{folder}/updates")
     stream = landing.stream_datagrams(spark, f"{folder}/updates", 1, updates.schema)
     vehicles.publish_board(stream, f"{folder}/board", f"{folder}/checkpoint").awaitTermination()
-    same(spark.read.parquet(f"{folder}/board"), monitoring.status_board(updates))
+    same(vehicles.read_board(spark, f"{folder}/board"), monitoring.status_board(updates))
 
 
 def test_repeats_are_dropped(spark, derived, landed, tmp_path):
     land(derived, landed, 0, PIECES)  # the first part arrives again
-    rows = vehicles.deduplicated(monitoring.consumable(source(spark, landed)), delay="2 days")
+    rows = vehicles.deduplicated(monitoring.consumable(source(spark, landed)))
     stream = rows.select("bus_id", "trip_id", "ts")
     drain(stream, str(tmp_path))
     same(
@@ -203,10 +197,22 @@ def test_throttled_alert_stream(spark, frame, tmp_path):
         frame(part).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
     no_zones = spark.createDataFrame([], "line_id int, zone_id int")
     alerts_in = vehicles.critical_alert_stream(source(spark, f"{folder}/landing"), no_zones)
-    stream = vehicles.throttled_alerts(alerts_in, delay="1 minute")
-    drain(stream, folder)
-    found = {(r["bus_id"], r["window_start"], r["alerts"], r["first_seq"]) for r in result(spark, stream, folder).collect()}
-    assert found == {(1, at(0), 2, 0), (1, at(5), 1, 2), (2, at(0), 1, 3)}
+    vehicles.publish_throttled(alerts_in, f"{folder}/windows", f"{folder}/checkpoint").awaitTermination()
+    windows = vehicles.read_throttled(spark, f"{folder}/windows").collect()
+    found = {(r["bus_id"], r["window_start"], r["alerts"], r["first_seq"]) for r in windows}
+    assert found == {(1, at(0), 2, 0), (1, at(5), 1, 2), (2, at(0), 1, 3), (1, at(900), 1, 4), (3, at(900), 1, 5)}
+
+
+def test_many_files_in_one_batch_keep_apart(spark, routes, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    line = "0,14-MAY-19,604118,70,34512345,-765310987,391,207,31,7300125588,2019-05-14 06:00:00,42"
+    for n in range(1500):
+        (folder / f"{n:05d}.csv").write_text(f"{line}\n{line}\n")
+    paths = [str(tmp_path / n) for n in ("lake", "rejects", "checkpoint")]
+    ingest.ingest_lines(landing.stream_lines(spark, str(folder)), routes, *paths).awaitTermination()
+    rows = read_lake(spark, paths[0]).agg(F.count("*"), F.countDistinct("seq"), F.max("seq")).first()
+    assert rows[:2] == (3000, 3000) and 1499 * FILE_ROOM < rows[2] < 1501 * FILE_ROOM
 
 
 def test_counters_add_up(spark, derived, landed, tmp_path):
