@@ -22,22 +22,33 @@ SLICE = "_slice"
 SLICED_KEYS = 100_000
 
 
-def crowded_keys(df: DataFrame, keys: Sequence[str], position: Column, slice_rows: int) -> DataFrame:
-    """The keys with more than ``slice_rows`` rows: their number of slices and position range."""
+# Slices of keys in time order: one hour, in microseconds.
+SLICE_US = 3_600_000_000
+
+
+def crowded_keys(df: DataFrame, keys: Sequence[str], slice_rows: int) -> DataFrame:
+    """The keys with more than ``slice_rows`` rows."""
     return (
         df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(position).alias("_lo"),
-            F.max(position).alias("_hi"),
-        )
-        .where((F.col("_n") > slice_rows) & (F.col("_lo") < F.col("_hi")))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > slice_rows)
         .orderBy(F.desc("_n"))
         .limit(SLICED_KEYS)
-        .select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / slice_rows).alias("_slices"))
+        .select(*keys, F.lit(True).alias("_cut"))
     )
 
 
+def slice_of(order: str, slice_rows: int) -> Column:
+    """Number of the slice a row of a crowded key is in.
+
+    Sequence numbers are unique, so a slice of ``slice_rows`` numbers never has more rows than that,
+    wherever the rows of a key lie.  Times are cut by the hour; a report with a broken time is in a
+    slice of its own and moves no other.
+    """
+    width = slice_rows if order == "seq" else SLICE_US
+    return F.floor(F.col(order) / width)
+
+
 def _slice_ends(rows: DataFrame, by: Sequence[Column | str], rank: list[str], carry: list[str]) -> DataFrame:
     """Highest-ranked row per group as a struct."""
     if len(rank) > 1:
@@ -90,18 +101,15 @@ def prior_max(
     if slice_rows is None:
         return unpacked(df.drop(*packed).withColumn(into, highest_before(*keys)))
 
-    position = F.col(order[0]).cast("double")
-    crowded = F.broadcast(crowded_keys(df, keys, position, slice_rows))
-    bucket = F.width_bucket(position, F.col("_lo"), F.col("_hi"), F.col("_slices"))
+    crowded = F.broadcast(crowded_keys(df, keys, slice_rows))
+    bucket = slice_of(order[0], slice_rows)
 
     # The state every slice of a crowded key starts from.
     candidates = df if counts is None else df.where(counts)
     ends = _slice_ends(candidates.join(crowded, keys), [*keys, bucket.alias(SLICE)], rank, carry)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     # A slice without candidates has no end of its own but still needs a start.
-    every = (
-        crowded.select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_slices") + 1)).alias(SLICE))
-    )
+    every = df.join(crowded, keys).select(*keys, bucket.alias(SLICE)).distinct()
     starts = (
         every.join(ends, [*keys, SLICE], "left")
         .withColumn("_start", F.max("_end").over(earlier))
@@ -111,8 +119,8 @@ def prior_max(
     sliced = (
         df.drop(*packed)
         .join(crowded, keys, "left")
-        .withColumn(SLICE, F.coalesce(bucket, F.lit(0)))
-        .drop("_lo", "_hi", "_slices")
+        .withColumn(SLICE, F.when(F.col("_cut"), bucket).otherwise(0))
+        .drop("_cut")
         .join(starts, [*keys, SLICE], "left")
     )
     return unpacked(
