@@ -332,12 +332,12 @@ def _remaining_pairs(lists: DataFrame, groups: DataFrame, similar: DataFrame, jo
     known = similar.select(
         "node", F.col("other").alias("leader"), least.alias("far"), F.when(F.col("exact"), least).otherwise(1.0).alias("farthest")
     )
+    # Pairs with the leader have been compared, so only the others of a list are looked at.
     entries = (
-        lists.join(groups, "node", "left")
+        lists.where(F.col("node") != F.col("leader"))
+        .select("token", "node", "n", "at", "leader")
+        .join(groups, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
-        .join(known, ["node", "leader"], "left")
-        .withColumn("far", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("far", F.lit(0.0))))
-        .withColumn("farthest", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("farthest", F.lit(1.0))))
     )
     mixed = (
         entries.groupBy("token")
@@ -348,6 +348,9 @@ def _remaining_pairs(lists: DataFrame, groups: DataFrame, similar: DataFrame, jo
     step = float(np.log(100 / join.percent)) * (1 + 1e-9)
     entries = (
         entries.join(mixed, "token")
+        .join(known, ["node", "leader"], "left")
+        .withColumn("far", F.coalesce("far", F.lit(0.0)))
+        .withColumn("farthest", F.coalesce("farthest", F.lit(1.0)))
         .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
         .withColumn("stretch", F.floor(F.col("at") / join.position_block))
     )
@@ -366,7 +369,7 @@ def _remaining_pairs(lists: DataFrame, groups: DataFrame, similar: DataFrame, jo
         & ((F.col("a_low") != F.col("b_high")) | (F.col("a_high") != F.col("b_low")))
         & (F.least("a_most_left", "b_most_left") >= needed(join, F.col("a_least_n") + F.col("b_least_n")))
     )
-    columns = ["node", "n", "at", "component", "leader", "far", "farthest"]
+    columns = ["node", "n", "at", "component", "far", "farthest"]
 
     def side(name: str) -> DataFrame:
         return entries.select(
@@ -386,9 +389,6 @@ def _remaining_pairs(lists: DataFrame, groups: DataFrame, similar: DataFrame, jo
             & _may_link(join, F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at"))
             & (F.col("a_far") - F.col("b_farthest") <= distance)
             & (F.col("b_far") - F.col("a_farthest") <= distance)
-            # Pairs with the leader have been compared.
-            & (F.col("a_node") != F.col("b_leader"))
-            & (F.col("b_node") != F.col("a_leader"))
         )
     )
     return pairs.select(F.least("a_node", "b_node").alias("node"), F.greatest("a_node", "b_node").alias("other")).distinct()
