@@ -4,9 +4,11 @@ The base kinds (email, ip, card, phone) are located by regular expressions.  The
 contexts and instances: an instance is a token with a digit or an ``@``, its contexts are the last word
 and the last two words between the instance before and it, its shape is its letters and digits
 reduced to classes.  Spark scores the graph in rounds.  A context is trusted for its share of occurrences that are followed by
-a trusted instance, weighed against ``prior`` unknown ones; an instance that isn't a seed is trusted as
-far as its best context and its shape.  Shapes are learned alike.  In the end tokens behind a context
-at or above ``accept`` are new spans of kind ``id``, also where the token was seen nowhere else.
+a trusted instance, weighed against ``prior`` unknown ones.  A context at or above ``accept`` reaches an
+instance by itself, whatever its shape; a weaker one reaches it as far as the shape is known, too.  Shapes
+are scored like contexts, so instances of a new shape make it known in the next round.  In the end
+tokens behind a context at or above ``accept`` are new spans of kind ``id``, also where the token or
+its shape was seen nowhere else.
 
 Spans are code points, end exclusive.  New spans never touch base ones; base spans are never
 changed.  Null and empty texts have no spans.  Rows with the same ``doc_id`` and text are one document
@@ -49,7 +51,7 @@ class Bootstrap:
     rounds: int = 3
     prior: float = 3.0  # unknown occurrences that a context or shape starts with
     trust: float = 0.5  # score from which an instance counts as known in the next round
-    accept: float = 0.8  # score of context and shape from which a token is a new span
+    accept: float = 0.8  # score of a context from which it needs no known shape, and a token is a new span
 
 
 def located(text: Column, pattern: str, valid) -> Column:
@@ -213,8 +215,8 @@ def instances(found: DataFrame) -> DataFrame:
     )
 
 
-def trusted_contexts(spark: SparkSession, tokens: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> tuple[DataFrame, DataFrame]:
-    """Scores of contexts and of shapes after the rounds.
+def trusted_contexts(spark: SparkSession, tokens: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
+    """Scores of contexts after the rounds.
 
     The graph is kept as counts of (match, context, shape), so no context has more rows than it has
     different neighbours, whatever the number of occurrences.
@@ -229,11 +231,13 @@ def trusted_contexts(spark: SparkSession, tokens: DataFrame, bootstrap: Bootstra
     scored = edges.select("match", "context", "shape", "n", F.col("seed").cast("double").alias("known"))
     for _ in range(bootstrap.rounds):
         contexts, shapes = _scores(scored, "context", bootstrap), _scores(scored, "shape", bootstrap)
+        with_shape = F.least("context_score", F.coalesce("shape_score", F.lit(0.0)))
+        reach = F.when(F.col("context_score") >= bootstrap.accept, F.col("context_score")).otherwise(with_shape)
         reached = (
             edges.join(contexts, "context")
-            .join(shapes, "shape")
+            .join(shapes, "shape", "left")
             .groupBy("match")
-            .agg(F.max(F.least("context_score", "shape_score")).alias("reach"), F.max("seed").alias("is_seed"))
+            .agg(F.max(reach).alias("reach"), F.max("seed").alias("is_seed"))
             .where(F.col("is_seed") | (F.col("reach") >= bootstrap.trust))
             .select("match", F.when(F.col("is_seed"), 1.0).otherwise(F.col("reach")).alias("known"))
         )
@@ -244,7 +248,7 @@ def trusted_contexts(spark: SparkSession, tokens: DataFrame, bootstrap: Bootstra
             ),
             "context-scores",
         )
-    return _scores(scored, "context", bootstrap), _scores(scored, "shape", bootstrap)
+    return _scores(scored, "context", bootstrap)
 
 
 def _scores(scored: DataFrame, column: str, bootstrap: Bootstrap) -> DataFrame:
@@ -254,14 +258,12 @@ def _scores(scored: DataFrame, column: str, bootstrap: Bootstrap) -> DataFrame:
 
 def new_spans(spark: SparkSession, tokens: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
     """``doc_id``, ``_text_hash`` and the ``id`` spans of every text that has any."""
-    contexts, shapes = trusted_contexts(spark, tokens, bootstrap)
+    contexts = trusted_contexts(spark, tokens, bootstrap)
     accepted = contexts.where(F.col("context_score") >= bootstrap.accept).select("context")
-    known_shapes = shapes.where(F.col("shape_score") >= bootstrap.accept).select("shape")
     open_tokens = tokens.where(~F.col("seed"))
     reached = (
         open_tokens.withColumn("context", F.explode(F.array_compact(F.array("near", "far"))))
         .join(accepted, "context")
-        .join(known_shapes, "shape", "left_semi")
     )
     # The token without surrounding punctuation.
     lead = F.length(F.regexp_extract("match", r"^[^A-Za-z0-9]*", 0))

@@ -131,6 +131,20 @@ def test_contexts_find_unseen_identifiers(spark):
     assert rows[-1]["spans"] == ""
 
 
+def test_contexts_find_identifiers_of_new_shapes(spark):
+    seen = [f"{prose(n, 20)} please call +1 (017) 555-{n:04d} now" for n in range(300)]
+    # The same new identifiers behind a second context, which no base pattern ever follows.
+    seen += [f"{prose(n, 20)} please call AB-{n:05d} now, staff badge AB-{n:05d} shown" for n in range(40)]
+    hidden = [prose(77, 30) + " please call Q7/K12/Z now", prose(78, 30) + " staff badge XY-98765 shown"]
+    clean = prose(79, 30) + " release AB-1 of 2024 and chapter 7"
+    rows = personal_data.report(spark, frame(spark, [*seen, *hidden, clean])).orderBy("doc_id").collect()
+    for row, text, token in zip(rows[-3:-1], hidden, ("Q7/K12/Z", "XY-98765"), strict=True):
+        start = text.index(token)
+        assert row["spans"] == f"id:{start}:{start + len(token)}"
+    assert all(r["spans"].count("id:") == 2 for r in rows[300:340])
+    assert rows[-1]["spans"] == ""
+
+
 def test_redaction(spark):
     docs = frame(spark, ["Write to a@b.com, card 4111 1111 1111 1111!", None, "nothing"])
     rows = personal_data.redact(spark, docs).orderBy("doc_id").collect()
