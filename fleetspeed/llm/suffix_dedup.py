@@ -38,7 +38,7 @@ from fleetspeed.llm.common import stored, with_text
 from fleetspeed.llm.words import BLOCK, mix, power, text_blocks, text_bytes, u64
 
 NULL_ID = -(1 << 63)
-_START, _TAG = 8, 39  # bits of a place: text tag (24), start (31), run length (8)
+_START = 8  # bits of a place: start (31), run length (8)
 COPY = np.int64(-(1 << 63))  # sign of a place: the run is known to be a copy
 
 
@@ -87,12 +87,12 @@ def _runs(data: np.ndarray, offsets: np.ndarray, repeats: Repeats):
     return grams[anchor[head]], content, begin - offsets[row], end - begin, row
 
 
-def _copies_in_block(anchor, content, doc, place) -> np.ndarray:
+def _copies_in_block(anchor, content, doc, tag, place) -> np.ndarray:
     """Runs of a block that equal an earlier one of it; they need not meet the others to be known as copies."""
     order = np.argsort(content, kind="stable")
     equal = content[order][1:] == content[order][:-1]
     own = order[np.append(equal, False) | np.append(False, equal)] if len(order) > 1 else order[:0]
-    own = own[np.lexsort((place[own], doc[own], anchor[own], content[own]))]
+    own = own[np.lexsort((place[own], tag[own], doc[own], anchor[own], content[own]))]
     again = np.zeros(len(own), bool)
     again[1:] = (content[own][1:] == content[own][:-1]) & (anchor[own][1:] == anchor[own][:-1])
     return own[again]
@@ -116,16 +116,16 @@ def _run_rows(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterator[p
                     continue
                 anchor, content, start, size, own = found
                 own = own + row
-                place = tag[own] << _TAG | (start + at) << _START | size
-                copies = _copies_in_block(anchor, content, doc[own], place)
-                anchor[copies] = mix(doc[own][copies].view(u64) ^ place[copies].view(u64))  # anywhere
+                place = (start + at) << _START | size
+                copies = _copies_in_block(anchor, content, doc[own], tag[own], place)
+                anchor[copies] = mix((doc[own] ^ tag[own] ^ place)[copies].view(u64))  # anywhere
                 place[copies] |= COPY
-                columns = (anchor.view(np.int64), content.view(np.int64), doc[own], place)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "doc", "place"])
+                columns = (anchor.view(np.int64), content.view(np.int64), doc[own], tag[own], place)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "doc", "tag", "place"])
 
 
 def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by anchor, content, document and place: copies of runs, and the first of each.
+    """From rows sorted by anchor, content, document, tag and place: copies of runs, and the first of each.
 
     First runs come with their anchor, and only if the anchor has another run.  Between batches only the
     last row and the open anchor's first run are kept.
@@ -133,12 +133,13 @@ def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None  # anchor and content of the last row
     waiting = None  # the open anchor's first run, while it is the only one
     for batch in batches:
-        anchor, content, doc, place = (batch[k].to_numpy() for k in ("anchor", "content", "doc", "place"))
+        anchor, content, doc, tag, place = (batch[k].to_numpy() for k in ("anchor", "content", "doc", "tag", "place"))
         known = place < 0
         if known.any():
             none = pa.nulls(int(known.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(doc[known]), pa.array(place[known] & ~COPY)], ["anchor", "doc", "place"])
-            anchor, content, doc, place = (x[~known] for x in (anchor, content, doc, place))
+            copies = (doc[known], tag[known], place[known] & ~COPY)
+            yield pa.RecordBatch.from_arrays([none, *map(pa.array, copies)], ["anchor", "doc", "tag", "place"])
+            anchor, content, doc, tag, place = (x[~known] for x in (anchor, content, doc, tag, place))
         n = len(anchor)
         if not n:
             continue
@@ -156,25 +157,28 @@ def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if open_before:
             several[0] = runs[0] > 0
         firsts = new_run & several[group]
-        out_doc, out_place, out_anchor = [doc[~new_run]], [place[~new_run]], [np.zeros(0, np.int64)]
+        out_doc, out_tag, out_place = [doc[~new_run]], [tag[~new_run]], [place[~new_run]]
+        out_anchor = [np.zeros(0, np.int64)]
         mask = [np.ones(int((~new_run).sum()), bool)]
         if open_before and waiting is not None and several[0]:
             out_doc.append(waiting[1:2])
-            out_place.append(waiting[2:3])
+            out_tag.append(waiting[2:3])
+            out_place.append(waiting[3:4])
             out_anchor.append(waiting[0:1])
             mask.append(np.zeros(1, bool))
             waiting = None
         out_doc.append(doc[firsts])
+        out_tag.append(tag[firsts])
         out_place.append(place[firsts])
         mask.append(np.zeros(int(firsts.sum()), bool))
         anchors = np.concatenate([np.zeros(len(mask[0]), np.int64), *out_anchor[1:], anchor[firsts]])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchors, mask=np.concatenate(mask)), pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_place))],
-            ["anchor", "doc", "place"],
+            [pa.array(anchors, mask=np.concatenate(mask)), *(pa.array(np.concatenate(x)) for x in (out_doc, out_tag, out_place))],
+            ["anchor", "doc", "tag", "place"],
         )
         if group[-1] > 0:  # an anchor began in this batch and is open now
             head = np.flatnonzero(new_anchor)[-1]
-            waiting = None if several[group[-1]] else np.array([anchor[head], doc[head], place[head]])
+            waiting = None if several[group[-1]] else np.array([anchor[head], doc[head], tag[head], place[head]])
         last = (anchor[-1], content[-1])
 
 
@@ -195,7 +199,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the runs listed for each text."""
     for batch in batches:
         data, offsets = text_bytes(batch["text"])
-        anchors, docs, places, parts = [], [], [], []
+        anchors, docs, tags, places, parts = [], [], [], [], []
         for row in range(len(batch)):
             own = batch["places"][row].values.to_numpy()
             low = offsets[row] + (own >> _START & ((1 << 31) - 1))
@@ -203,8 +207,9 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places.append(own)
             anchors.append(batch["anchors"][row].values.to_numpy())
             docs.append(np.full(len(own), batch["doc"][row].as_py()))
-        columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (anchors, docs, places)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], ["anchor", "doc", "place", "bytes"])
+            tags.append(np.full(len(own), batch["tag"][row].as_py()))
+        columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (anchors, docs, tags, places)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], ["anchor", "doc", "tag", "place", "bytes"])
 
 
 def repeated_starts(shards: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,13 +236,13 @@ def repeated_starts(shards: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     return rows - 2, block
 
 
-def _later_starts(docs, places, parts: list[bytes], repeats: Repeats) -> pa.RecordBatch:
+def _later_starts(docs, tags, places, parts: list[bytes], repeats: Repeats) -> pa.RecordBatch:
     """Removed stretches found by merging runs: all but the earliest start of every repeated interval."""
     sizes = np.array([len(p) + 1 for p in parts])
     begin = np.concatenate([[0], np.cumsum(sizes)])
     starts, interval = repeated_starts(parts, repeats.length)
     run = np.searchsorted(begin, starts, "right") - 1
-    tag = places[run] >> _TAG
+    tag = tags[run]
     at = (places[run] >> _START & ((1 << 31) - 1)) + starts - begin[run]
     doc = docs[run]
     order = np.lexsort((at, tag, doc, interval))
@@ -263,8 +268,8 @@ def _merged_runs(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterato
     size = 0
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        docs, places = table["doc"].to_numpy(), table["place"].to_numpy()
-        return _later_starts(docs, places, table["bytes"].to_pylist(), repeats)
+        docs, tags, places = (table[k].to_numpy() for k in ("doc", "tag", "place"))
+        return _later_starts(docs, tags, places, table["bytes"].to_pylist(), repeats)
 
     for batch in batches:
         held.append(batch)
@@ -286,7 +291,7 @@ def _string_rows(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterato
     """Hash, document and start of every string of runs."""
     for batch in batches:
         parts = batch["bytes"].to_pylist()
-        docs, places = batch["doc"].to_numpy(), batch["place"].to_numpy()
+        docs, tags, places = (batch[k].to_numpy() for k in ("doc", "tag", "place"))
         for low in range(0, len(parts), 4096):
             own = parts[low : low + 4096]
             data = np.frombuffer(b"".join(own), np.uint8)
@@ -298,33 +303,31 @@ def _string_rows(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterato
             hashed = mix((sums[at + repeats.length] - sums[at]) * power("down")[at])
             place = places[low + run[at]]
             start = (place >> _START & ((1 << 31) - 1)) + at - begin[run[at]]
-            columns = (hashed.view(np.int64), docs[low + run[at]], place >> _TAG, start)
+            columns = (hashed.view(np.int64), docs[low + run[at]], tags[low + run[at]], start)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["string", "doc", "tag", "start"])
 
 
 def removed_stretches(spark: SparkSession, texts: DataFrame, repeats: Repeats) -> DataFrame:
     """``doc``, ``tag``, ``start`` and ``end`` of stretches whose bytes go; they may overlap."""
     runs = texts.select("doc", "tag", "text").mapInArrow(
-        lambda b: _run_rows(b, repeats), "anchor long, content long, doc long, place long"
+        lambda b: _run_rows(b, repeats), "anchor long, content long, doc long, tag long, place long"
     )
-    sorted_runs = runs.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "place")
-    found = stored(spark, sorted_runs.mapInArrow(_first_runs, "anchor long, doc long, place long"), "runs")
+    sorted_runs = runs.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "tag", "place")
+    found = stored(spark, sorted_runs.mapInArrow(_first_runs, "anchor long, doc long, tag long, place long"), "runs")
     start = F.shiftright("place", _START).bitwiseAND(F.lit((1 << 31) - 1))
     copies = found.where("anchor IS NULL").select(
-        "doc", F.shiftright("place", _TAG).alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(255))).alias("end")
+        "doc", "tag", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(255))).alias("end")
     )
     first = found.where("anchor IS NOT NULL")
     many = stored(spark, first.groupBy("anchor").count().where(F.col("count") > repeats.most_runs).select("anchor"), "large-anchors")
     shared = spark.sparkContext.broadcast(_slots(first))  # 2 ** 22 bytes
-    listed = first.groupBy("doc", F.shiftright("place", _TAG).alias("tag")).agg(
-        F.collect_list(F.struct("place", "anchor")).alias("runs")
-    )
+    listed = first.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "anchor")).alias("runs"))
     wanted = texts.select("doc", "tag", "text").mapInArrow(lambda b: _chosen(b, shared.value), "doc long, tag long, text string")
     contents = (
         wanted.dropDuplicates(["doc", "tag"])
         .join(listed, ["doc", "tag"])
-        .select("doc", "text", F.col("runs.place").alias("places"), F.col("runs.anchor").alias("anchors"))
-        .mapInArrow(_contents, "anchor long, doc long, place long, bytes binary")
+        .select("doc", "tag", "text", F.col("runs.place").alias("places"), F.col("runs.anchor").alias("anchors"))
+        .mapInArrow(_contents, "anchor long, doc long, tag long, place long, bytes binary")
     )
     schema = "doc long, tag long, start long, end long"
     merge = lambda b: _merged_runs(b, repeats)
@@ -336,7 +339,7 @@ def removed_stretches(spark: SparkSession, texts: DataFrame, repeats: Repeats) -
     later = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(merge, schema)
     strings = (
         contents.join(many, "anchor", "left_semi")
-        .select("doc", "place", "bytes")
+        .select("doc", "tag", "place", "bytes")
         .mapInArrow(lambda b: _string_rows(b, repeats), "string long, doc long, tag long, start long")
     )
     earliest = strings.groupBy("string").agg(F.min(F.struct("doc", "tag", "start")).alias("first"))
@@ -378,7 +381,7 @@ def report(spark: SparkSession, docs: DataFrame, repeats: Repeats = Repeats()) -
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row."""
     texts = with_text(docs).select(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"),
-        F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1)).alias("tag"),
+        F.xxhash64("text").alias("tag"),
         "text",
         "doc_id",
     )

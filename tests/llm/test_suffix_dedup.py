@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import DOCS, edited, odd_rows, prose, repeats_removed, same  # noqa: E402
@@ -81,3 +82,20 @@ def test_repeated_starts():
         groups.setdefault(int(number), set()).add(bytes(joined[start : start + 4]))
     assert sorted(groups.values(), key=str) == [{b"abcd"}, {b"bcde"}]
     assert np.all(np.diff(block) >= 0)
+
+
+def test_texts_of_one_id_with_hashes_alike_in_24_bits(spark):
+    """Two texts of the null id whose text hashes have equal low bits stay two texts."""
+    bodies = [prose(1, 60) * 2, prose(2, 45) + prose(3, 30) * 2]
+    text = F.concat(F.col("id").cast("string"), F.lit(" "), F.when(F.col("id") % 2 == 0, bodies[0]).otherwise(bodies[1]))
+    tagged = spark.range(30_000).withColumn("tag", F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1)))
+    pair = (
+        tagged.groupBy("tag")
+        .agg(F.min_by("id", F.col("id") % 2).alias("even"), F.max_by("id", F.col("id") % 2).alias("odd"))
+        .where("even % 2 = 0 AND odd % 2 = 1")
+        .orderBy("tag")
+        .first()
+    )
+    rows = [(None, f"{n} {bodies[n % 2]}", "en", "s", 0) for n in (pair["even"], pair["odd"])]
+    check(spark, rows)
+    check(spark, rows, suffix_dedup.Repeats(most_runs=0))
