@@ -223,3 +223,14 @@ def test_pipeline(spark, tables):
     assert not any("@" in (r["text"] or "") for r in seen["PII"])
     assert set(last) <= set(fourth) and all(r["mix_copies"] in (1, 2) for r in seen[corpus_pipeline.STAGES[-1][0]])
     same(corpus_pipeline.run(spark, tables).collect(), seen[corpus_pipeline.STAGES[-1][0]])
+
+
+def test_pipeline_links_near_copies_by_five_words_at_80_percent(spark):
+    """Two substitutions in 100 distinct words: 86/106 of the 5-grams are shared, but only 89/105 of the 4-grams."""
+    import corpus_pipeline
+
+    first = [f"w{n}" for n in range(100)]
+    second = ["new" if n in (30, 60) else w for n, w in enumerate(first)]
+    rows = [(1, " ".join(first), "en", "s", 0), (2, " ".join(second), "en", "s", 0), (3, prose(1, 100), "en", "s", 0)]
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert len(kept) == 2 and 3 in {r["doc_id"] for r in kept}
