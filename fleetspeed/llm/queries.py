@@ -12,6 +12,7 @@ from fleetspeed.llm import (
     decontamination,
     license_scan,
     ngram_join,
+    periodic_runs,
     personal_data,
     quality_classifier,
     quality_rules,
@@ -95,6 +96,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(spark, read(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by a checksum of their ids, get a periodic tail first."""
+    return periodic_runs.report(spark, read(spark, sf_dir, "documents"), prepare=periodic_runs.periodic_tail)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -107,4 +113,5 @@ def queries() -> dict[str, Query]:
         "op8_ngram_join": op8_ngram_join,
         "op10_personal_data": op10_personal_data,
         "op5_quality_classifier": op5_quality_classifier,
+        "op13_periodic_runs": op13_periodic_runs,
     }
