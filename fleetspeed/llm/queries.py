@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetspeed.llm import (
     chat_formatting,
     decontamination,
+    language_id,
     license_scan,
     ngram_join,
     periodic_runs,
@@ -96,6 +97,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(spark, read(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(spark, read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, by a checksum of their ids, get a periodic tail first."""
     return periodic_runs.report(spark, read(spark, sf_dir, "documents"), prepare=periodic_runs.periodic_tail)
@@ -113,5 +118,6 @@ def queries() -> dict[str, Query]:
         "op8_ngram_join": op8_ngram_join,
         "op10_personal_data": op10_personal_data,
         "op5_quality_classifier": op5_quality_classifier,
+        "op11_language_id": op11_language_id,
         "op13_periodic_runs": op13_periodic_runs,
     }
