@@ -11,26 +11,29 @@ from fleetspeed.llm.license_scan import NEEDED_PERCENT, PHRASES, STRIDE, TEMPLAT
 SPACED = r"[^\x20\x09-\x0D]+"
 
 CHAT = r"""
-WITH turns AS (
-  SELECT conv_id, coalesce(CAST(floor(turn / 1024) AS BIGINT), -1) AS part, coalesce(turn, 0) AS turn,
+WITH cleaned AS (
+  SELECT conv_id, turn IS NULL AS late, coalesce(turn, 0) AS turn,
          coalesce(nullif(lower(trim(role)), ''), 'unknown') AS speaker,
-         replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS said
+         replace(coalesce(text, ''), '<|', '< |') AS content
   FROM conversations
 ),
+turns AS (
+  SELECT *, content || '<|im_end|>' AS said, row_number() OVER (PARTITION BY conv_id ORDER BY late, turn, speaker, content) - 1 AS n
+  FROM cleaned
+),
 participants AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
 pieces AS (
-  SELECT t.conv_id, perspective, part, turn, speaker, said,
+  SELECT t.conv_id, perspective, n // 1024 AS part, n, speaker, said,
          '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
                                 ELSE 'user name=' || speaker END || chr(10) AS head
   FROM turns t JOIN participants p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ),
 placed AS (
-  SELECT *, row_number() OVER w AS n,
-         coalesce(sum(length(head) + length(said) + 1) OVER (
-           PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM pieces WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said)
+  SELECT *, coalesce(sum(length(head) + length(said) + 1) OVER (
+           PARTITION BY conv_id, perspective, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM pieces
 )
-SELECT conv_id, perspective, CASE WHEN part >= 0 THEN part END AS part, count(*) AS n_turns,
+SELECT conv_id, perspective, part, count(*) AS n_turns,
        count(*) FILTER (speaker = perspective) AS n_trained,
        string_agg(head || said || chr(10), '' ORDER BY n) AS text,
        coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || ':' || CAST(pos + length(head) + length(said) AS BIGINT), ',' ORDER BY n)

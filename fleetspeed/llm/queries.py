@@ -39,7 +39,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_formatting.rotate(read(spark, sf_dir, "conversations"))
+    return chat_formatting.rotate(spark, read(spark, sf_dir, "conversations"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
