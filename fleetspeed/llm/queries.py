@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetspeed.llm import (
     chat_formatting,
+    conversation_repair,
     decontamination,
     language_id,
     license_scan,
@@ -101,6 +102,11 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(spark, read(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return conversation_repair.report(spark, conversation_repair.damaged(conversations), conversations)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, by a checksum of their ids, get a periodic tail first."""
     return periodic_runs.report(spark, read(spark, sf_dir, "documents"), prepare=periodic_runs.periodic_tail)
@@ -119,5 +125,6 @@ def queries() -> dict[str, Query]:
         "op10_personal_data": op10_personal_data,
         "op5_quality_classifier": op5_quality_classifier,
         "op11_language_id": op11_language_id,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_periodic_runs": op13_periodic_runs,
     }
