@@ -5,21 +5,24 @@ documents, which are ordered by ``doc_id``; all strings are judged on the input.
 
 1. Every string of ``length`` bytes holds an anchor, the k-gram with the least hash in it, so equal
    strings have equal anchors.  Consecutive strings with the same anchor form a run.  Runs are sorted by
-   anchor and content: of equal runs all but the first are removed whole, and only anchors with
-   different runs go on, each run once.  Copies within a block of texts are told apart before the
-   shuffle and dealt anywhere, so a passage that all texts share meets once a block, not once a text.
-2. Runs of one anchor meet in a task as shards.  The rows of their transforms, laid end to end, are the
-   first interleave.  Each step puts the two symbols before a row in front of it and stably deals the
-   rows by them: the interleave then is sorted by a prefix two symbols longer.  A row whose block ends
-   up alone has no equal prefix; the step at which that happens is its common prefix, and the row is
-   out.  After ``length`` symbols the blocks left are the repeated intervals, and suffixes were never
-   compared or sorted anew.
-3. In each interval the earliest start stays; the others are removed.
+   anchor and content, where content is known by two fingerprints of different rings (modulo 2 ** 64 and
+   a prime) mixed into one number.  Equal runs are one row of a transform with several places: all places but
+   the first are removed whole, and only anchors with different runs go on, each run once.  Copies
+   within a block of texts are told apart before the shuffle and dealt anywhere, so a passage that all
+   texts share meets once a block, not once a text.
+2. Runs of one anchor meet in a task, in shards of ``shard_bytes``.  Each shard gets its own transform: its
+   rows sorted by their first ``length`` bytes, with the strings repeated inside the shard.
+3. The transforms, laid end to end, are the first interleave.  Each step puts the two symbols before a row in
+   front of it and stably deals the rows by them: the interleave then is sorted by a prefix two
+   symbols longer.  A block with rows of one shard only needs no more merging, its own transform has the rest,
+   so its rows leave; the last step a row is seen in is its common prefix with other shards.  After
+   ``length`` symbols the blocks left are the intervals that span shards.  No suffix is sorted anew.
+4. In each interval the earliest start stays; the others are removed.
 
 Anchors with more runs than a task should hold are solved by an exact shuffle of string hashes.
 
-Null texts are empty.  Rows with the same ``doc_id`` and text are one document and get the same
-result; of rows with one ``doc_id`` and other texts the smaller text hash counts as earlier.  A null
+Null texts are empty.  Rows with the same ``doc_id`` and text are one document, which is no copy of itself, and get
+the same result; of rows with one ``doc_id`` and other texts the smaller text hash counts as earlier.  A null
 ``doc_id`` comes first.  Texts under ``length`` bytes stay as they are.
 """
 
@@ -38,7 +41,8 @@ from fleetspeed.llm.common import stored, with_text
 from fleetspeed.llm.words import BLOCK, mix, power, text_blocks, text_bytes, u64
 
 NULL_ID = -(1 << 63)
-_START = 8  # bits of a place: start (31), run length (8)
+_START = 16  # bits of a place: start (31), run length (16)
+_SIZE = (1 << _START) - 1
 COPY = np.int64(-(1 << 63))  # sign of a place: the run is known to be a copy
 
 
@@ -47,8 +51,40 @@ class Repeats:
     length: int = 100
     gram: int = 24
     task_bytes: int = 4 << 20  # bytes of runs that are merged at a time
+    shard_bytes: int = 1 << 20  # bytes of runs in a transform
     most_runs: int = 20_000  # runs of one anchor that are merged in one task
 
+    def __post_init__(self):
+        if not 4 <= self.gram < self.length or 2 * self.length - self.gram > _SIZE:
+            raise ValueError(f"anchors must be of 4 bytes or more and shorter than strings, and runs no longer than {_SIZE} bytes")
+
+
+_PRIME = (1 << 31) - 1
+_ROOT = 1_103_515_245
+_residues: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo the prime."""
+    if n not in _residues:
+        tables = []
+        for base in (_ROOT, pow(_ROOT, -1, _PRIME)):
+            table = np.ones(1, np.int64)
+            while len(table) <= n:  # twice as many each time
+                table = np.concatenate([table, table * pow(base, len(table), _PRIME) % _PRIME])
+            tables.append(table[: n + 1])
+        _residues[n] = tuple(tables)
+    return _residues[n]
+
+
+def _fingerprints(data: np.ndarray, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of byte strings, from two rings: prefix sums modulo 2 ** 64 are given, those modulo the prime are made here."""
+    up, down = _prime_powers(BLOCK)
+    residue = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data.astype(np.int64) + 1) * up[: len(data)] % _PRIME, out=residue[1:])
+    second = (residue[end] - residue[begin]) % _PRIME * down[begin] % _PRIME
+    first = mix((sums[end] - sums[begin]) * power("down")[begin])
+    return mix(first ^ (second.astype(u64) * u64(0x9E3779B97F4A7C15)))
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """Least key of every ``width`` consecutive ones."""
@@ -82,20 +118,24 @@ def _runs(data: np.ndarray, offsets: np.ndarray, repeats: Repeats):
     head = np.flatnonzero(first)
     begin = starts[head]
     end = starts[np.append(head[1:], len(starts)) - 1] + length
-    content = mix((sums[end] - sums[begin]) * down[begin])
+    content = _fingerprints(data, sums, begin, end)
     row = np.searchsorted(offsets, begin, "right") - 1
     return grams[anchor[head]], content, begin - offsets[row], end - begin, row
 
 
-def _copies_in_block(anchor, content, doc, tag, place) -> np.ndarray:
-    """Runs of a block that equal an earlier one of it; they need not meet the others to be known as copies."""
+def _known_in_block(anchor, content, doc, tag, place) -> tuple[np.ndarray, np.ndarray]:
+    """Of the runs of a block: which equal an earlier one of it and need not meet the others to be known as
+    copies, and which are the same place of the same document once more."""
     order = np.argsort(content, kind="stable")
     equal = content[order][1:] == content[order][:-1]
     own = order[np.append(equal, False) | np.append(False, equal)] if len(order) > 1 else order[:0]
     own = own[np.lexsort((place[own], tag[own], doc[own], anchor[own], content[own]))]
-    again = np.zeros(len(own), bool)
+    again, repeated = np.zeros(len(own), bool), np.zeros(len(own), bool)
     again[1:] = (content[own][1:] == content[own][:-1]) & (anchor[own][1:] == anchor[own][:-1])
-    return own[again]
+    repeated[1:] = again[1:]
+    for key in (doc, tag, place):
+        repeated[1:] &= key[own][1:] == key[own][:-1]
+    return own[again & ~repeated], own[repeated]
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterator[pa.RecordBatch]:
@@ -117,10 +157,11 @@ def _run_rows(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterator[p
                 anchor, content, start, size, own = found
                 own = own + row
                 place = (start + at) << _START | size
-                copies = _copies_in_block(anchor, content, doc[own], tag[own], place)
+                copies, repeated = _known_in_block(anchor, content, doc[own], tag[own], place)
                 anchor[copies] = mix((doc[own] ^ tag[own] ^ place)[copies].view(u64))  # anywhere
                 place[copies] |= COPY
                 columns = (anchor.view(np.int64), content.view(np.int64), doc[own], tag[own], place)
+                columns = [np.delete(c, repeated) for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "doc", "tag", "place"])
 
 
@@ -130,7 +171,7 @@ def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     First runs come with their anchor, and only if the anchor has another run.  Between batches only the
     last row and the open anchor's first run are kept.
     """
-    last = None  # anchor and content of the last row
+    last = None  # the last row
     waiting = None  # the open anchor's first run, while it is the only one
     for batch in batches:
         anchor, content, doc, tag, place = (batch[k].to_numpy() for k in ("anchor", "content", "doc", "tag", "place"))
@@ -140,6 +181,13 @@ def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             copies = (doc[known], tag[known], place[known] & ~COPY)
             yield pa.RecordBatch.from_arrays([none, *map(pa.array, copies)], ["anchor", "doc", "tag", "place"])
             anchor, content, doc, tag, place = (x[~known] for x in (anchor, content, doc, tag, place))
+        # The same place of a document that stands twice is one place.
+        rows = np.stack([anchor, content, doc, tag, place])
+        fresh = np.ones(len(anchor), bool)
+        fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        if last is not None and len(anchor):
+            fresh[0] = (rows[:, 0] != last).any()
+        anchor, content, doc, tag, place = rows[:, fresh]
         n = len(anchor)
         if not n:
             continue
@@ -179,20 +227,47 @@ def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if group[-1] > 0:  # an anchor began in this batch and is open now
             head = np.flatnonzero(new_anchor)[-1]
             waiting = None if several[group[-1]] else np.array([anchor[head], doc[head], tag[head], place[head]])
-        last = (anchor[-1], content[-1])
+        last = rows[:, -1]
+
+
+_CHUNK = 18  # slots of a piece of the filter, as a power of two
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """Bits that hold every id, eight slots or more for each; others pass by chance only.
 
+    At most 2 ** 29 bits, 64 MB: beyond 64 million ids more and more others pass, and results stay the same.
+    It is put together from pieces that tasks make, so the driver never sees the ids.
+    """
+    n = ids.count()
+    bits = min(29, max(_CHUNK, (8 * n).bit_length()))
+    slot = F.col("doc").bitwiseAND(F.lit((1 << bits) - 1))
+    pieces = (
+        ids.select(F.shiftright(slot, _CHUNK).alias("piece"), slot.bitwiseAND(F.lit((1 << _CHUNK) - 1)).alias("at"))
+        .groupBy("piece")
+        .agg(F.collect_set("at").alias("ats"))  # at most 2 ** 18 numbers
+        .mapInArrow(_bitmaps, "piece long, bits binary")
+    )
+    table = np.zeros((1 << bits - _CHUNK, 1 << _CHUNK - 3), np.uint8)
+    for row in pieces.collect():
+        table[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.ravel()
 
-def _slots(ids: DataFrame) -> np.ndarray:
-    """A table of 2 ** 22 slots that holds every id; others pass by chance only."""
-    slots = ids.select(F.col("doc").bitwiseAND(F.lit((1 << 22) - 1)).alias("slot")).distinct().toArrow()
-    table = np.zeros(1 << 22, bool)
-    table[slots["slot"].to_numpy()] = True
-    return table
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for ats in batch["ats"]:
+            held = np.zeros(1 << _CHUNK, bool)
+            held[ats.values.to_numpy()] = True
+            found.append(np.packbits(held, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch["piece"], pa.array(found, pa.binary())], ["piece", "bits"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array(table[batch["doc"].to_numpy() & ((1 << 22) - 1)]))
+        slot = batch["doc"].to_numpy() & (8 * len(table) - 1)
+        yield batch.filter(pa.array(table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +278,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(len(batch)):
             own = batch["places"][row].values.to_numpy()
             low = offsets[row] + (own >> _START & ((1 << 31) - 1))
-            parts += [data[a:b].tobytes() for a, b in zip(low, low + (own & 255), strict=True)]
+            parts += [data[a:b].tobytes() for a, b in zip(low, low + (own & _SIZE), strict=True)]
             places.append(own)
             anchors.append(batch["anchors"][row].values.to_numpy())
             docs.append(np.full(len(own), batch["doc"][row].as_py()))
@@ -212,35 +287,114 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], ["anchor", "doc", "tag", "place", "bytes"])
 
 
-def repeated_starts(shards: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts, in the shards laid end to end with a gap byte after each, of strings that occur twice or
-    more, and the number of the repeated interval each belongs to."""
-    text = np.frombuffer(b"\xff".join(shards) + b"\xff", np.uint8) + np.uint8(1)  # 0 ends a shard
-    text = np.concatenate([np.zeros(2, np.uint8), text])
-    pairs = text[:-1].astype(np.uint16) << np.uint16(8) | text[1:]  # the two symbols from each place
-    whole = (text[:-1] != 0) & (text[1:] != 0)
-    rows = np.arange(2, len(text), dtype=np.int32)  # the first interleave: all rows in shard order
-    block = np.zeros(len(rows), np.int32)
-    for _ in range(length // 2):
-        rows = rows - 2
-        keep = whole[rows]
-        rows, block = rows[keep], block[keep]
-        symbols = pairs[rows]
-        deal = np.argsort(symbols, kind="stable")
+def transform(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a shard sorted by their first ``length`` symbols, and the first of those equal in all of them.
+
+    A zero ends a string: nothing behind it is compared.  Prefixes are doubled; rows that are alone are done.
+    """
+    n = len(text)
+    ends = np.flatnonzero(text == 0)
+    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols up to the end mark
+    padded = np.concatenate([text, np.zeros(4, text.dtype)]).astype(np.int64)
+    key = np.zeros(n, np.int64)
+    for k in range(4):
+        key = key << 9 | np.where(left >= k, padded[k : k + n], 0)
+    order = np.argsort(key, kind="stable")
+    spot = np.arange(n)  # where the rows that are still tied stand
+    tied = order
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, spot, 0))
+    window = 4
+    while True:
+        alone = new & np.append(new[1:], True)
+        spot, tied = spot[~alone], tied[~alone]
+        if not len(tied) or window == length:
+            # Rows that are tied up to their end mark are not repeated strings of the full length.
+            return order, rank
+        step = min(window, length - window)
+        ahead = np.where(left[tied] > step, rank[np.minimum(tied + step, n - 1)] + 1, 0)
+        both = rank[tied] * (n + 1) + ahead
+        deal = np.argsort(both, kind="stable")
+        tied, both = tied[deal], both[deal]
+        new = np.append(True, both[1:] != both[:-1])
+        order[spot] = tied
+        rank[tied] = np.maximum.accumulate(np.where(new, spot, 0))
+        window += step
+
+
+def repeated_starts(shards: list[list[bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, in the strings of all shards laid end to end with a gap byte after each, of strings that occur
+    twice or more, and the number of the repeated interval each belongs to; and for each place the
+    common prefix with strings of other shards, to two symbols below ``length``."""
+    text = np.concatenate([np.frombuffer(b"\xff".join(s) + b"\xff", np.uint8) + np.uint8(1) for s in shards])
+    sizes = np.array([sum(map(len, s)) + len(s) for s in shards])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    # A byte 255 would be taken for an end mark: marks are known by their place.
+    wide = text.astype(np.uint16)
+    marks = np.cumsum([len(p) + 1 for s in shards for p in s]) - 1
+    wide[text == 0] = 256
+    wide[marks] = 0
+    shard = np.repeat(np.arange(len(shards), dtype=np.int32), sizes)
+    rows, interval = np.empty(len(wide), np.int64), np.empty(len(wide), np.int64)
+    for low, high in zip(first[:-1], first[1:], strict=True):
+        order, rank = transform(wide[low:high], length)
+        rows[low:high] = order + low
+        interval[low:high] = rank + low
+    left = marks[np.searchsorted(marks, np.arange(len(wide)))] - np.arange(len(wide))
+    common = np.zeros(len(wide), np.int32)
+
+    block, depth = np.zeros(len(rows), np.int64), 0
+    spanning = np.zeros(0, np.int64)
+    while depth < length and len(shards) > 1:
+        step = min(2, length - depth)
+        rows = rows - step
+        clean = (rows >= 0) & (left[np.maximum(rows, 0)] >= step)
+        rows, block = rows[clean], block[clean]
+        symbols = wide[rows].astype(np.int64)
+        if step == 2:
+            symbols = symbols << 9 | wide[rows + 1]
+        deal = _dealt(symbols)
         rows, block, symbols = rows[deal], block[deal], symbols[deal]
-        edge = np.append(True, (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1]))
-        alone = edge & np.append(edge[1:], True)
-        rows, block = rows[~alone], np.cumsum(edge, dtype=np.int32)[~alone]
+        edge = np.append(True, (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1]))[: len(rows)]
+        head = np.flatnonzero(edge)
+        size = np.diff(np.append(head, len(rows)))
+        # Rows of a block stand in the order of the shards.
+        mixed = np.repeat(shard[rows[head]] != shard[rows[head + size - 1]], size)
+        rows, block = rows[mixed], np.cumsum(edge)[mixed]
+        depth += step
+        common[rows] = depth
+        spanning = rows
         if not len(rows):
             break
-    return rows - 2, block
+    whole = np.flatnonzero(left >= length)
+    if len(spanning):
+        interval[spanning] = len(wide) + block
+    values, number, counts = np.unique(interval[whole], return_inverse=True, return_counts=True)
+    again = counts[number] > 1
+    found, number = whole[again], number[again]
+    order = np.argsort(number, kind="stable")
+    return found[order], number[order], common
+
+
+def _dealt(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of symbols of 18 bits: numbers of 16 bits are dealt in linear time."""
+    low = np.argsort((symbols & 0x1FF).astype(np.uint16), kind="stable")
+    return low[np.argsort((symbols[low] >> 9).astype(np.uint16), kind="stable")]
+
+
+def _shards(parts: list[bytes], size: int) -> list[list[bytes]]:
+    """Consecutive strings in shards of about ``size`` bytes."""
+    number = np.cumsum([len(p) + 1 for p in parts]) // size
+    edges = np.flatnonzero(np.diff(number)) + 1
+    return [parts[a:b] for a, b in zip([0, *edges], [*edges, len(parts)], strict=True)]
 
 
 def _later_starts(docs, tags, places, parts: list[bytes], repeats: Repeats) -> pa.RecordBatch:
     """Removed stretches found by merging runs: all but the earliest start of every repeated interval."""
     sizes = np.array([len(p) + 1 for p in parts])
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    starts, interval = repeated_starts(parts, repeats.length)
+    starts, interval, _ = repeated_starts(_shards(parts, repeats.shard_bytes), repeats.length)
     run = np.searchsorted(begin, starts, "right") - 1
     tag = tags[run]
     at = (places[run] >> _START & ((1 << 31) - 1)) + starts - begin[run]
@@ -282,7 +436,7 @@ def _merged_runs(batches: Iterator[pa.RecordBatch], repeats: Repeats) -> Iterato
         if open_from:
             yield solve(table.slice(0, open_from))
         held = table.slice(open_from).combine_chunks().to_batches()
-        size = sum((places & 255).sum() for places in (b["place"].to_numpy() for b in held))
+        size = sum((places & _SIZE).sum() for places in (b["place"].to_numpy() for b in held))
     if held:
         yield solve(pa.Table.from_batches(held))
 
@@ -316,11 +470,11 @@ def removed_stretches(spark: SparkSession, texts: DataFrame, repeats: Repeats) -
     found = stored(spark, sorted_runs.mapInArrow(_first_runs, "anchor long, doc long, tag long, place long"), "runs")
     start = F.shiftright("place", _START).bitwiseAND(F.lit((1 << 31) - 1))
     copies = found.where("anchor IS NULL").select(
-        "doc", "tag", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(255))).alias("end")
+        "doc", "tag", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(_SIZE))).alias("end")
     )
     first = found.where("anchor IS NOT NULL")
     many = stored(spark, first.groupBy("anchor").count().where(F.col("count") > repeats.most_runs).select("anchor"), "large-anchors")
-    shared = spark.sparkContext.broadcast(_slots(first))  # 2 ** 22 bytes
+    shared = spark.sparkContext.broadcast(_filter(first.select("doc", "tag").distinct()))  # at most 64 MB
     listed = first.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "anchor")).alias("runs"))
     wanted = texts.select("doc", "tag", "text").mapInArrow(lambda b: _chosen(b, shared.value), "doc long, tag long, text string")
     contents = (
@@ -389,11 +543,11 @@ def report(spark: SparkSession, docs: DataFrame, repeats: Repeats = Repeats()) -
         spark,
         removed_stretches(spark, texts, repeats)
         .groupBy("doc", "tag")
-        .agg(F.collect_list(F.struct("start", "end")).alias("s"))
+        .agg(F.collect_set(F.struct("start", "end")).alias("s"))
         .select("doc", "tag", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")),
         "stretches",
     )
-    shared = spark.sparkContext.broadcast(_slots(stretches))  # 2 ** 22 bytes
+    shared = spark.sparkContext.broadcast(_filter(stretches))  # at most 64 MB
     changed = (
         texts.select("doc", "tag", "text")
         .mapInArrow(lambda b: _chosen(b, shared.value), "doc long, tag long, text string")

@@ -30,17 +30,16 @@ _SHAPE[(_byte >= 65) & (_byte <= 90)] = ord("A")
 _SHAPE[(_byte >= 48) & (_byte <= 57)] = ord("9")
 
 u64 = np.uint64
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[str, int], np.ndarray] = {}
 
 
 def power(kind: str) -> np.ndarray:
-    if not _powers:
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(BLOCK + 1, base, u64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers[kind]
+    """Powers of the base, or of its inverse, for all places of a block."""
+    if (kind, BLOCK) not in _powers:
+        steps = np.full(BLOCK + 1, _BASE if kind == "up" else pow(_BASE, -1, 1 << 64), u64)
+        steps[0] = 1
+        _powers[kind, BLOCK] = np.cumprod(steps)
+    return _powers[kind, BLOCK]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -64,8 +64,8 @@ def test_texts_longer_than_a_block(spark, monkeypatch):
     pieces = pa.Table.from_batches(list(suffix_dedup._run_rows(iter([batch]), suffix_dedup.Repeats())))
     starts = {}
     for doc, place in zip(pieces["doc"].to_pylist(), pieces["place"].to_pylist(), strict=True):
-        first = place >> 8 & (1 << 31) - 1
-        starts.setdefault(doc, []).extend(range(first, first + (place & 255) - 99))
+        first = place >> 16 & (1 << 31) - 1
+        starts.setdefault(doc, []).extend(range(first, first + (place & 65535) - 99))
     for doc, text in ((r[0], r[1]) for r in rows):
         assert sorted(starts[doc]) == list(range(len(text.encode()) - 99))
 
@@ -74,14 +74,98 @@ def test_empty_table(spark):
     check(spark, [])
 
 
-def test_repeated_starts():
-    starts, block = suffix_dedup.repeated_starts([b"xabcdefg", b"abcdez", b"qq"], 4)
-    joined = b"xabcdefg|abcdez|qq|"
-    groups = {}
-    for start, number in zip(starts, block, strict=True):
-        groups.setdefault(int(number), set()).add(bytes(joined[start : start + 4]))
-    assert sorted(groups.values(), key=str) == [{b"abcd"}, {b"bcde"}]
-    assert np.all(np.diff(block) >= 0)
+def plain_intervals(shards, length):
+    """Starts of each string that occurs twice or more, in the strings laid end to end with a gap each."""
+    groups, at = {}, 0
+    for text in (t for s in shards for t in s):
+        for k in range(len(text) - length + 1):
+            groups.setdefault(text[k : k + length], set()).add(at + k)
+        at += len(text) + 1
+    return sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("length", [5, 6, 7, 16, 33])
+def test_repeated_starts_over_shards(length):
+    rng = random.Random(length)
+    for trial in range(60):
+        base = bytes(rng.choice(b"ab\xff\x00") for _ in range(200))
+        texts = []
+        for _ in range(rng.randrange(1, 12)):
+            low = rng.randrange(150)
+            text = bytearray(base[low : low + rng.randrange(1, 120)])
+            if text and rng.random() < 0.5:
+                text[rng.randrange(len(text))] = ord("c")
+            texts.append(bytes(text))
+        cuts = sorted(rng.sample(range(1, len(texts)), min(len(texts) - 1, trial % 4)))
+        shards = [texts[a:b] for a, b in zip([0, *cuts], [*cuts, len(texts)])]
+        starts, number, common = suffix_dedup.repeated_starts(shards, length)
+        groups = {}
+        for start, n in zip(starts.tolist(), number.tolist(), strict=True):
+            groups.setdefault(n, []).append(start)
+        assert sorted(sorted(g) for g in groups.values()) == plain_intervals(shards, length)
+        joined = b"|".join(texts) + b"|"
+        assert all(c <= length for c in common) and len(common) == len(joined)
+
+
+def test_common_prefixes_with_other_shards():
+    _, _, common = suffix_dedup.repeated_starts([[b"xabcdefgh"], [b"abcdezz"], [b"qabcd"]], 6)
+    joined = "xabcdefgh|abcdezz|qabcd|"
+    assert common[joined.index("abcdef")] == 4 and common[joined.index("qabcd") + 1] == 4 and common[0] == 0
+
+
+def test_a_transform_is_sorted():
+    rng = random.Random(3)
+    text = np.array([rng.choice([0, 1, 1, 2]) for _ in range(400)] + [0], np.uint16)
+    order, rank = suffix_dedup.transform(text, 12)
+    key = lambda p: tuple(text[p : min(p + 12, p + list(text[p:]).index(0) + 1)])
+    keys = [key(p) for p in order]
+    assert keys == sorted(keys)
+    assert all((key(p) == key(q)) == (rank[p] == rank[q]) for p in range(0, 400, 3) for q in range(0, 400, 7))
+
+
+def test_rows_that_stand_twice_are_no_copies_of_themselves(spark):
+    rows = [(1, prose(1, 200), "en", "s", 0)] * 3 + [(2, prose(2, 90) + prose(2, 90), "en", "s", 0)] * 2 + [(None, prose(3, 80), "en", "s", 0)] * 2
+    rows += [(4, prose(1, 200)[300:700], "en", "s", 0)] * 2
+    check(spark, rows)
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    assert {r["n_removed"] for r in suffix_dedup.report(spark, docs).where("doc_id = 1").collect()} == {0}
+
+
+@pytest.mark.parametrize("length, gram", [(25, 8), (101, 24), (200, 24), (301, 30)])
+def test_other_lengths(spark, length, gram):
+    rows = near_copies(12) + [(1, prose(1, 400), "en", "s", 0)]
+    check(spark, unique_ids(rows), suffix_dedup.Repeats(length=length, gram=gram, shard_bytes=3000))
+
+
+def test_lengths_that_places_cannot_hold():
+    for length, gram in ((24, 24), (100, 2), (40_000, 24)):
+        with pytest.raises(ValueError):
+            suffix_dedup.Repeats(length=length, gram=gram)
+
+
+def test_fingerprints_tell_words_apart_that_one_ring_cannot():
+    """Thue-Morse words of 2 ** 11 letters and more are equal modulo 2 ** 64 for every odd base."""
+    word = b"a"
+    for _ in range(11):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(word + word.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * words.power("up")[: len(data)], out=sums[1:])
+    begin, end = np.array([0, len(word)]), np.array([len(word), 2 * len(word)])
+    one_ring = (sums[end] - sums[begin]) * words.power("down")[begin]
+    first, second = suffix_dedup._fingerprints(data, sums, begin, end)
+    assert one_ring[0] == one_ring[1] and first != second
+
+
+def test_the_filter_holds_every_id(spark):
+    ids = spark.range(0, 3_000_000, 7).selectExpr("id * 31 - 5000 AS doc")
+    table = suffix_dedup._filter(ids)
+    import pyarrow as pa
+
+    kept = list(suffix_dedup._chosen(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(0, 3_000_000, 7) * 31 - 5000)], ["doc"])]), table))
+    assert kept[0].num_rows == 428_572 and len(table) <= 1 << 20
+    others = list(suffix_dedup._chosen(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 21) * 31 - 4999)], ["doc"])]), table))
+    assert others[0].num_rows < 0.2 * (1 << 21)
 
 
 def test_texts_of_one_id_with_hashes_alike_in_24_bits(spark):
