@@ -50,8 +50,8 @@ COPY = np.int64(-(1 << 63))  # sign of a place: the run is known to be a copy
 class Repeats:
     length: int = 100
     gram: int = 24
-    task_bytes: int = 4 << 20  # bytes of runs that are merged at a time
-    shard_bytes: int = 1 << 20  # bytes of runs in a transform
+    task_bytes: int = 2 << 20  # bytes of runs that are merged at a time
+    shard_bytes: int = 1 << 19  # bytes of runs in a transform
     most_runs: int = 20_000  # runs of one anchor that are merged in one task
 
     def __post_init__(self):
