@@ -310,6 +310,7 @@ told AS (SELECT *, CASE WHEN exceptional THEN 'CRITICO' WHEN odometer = last_val
         "report_range": _with(
             _REPORT, f"SELECT {_SPEED_COLUMNS} FROM rep WHERE year_month BETWEEN '2018-06' AND '2018-12'"
         ),
+        "report_first_version": _with(_REPORT, f"SELECT {_SPEED_COLUMNS} FROM rep"),
         "report_upsert": _with(
             _REPORT + "," + _SORTED,
             f"""SELECT {_SPEED_COLUMNS} FROM srep WHERE year_month = '2018-06'
@@ -469,7 +470,7 @@ told AS (SELECT *, CASE WHEN exceptional THEN 'CRITICO' WHEN odometer = last_val
         "alert_last_position": _with(
             _STATES
             + """,
-            known AS (SELECT bus_id, seq, lat, lon FROM upd WHERE seq % 2 = 0)""",
+            known AS (SELECT bus_id, seq, lat, lon FROM upd)""",
             """SELECT a.seq, a.bus_id, a.line_id, round(coalesce(k.lat, 3.42), 7) AS lat,
               round(coalesce(k.lon, -76.52), 7) AS lon
             FROM alerts a ASOF LEFT JOIN known k ON a.bus_id = k.bus_id AND a.seq >= k.seq""",

@@ -23,6 +23,7 @@ from fleetspeed.schema import Limits
 from fleetspeed.session import prepare, work_folder
 from fleetspeed.sinks import lake as lake_sink
 from fleetspeed.sinks import results as result_sink
+from fleetspeed.sinks.report_store import ReportStore
 from fleetspeed.sources import archives
 from fleetspeed.sources import datagrams as datagram_source
 from fleetspeed.sources import lake as lake_source
@@ -304,30 +305,49 @@ def speed_band(spark, sf):
 # Report queries
 
 
+def _stored_report(spark: SparkSession, sf: str) -> ReportStore:
+    """The report in a store, its months written in two parts."""
+    store, report = ReportStore(spark, work_folder(spark, "store")), _report(spark, sf)
+    store.replace_months(report.where(F.col("year_month") < timekeys.month_text(*MONTH)))
+    store.replace_months(report.where(F.col("year_month") >= timekeys.month_text(*MONTH)))
+    return store
+
+
 @query
 def report_point(spark, sf):
-    return _rounded(reports.point(_report(spark, sf), 101, *MONTH))
+    return _rounded(_stored_report(spark, sf).point(101, *MONTH))
 
 
 @query
 def report_month(spark, sf):
-    return _rounded(reports.monthly(_report(spark, sf), *MONTH))
+    return _rounded(_stored_report(spark, sf).monthly(*MONTH))
 
 
 @query
 def report_range(spark, sf):
-    return _rounded(reports.in_range(_report(spark, sf), (2018, 6), (2018, 12)))
+    return _rounded(_stored_report(spark, sf).in_range((2018, 6), (2018, 12)))
 
 
 @query
 def report_upsert(spark, sf):
-    changes = reports.monthly(_report(spark, sf, "sorted"), *MONTH)
-    return _rounded(reports.upserted(_report(spark, sf), changes))
+    store = _stored_report(spark, sf)
+    store.upsert(reports.monthly(_report(spark, sf, "sorted"), *MONTH))
+    return _rounded(store.read())
+
+
+@query
+def report_first_version(spark, sf):
+    """What the store held before the upsert, after it was restored."""
+    store = _stored_report(spark, sf)
+    before = store.versions()[-1]
+    store.upsert(reports.monthly(_report(spark, sf, "sorted"), *MONTH))
+    store.restore(before)
+    return _rounded(store.read())
 
 
 @query
 def report_table(spark, sf):
-    return _rounded(reports.comparison(_report(spark, sf), *RANGE))
+    return _rounded(_stored_report(spark, sf).comparison(*RANGE))
 
 
 @query
@@ -520,9 +540,7 @@ def update_speed_enriched(spark, sf):
 
 @query
 def alert_last_position(spark, sf):
-    # Only updates of even sequence numbers are known, so older positions and the default count.
-    known = _updates(spark, sf).where(F.col("seq") % 2 == 0)
-    placed = monitoring.alerts_with_position(_alerts(spark, sf), known)
+    placed = monitoring.alerts_with_position(_alerts(spark, sf), _updates(spark, sf))
     return _rounded(placed.select("seq", "bus_id", "line_id", "lat", "lon"), 7)
 
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspeed.operators.ranks import ranked
+
 SLICE = "_slice"
 
 # At most this many keys are sliced, the largest ones.  A key left out is smaller than all of
@@ -22,31 +24,45 @@ SLICE = "_slice"
 SLICED_KEYS = 100_000
 
 
-# Slices of keys in time order: one hour, in microseconds.
-SLICE_US = 3_600_000_000
-
+def crowded_keys(df: DataFrame, keys: Sequence[str], slice_rows: int) -> DataFrame | None:
+    """The keys with more than ``slice_rows`` rows, counted now; none if there are none.
 
-def crowded_keys(df: DataFrame, keys: Sequence[str], slice_rows: int) -> DataFrame:
-    """The keys with more than ``slice_rows`` rows."""
-    return (
+    The list has at most ``SLICED_KEYS`` rows, so it may pass through the driver.
+    """
+    found = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > slice_rows)
         .orderBy(F.desc("_n"))
         .limit(SLICED_KEYS)
-        .select(*keys, F.lit(True).alias("_cut"))
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias("_cut"))
     )
+    rows = found.collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, found.schema)) if rows else None
+
+
+def _of_crowded(df: DataFrame, crowded: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows joined with the list of crowded keys; a null key is a key."""
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    return df.join(crowded, same, how).drop(*[f"_key_{k}" for k in keys])
 
 
-def slice_of(order: str, slice_rows: int) -> Column:
-    """Number of the slice a row of a crowded key is in.
+def with_slices(df: DataFrame, crowded: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int) -> DataFrame:
+    """Add the number of the slice of a row, 0 for keys that are not crowded, and ``_cut``.
 
     Sequence numbers are unique, so a slice of ``slice_rows`` numbers never has more rows than that,
-    wherever the rows of a key lie.  Times are cut by the hour; a report with a broken time is in a
-    slice of its own and moves no other.
+    wherever the rows of a key lie.  In any other order a slice is cut by the exact rank of
+    its rows, so ties, nulls and crowded hours do not make it larger.
     """
-    width = slice_rows if order == "seq" else SLICE_US
-    return F.floor(F.col(order) / width)
+    marked = _of_crowded(df, crowded, keys, "left")
+    if order[0] == "seq":
+        return marked.withColumn(SLICE, F.when(F.col("_cut"), F.floor(F.col("seq") / slice_rows)).otherwise(0))
+    plain = marked.where(F.col("_cut").isNull()).withColumn(SLICE, F.lit(0).cast("long"))
+    large = ranked(df.sparkSession, marked.where(F.col("_cut")), keys, [F.col(c) for c in order], "_rank")
+    cut = large.withColumn(SLICE, F.floor(F.col("_rank") / slice_rows).cast("long")).drop("_rank")
+    return plain.unionByName(cut)
 
 
 def _slice_ends(rows: DataFrame, by: Sequence[Column | str], rank: list[str], carry: list[str]) -> DataFrame:
@@ -78,8 +94,7 @@ def prior_max(
 ) -> DataFrame:
     """Add ``into``: the highest-ranked row among the strictly earlier rows of the same key.
 
-    ``order`` is a total order within a key and starts with a number, by which crowded keys are
-    sliced.  ``rank`` columns, ``carry`` columns and the result are kept as one struct; where
+    ``order`` is a total order within a key; crowded keys are sliced along it.  ``rank`` columns, ``carry`` columns and the result are kept as one struct; where
     ``counts`` is false a row is not a candidate.  The result is NULL without a candidate.
     """
     keys, order, rank, carry = list(keys), list(order), list(rank), list(carry)
@@ -101,28 +116,33 @@ def prior_max(
     if slice_rows is None:
         return unpacked(df.drop(*packed).withColumn(into, highest_before(*keys)))
 
-    crowded = F.broadcast(crowded_keys(df, keys, slice_rows))
-    bucket = slice_of(order[0], slice_rows)
+    crowded = crowded_keys(df, keys, slice_rows)
+    if crowded is None:
+        return unpacked(df.drop(*packed).withColumn(into, highest_before(*keys)))
+    sliced = with_slices(df, crowded, keys, order, slice_rows)
 
     # The state every slice of a crowded key starts from.
-    candidates = df if counts is None else df.where(counts)
-    ends = _slice_ends(candidates.join(crowded, keys), [*keys, bucket.alias(SLICE)], rank, carry)
+    large = sliced.where(F.col("_cut"))
+    candidates = large if counts is None else large.where(counts)
+    ends = _slice_ends(candidates, [*keys, F.col(SLICE)], rank, carry)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    names = [*keys, SLICE]
     # A slice without candidates has no end of its own but still needs a start.
-    every = df.join(crowded, keys).select(*keys, bucket.alias(SLICE)).distinct()
+    every = large.select(*names).distinct()
     starts = (
-        every.join(ends, [*keys, SLICE], "left")
+        _null_safe(every, ends, names)
         .withColumn("_start", F.max("_end").over(earlier))
         .where(F.col("_start").isNotNull())
         .drop("_end")
     )
-    sliced = (
-        df.drop(*packed)
-        .join(crowded, keys, "left")
-        .withColumn(SLICE, F.when(F.col("_cut"), bucket).otherwise(0))
-        .drop("_cut")
-        .join(starts, [*keys, SLICE], "left")
-    )
-    return unpacked(
-        sliced.withColumn(into, F.greatest(F.col("_start"), highest_before(*keys, SLICE)))
-    )
+    started = _null_safe(sliced.drop(*packed, "_cut"), starts, names)
+    return unpacked(started.withColumn(into, F.greatest(F.col("_start"), highest_before(*keys, SLICE))))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Left join on equal names, where nulls are equal."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for name in names:
+        same &= F.col(name).eqNullSafe(F.col(f"_r_{name}"))
+    return left.join(other, same, "left").drop(*[f"_r_{n}" for n in names])

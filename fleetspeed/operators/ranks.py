@@ -34,7 +34,7 @@ def ranked(
     into: str,
     copies: str | None = None,
 ) -> DataFrame:
-    """Add ``into``: how many rows of the same key come before, from 0.
+    """Add ``into``: how many rows of the same key come before, from 0; without keys, of all rows.
 
     ``order`` are ascending values and must be total within a key.  With ``copies`` a row counts as that many.  The rows are
     written to the shared folder, so that the pieces stay as they are.

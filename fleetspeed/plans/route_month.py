@@ -53,16 +53,18 @@ def lake_totals(
 ) -> DataFrame:
     """Totals of a month range from the lake, whose rows were validated when written.
 
-    In the normative mode the state of a trip carries over from month to month, so its
-    neighbours in other months are needed as well.  By default all months are read, which is
-    exact for any data.  Where a trip id is not used again after ``context_months`` months,
-    that many months before and after the range give the same totals, and all other
-    directories are pruned.  The other modes look at one month at a time.
+    In the normative mode the state of a trip carries over from month to month, so all reports of the
+    trips with reports in the range are needed.  Loads note the months of their trips, and
+    only the directories of those months are read; a lake with loads that did not is read whole.
+    With ``context_months`` that many months before and after the range are read instead, which
+    is exact where no trip id is used again later.  The other modes look at one month at a time.
     """
     if mode != "normative":
         rows = lake_source.lake_months(spark, lake, first, last)
     elif context_months is None:
-        rows = lake_source.read_lake(spark, lake)
+        months = lake_source.months_of_trips(spark, lake, first, last)
+        whole = months is None
+        rows = lake_source.read_lake(spark, lake) if whole else lake_source.lake_of_months(spark, lake, months)
     else:
         span = shift_month(first, -context_months), shift_month(last, context_months)
         rows = lake_source.lake_months(spark, lake, *span)

@@ -14,7 +14,7 @@ from fleetspeed.functions import text
 from fleetspeed.schema import DATAGRAM_SCHEMA
 from fleetspeed.sinks.loads import LOAD_ID, read_loads
 from fleetspeed.sources.datagrams import once
-from fleetspeed.sources.lake import PARTITIONS, read_lake
+from fleetspeed.sources.lake import PARTITIONS, TRIPS, read_lake, read_load, trip_months
 
 MAX_ROWS_PER_FILE = 20_000_000
 
@@ -30,7 +30,8 @@ def with_partition_columns(datagrams: DataFrame) -> DataFrame:
 def write_lake(valid: DataFrame, lake: str, load: str = "bulk-0") -> None:
     """Valid datagrams under ``line_id=<n>/year=<yyyy>/month=<mm>/load_id=<load>``; ``seq`` is stored.
 
-    A load owns its directories, so a repeated load replaces itself and nothing else.
+    A load owns its directories, so a repeated load replaces itself and nothing else.  The months of
+    its trips are noted below ``_trips``, from the columns of keys of the files just written.
     """
     (
         with_partition_columns(valid)
@@ -42,6 +43,9 @@ def write_lake(valid: DataFrame, lake: str, load: str = "bulk-0") -> None:
         .partitionBy(*PARTITIONS, LOAD_ID)
         .parquet(lake)
     )
+    trip_months(read_load(valid.sparkSession, lake, load)).withColumn(LOAD_ID, F.lit(load)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(LOAD_ID).parquet(f"{lake}/{TRIPS}")
 
 
 def compact_lake(spark: SparkSession, lake: str, target: str) -> None:

@@ -76,8 +76,6 @@ def land_archives(spark: SparkSession, target: str, *paths: str) -> None:
 
 def stamp_landed(landed: DataFrame, first: int = 0) -> DataFrame:
     """``seq`` for landed lines: archives in path order, lines in archive order."""
-    # One row per archive comes back, not the lines.
-    sizes = landed.groupBy("path").agg(F.max("line_no") + 1).collect()
-    starts = starts_of(landed.sparkSession, sorted(tuple(r) for r in sizes), first)
+    starts = starts_of(landed.groupBy("path").agg((F.max("line_no") + 1).alias("size")), first)
     placed = landed.withColumnRenamed("path", "_path").join(starts, "_path")
     return placed.select((F.col("_start") + F.col("line_no")).alias("seq"), "value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetspeed.functions import text
 from fleetspeed.functions.timekeys import parse_timestamp
+from fleetspeed.operators.ranks import ranked
 from fleetspeed.schema import CSV_FIELDS, DATAGRAM_SCHEMA
 
 _INDEX_BITS = 33  # rows per task in monotonically_increasing_id, in Spark 3 and 4
@@ -16,25 +17,18 @@ _INDEX_BITS = 33  # rows per task in monotonically_increasing_id, in Spark 3 and
 # most spark.sql.files.maxPartitionBytes, which must not be above this.
 FILE_ROOM = 1 << 31
 
-# Up to this many files the table of their starts is broadcast (some 30 MB), beyond it is shuffled.
-MAX_BROADCAST_FILES = 200_000
-
 # A place in a compressed file is no byte of it, so its lines could run into the next file's numbers.
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
 
 
-def files_below(spark: SparkSession, *paths: str, **options: str) -> list[tuple[str, int]]:
-    """Path and bytes of every file of a scan, in path order; contents are not read.
-
-    One entry a file, as the listing that Spark keeps on the driver for the scan itself.
-    """
+def files_below(spark: SparkSession, *paths: str, **options: str) -> DataFrame:
+    """``path`` and ``size`` in bytes of every file of a scan; contents are not read."""
     reader = spark.read.format("binaryFile").options(**options)
-    rows = reader.load(list(paths)).select("_metadata.file_path", "length").collect()
-    found = sorted((r["file_path"], r["length"]) for r in rows)
-    packed = [path for path, _ in found if path.lower().endswith(COMPRESSED)]
+    files = reader.load(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"))
+    packed = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*COMPRESSED)).first()
     if packed:
-        raise ValueError(f"unpack compressed files before a load: {packed[0]}")
-    return found
+        raise ValueError(f"unpack compressed files before a load: {packed['path']}")
+    return files
 
 
 def place_in_file(block_start: Column) -> Column:
@@ -48,24 +42,19 @@ def place_in_file(block_start: Column) -> Column:
     return block_start + index
 
 
-def numbers_of(sizes: list[tuple[str, int]]) -> int:
+def numbers_of(files: DataFrame) -> int:
     """How many numbers files of these sizes take."""
-    return sum(size + FILE_ROOM for _, size in sizes)
+    return files.agg(F.sum(F.col("size") + FILE_ROOM)).first()[0] or 0
 
 
-def starts_of(spark: SparkSession, sizes: list[tuple[str, int]], first: int) -> DataFrame:
-    """Where the numbers of each path start, path after path."""
-    rows, at = [], first
-    for path, size in sizes:
-        rows.append((path, at))
-        at += size + FILE_ROOM
-    if at >= 1 << 63:
-        raise OverflowError("more bytes than sequence numbers")
-    starts = spark.createDataFrame(rows, "_path string, _start bigint")
-    return F.broadcast(starts) if len(rows) <= MAX_BROADCAST_FILES else starts
+def starts_of(files: DataFrame, first: int, *order: str) -> DataFrame:
+    """Where the numbers of each file start, file after file: prefix sums over ranges of the order."""
+    taken = files.withColumn("_taken", F.col("size") + FILE_ROOM)
+    summed = ranked(files.sparkSession, taken, [], [F.col(c) for c in order or ("path",)], "_before", "_taken")
+    return summed.select(F.col("path").alias("_path"), (F.lit(first) + F.col("_before")).alias("_start"))
 
 
-def stamp_arrival(lines: DataFrame, files: list[tuple[str, int]], first: int = 0) -> DataFrame:
+def stamp_arrival(lines: DataFrame, files: DataFrame, first: int = 0) -> DataFrame:
     """Add ``seq`` to a text scan: files in path order, lines in file order.
 
     A line's number is ``first``, plus the numbers of all files before its own, plus its place in
@@ -73,7 +62,7 @@ def stamp_arrival(lines: DataFrame, files: list[tuple[str, int]], first: int = 0
     """
     place = place_in_file(F.col("_metadata.file_block_start"))
     placed = lines.select("value", F.col("_metadata.file_path").alias("_path"), place.alias("_place"))
-    starts = starts_of(lines.sparkSession, files, first)
+    starts = starts_of(files, first)
     return placed.join(starts, "_path").select((F.col("_start") + F.col("_place")).alias("seq"), "value")
 
 

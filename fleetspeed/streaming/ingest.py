@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,25 +11,22 @@ from fleetspeed.schema import DATAGRAM_SCHEMA
 from fleetspeed.sinks.lake import write_lake
 from fleetspeed.sinks.live import write_batch
 from fleetspeed.sinks.loads import reserve
-from fleetspeed.sources.datagrams import FILE_ROOM, parse_lines, place_in_file
+from fleetspeed.sources.datagrams import numbers_of, parse_lines, place_in_file, starts_of
 
 NOW = {"availableNow": True}  # run over what has landed, then stop
 
 
 def batch_files(lines: DataFrame) -> DataFrame:
-    """The files of a micro-batch; the trigger bounds their bytes and so their number."""
-    return lines.select("file_path", "file_time", "file_size").distinct()
+    """The files of a micro-batch."""
+    return lines.select(F.col("file_path").alias("path"), "file_time", F.col("file_size").alias("size")).distinct()
 
 
 def stamp_batch(lines: DataFrame, first: int) -> DataFrame:
     """``seq`` from ``first`` for the lines of one micro-batch: files by landing time, lines in file order."""
-    before = Window.orderBy("file_time", "file_path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = batch_files(lines).select(
-        "file_path", (F.lit(first) + F.coalesce(F.sum(F.col("file_size") + FILE_ROOM).over(before), F.lit(0))).alias("_start")
-    )
+    starts = starts_of(batch_files(lines), first, "file_time", "path")
     # The rows of a micro-batch come straight from the scan, so they are still in file order.
-    placed = lines.select("value", "file_path", place_in_file(F.col("block_start")).alias("_place"))
-    return placed.join(starts, "file_path").select((F.col("_start") + F.col("_place")).alias("seq"), "value")
+    placed = lines.select("value", F.col("file_path").alias("_path"), place_in_file(F.col("block_start")).alias("_place"))
+    return placed.join(starts, "_path").select((F.col("_start") + F.col("_place")).alias("seq"), "value")
 
 
 def archive_batch(tagged: DataFrame, batch_id: int, lake: str, rejects: str, accepted: str | None = None) -> None:
@@ -85,8 +82,7 @@ def ingest_lines(
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        size = batch_files(batch).agg(F.sum(F.col("file_size") + FILE_ROOM)).first()[0] or 0
-        first = reserve(batch.sparkSession, lake, f"live-{batch_id}", size)
+        first = reserve(batch.sparkSession, lake, f"live-{batch_id}", numbers_of(batch_files(batch)))
         parsed = parse_lines(stamp_batch(batch, first))
         archive_batch(quality.with_reject_reason(parsed, routes), batch_id, lake, rejects, accepted)
 
