@@ -7,15 +7,16 @@ alignment are compared: a document is contaminated where a stretch of ``stretch`
 whole item, if shorter) agrees in at least 80 %.
 
 Words are runs of letters and digits in lower case.  Before the join a bit table of fixed size drops
-document seeds that no item has; it has no false negatives, and the join is exact.  Items under five
-words match nothing.  Null and empty texts are clean.  Rows with the same ``doc_id`` and text get the
+document seeds that no item has; it has no false negatives, and the join is exact.  Items of up to
+six words get further masks, which keep all words that may have to agree; documents are searched with
+them only if such items exist.  Items without words match nothing.  Null and empty texts are clean.  Rows with the same ``doc_id`` and text get the
 same result, rows with the same ``doc_id`` and other texts are judged each by its own text; a null
 ``doc_id`` is an id like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,18 @@ from pyspark.sql import functions as F
 from fleetspeed.llm.common import same_document, stored, with_text
 from fleetspeed.llm.words import Words, mix, u64, word_blocks
 
-# Fixed masks of five kept words each.
+# Fixed masks of five kept words each: any 13 words, or 7 to 12 as a whole, that agree in 80 % keep one.
 MASKS = ("11111", "110111", "111011", "1011011", "1100111", "11010101")
+# Further masks for items of so many words: whole ones, or all but one word where that is 80 %.
+SHORT_MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111", "10111", "11011", "11101"),
+    6: ("101111", "111101"),
+}
+ALL_MASKS = MASKS + tuple(sorted({m for masks in SHORT_MASKS.values() for m in masks}))
 FILTER_BITS = 22
 
 
@@ -40,7 +51,7 @@ class Overlap:
 
 def _seeds(words: Words, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds of one mask and the index of the word each starts at."""
-    mask = MASKS[number]
+    mask = ALL_MASKS[number]
     count = len(words.hash) - len(mask) + 1
     if count <= 0:
         return np.zeros(0, u64), np.zeros(0, np.int64)
@@ -58,9 +69,10 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for words in word_blocks(batch["text"], "plain"):
-            seeds = [_seeds(words, n) for n in range(len(MASKS))]
+            all_seeds = [_seeds(words, n) for n in range(len(ALL_MASKS))]
             for row in range(words.rows):
                 low, high = words.first[row], words.first[row + 1]
+                seeds = [all_seeds[n] for n in masks_of([high - low])]
                 spans = [np.searchsorted(a, [low, high]) for _, a in seeds]
                 own = [(s[b:e], a[b:e] - low) for (s, a), (b, e) in zip(seeds, spans, strict=True)]
                 values, first = np.unique(np.concatenate([s for s, _ in own]), return_index=True)
@@ -70,13 +82,19 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["item_id"], *lists], ["item_id", "words", "seeds", "places"])
 
 
+def masks_of(sizes: Iterable[int]) -> list[int]:
+    """Numbers of the masks for items of these sizes."""
+    short = {m for n in sizes for m in SHORT_MASKS.get(int(n), ())}
+    return [n for n, mask in enumerate(ALL_MASKS) if n < len(MASKS) or mask in short]
+
+
 def _slots(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     low = u64((1 << bits) - 1)
     return seeds & low, (seeds >> u64(32)) & low
 
 
-def benchmark_seeds(spark: SparkSession, benchmark: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Items with words and seeds under a key of their own, and the bit table of their seeds."""
+def benchmark_seeds(spark: SparkSession, benchmark: DataFrame) -> tuple[DataFrame, np.ndarray, list[int]]:
+    """Items with words and seeds under a key of their own, the bit table of their seeds, and the masks in use."""
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     schema = "item_id long, words array<long>, seeds array<long>, places array<int>"
     items = stored(
@@ -91,16 +109,17 @@ def benchmark_seeds(spark: SparkSession, benchmark: DataFrame) -> tuple[DataFram
     )
     table = np.zeros(1 << FILTER_BITS, bool)  # at most 2 ** FILTER_BITS slots come back
     table[slots.toArrow()["slot"].to_numpy()] = True
-    return items, table
+    sizes = items.select(F.size("words").alias("n")).where(F.col("n") <= max(SHORT_MASKS)).distinct().collect()
+    return items, table, masks_of(r["n"] for r in sizes)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], table: np.ndarray, masks: list[int]) -> Iterator[pa.RecordBatch]:
     """Documents with any seed that an item may have: their words, and those seeds with their places."""
     for batch in batches:
         rows, lists = [], []
         for words in word_blocks(batch["text"], "plain"):
             found = []
-            for number in range(len(MASKS)):
+            for number in masks:
                 seeds, at = _seeds(words, number)
                 first, second = _slots(seeds, FILTER_BITS)
                 hit = table[first]
@@ -145,13 +164,13 @@ def _agreement(frames: Iterator[pd.DataFrame], overlap: Overlap) -> Iterator[pd.
 
 def find_overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overlap()) -> DataFrame:
     """``doc_id``, ``_text_hash``, ``item_id`` and ``overlap`` for every verified alignment."""
-    items, table = benchmark_seeds(spark, benchmark)
+    items, table, masks = benchmark_seeds(spark, benchmark)
     shared = spark.sparkContext.broadcast(table)  # 2 ** FILTER_BITS bytes
     texts = with_text(docs).select("doc_id", F.xxhash64("text").alias("_text_hash"), F.lower("text").alias("text"))
     candidates = stored(
         spark,
         texts.mapInArrow(
-            lambda batches: _candidates(batches, shared.value),
+            lambda batches: _candidates(batches, shared.value, masks),
             "doc_id long, _text_hash long, words array<long>, seeds array<long>, places array<int>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "decontamination",

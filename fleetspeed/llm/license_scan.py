@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are 64 words long and start every 32 words, so any 32 consecutive words lie in one block.  A
-template is found in a block that contains at least 90 % of its distinct words.  Template words are
+Blocks are twice as long as a stride and start at each stride, so any stretch of a stride lies in one block.
+The stride is 32 words, or for a longer template the next power of two that holds it.  A template
+is found in a block of its stride that contains at least 90 % of its distinct words.  Template words are
 ordered by their count over all documents, rarest first.  A block that reaches the threshold shares
 one of a template's first ``|T| - needed + 1`` words (prefix filter), has at least ``needed`` template
 words (length filter), and has enough words left behind the first shared one on either side
@@ -45,11 +46,36 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+        " documentation files the software to deal in the software without restriction including without limitation the"
+        " rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+        " persons to whom the software is furnished to do so subject to the following conditions the above copyright notice"
+        " and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby"
+        " granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the"
+        " license you may obtain a copy of the license at unless required by applicable law or agreed to in writing software"
+        " distributed under the license is distributed on an as is basis without warranties or conditions of any kind either"
+        " express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
 )
 STRIDE = 32
 NEEDED_PERCENT = 90
 
 
+def stride_of(template: str) -> int:
+    """Words that blocks for a template are apart: it lies in one of them, wherever it starts."""
+    return max(STRIDE, 1 << (len(template.split()) - 1).bit_length())
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -97,31 +123,39 @@ def frequency_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
 
 
 def template_table(spark: SparkSession, order: list[str], templates=TEMPLATES) -> DataFrame:
-    """A row for each prefix word of each template: its place, the words needed and all words as ranks."""
+    """A row for each prefix word of each template: its place, the stride, the words needed and all words as ranks."""
     rank = {word: n for n, word in enumerate(order, 1)}
     rows = []
     for label, text in templates:
         ranks = sorted({rank[word] for word in text.split()})
         needed = -(-NEEDED_PERCENT * len(ranks) // 100)
-        rows += [(ranks[i], label, i, needed, ranks) for i in range(len(ranks) - needed + 1)]
-    return spark.createDataFrame(rows, "rank int, label string, place int, needed int, ranks array<int>")
+        rows += [(ranks[i], stride_of(text), label, i, needed, ranks) for i in range(len(ranks) - needed + 1)]
+    return spark.createDataFrame(rows, "rank int, stride int, label string, place int, needed int, ranks array<int>")
 
 
-def candidate_blocks(docs: DataFrame, order: list[str], prefix: list[str]) -> DataFrame:
-    """``doc_id``, ``_text_hash`` and the ranks, rarest first, of each block with a prefix word of any template."""
+def candidate_blocks(docs: DataFrame, order: list[str], prefixes: dict[int, list[str]]) -> DataFrame:
+    """``doc_id``, ``_text_hash``, ``stride`` and the ranks, rarest first, of each block with a prefix word of any
+    template of its stride."""
     inside = LICENSE_WORD[2:-2]
-    any_prefix = f"(?<=^|[{inside}])(?:{'|'.join(prefix)})(?=$|[{inside}])"
+    every = sorted({word for words in prefixes.values() for word in words})
+    any_prefix = f"(?<=^|[{inside}])(?:{'|'.join(every)})(?=$|[{inside}])"
     known = F.array(*map(F.lit, order))
 
     def blocks(words: Column) -> Column:
+        return F.flatten(F.array(*(of_stride(words, stride, prefix) for stride, prefix in sorted(prefixes.items()))))
+
+    def of_stride(words: Column, stride: int, prefix: list[str]) -> Column:
         at = F.filter(F.transform(words, lambda w, n: F.when(w.isin(prefix), n)), lambda n: n.isNotNull())
         numbers = F.array_distinct(
-            F.flatten(F.transform(at, lambda n: F.array(F.floor(n / STRIDE), F.floor(n / STRIDE) - 1)))
+            F.flatten(F.transform(at, lambda n: F.array(F.floor(n / stride), F.floor(n / stride) - 1)))
+        )
+        return F.transform(
+            F.filter(numbers, lambda b: b >= 0),
+            lambda b: F.struct(F.lit(stride).alias("stride"), ranks(words, b, stride).alias("block")),
         )
-        return F.transform(F.filter(numbers, lambda b: b >= 0), lambda b: ranks(words, b))
 
-    def ranks(words: Column, block: Column) -> Column:
-        part = F.slice(words, (block * STRIDE + 1).cast("int"), F.lit(2 * STRIDE))
+    def ranks(words: Column, block: Column, stride: int) -> Column:
+        part = F.slice(words, (block * stride + 1).cast("int"), F.lit(2 * stride))
         return F.sort_array(
             F.transform(
                 F.filter(F.array_distinct(part), lambda w: w.isin(order)), lambda w: F.array_position(known, w).cast("int")
@@ -132,7 +166,8 @@ def candidate_blocks(docs: DataFrame, order: list[str], prefix: list[str]) -> Da
         with_text(docs)
         .select("doc_id", F.xxhash64("text").alias("_text_hash"), lowered(F.col("text")).alias("text"))
         .where(F.col("text").rlike(any_prefix))
-        .select("doc_id", "_text_hash", F.explode(let(word_list(F.col("text")), blocks)).alias("block"))
+        .select("doc_id", "_text_hash", F.explode(let(word_list(F.col("text")), blocks)).alias("found"))
+        .select("doc_id", "_text_hash", "found.*")
     )
 
 
@@ -140,11 +175,13 @@ def find_templates(spark: SparkSession, docs: DataFrame, templates=TEMPLATES) ->
     """``doc_id``, ``_text_hash``, ``label`` and ``score`` of every block that reaches a template's threshold."""
     order = frequency_order(docs, templates)
     table = template_table(spark, order, templates)
-    firsts = {row["rank"] for row in table.select("rank").distinct().collect()}  # as many as the templates have
-    blocks = candidate_blocks(docs, order, [word for n, word in enumerate(order, 1) if n in firsts])
+    prefixes: dict[int, list[str]] = {}  # as many words as the templates have
+    for row in table.select("stride", "rank").distinct().orderBy("stride", "rank").collect():
+        prefixes.setdefault(row["stride"], []).append(order[row["rank"] - 1])
+    blocks = candidate_blocks(docs, order, prefixes)
     size = F.size("block")
     placed = blocks.select("*", F.posexplode("block").alias("_at", "rank"))
-    joined = placed.join(table, "rank").where(
+    joined = placed.join(table, ["stride", "rank"]).where(
         (size >= F.col("needed"))
         & (F.least(F.size("ranks") - F.col("place"), size - F.col("_at")) >= F.col("needed"))
     )

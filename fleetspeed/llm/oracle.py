@@ -6,7 +6,7 @@ against plain Python.  Repeated byte strings (op7) need bytes, which SQL texts d
 
 from __future__ import annotations
 
-from fleetspeed.llm.license_scan import NEEDED_PERCENT, PHRASES, STRIDE, TEMPLATES
+from fleetspeed.llm.license_scan import NEEDED_PERCENT, PHRASES, TEMPLATES, stride_of
 
 SPACED = r"[^\x20\x09-\x0D]+"
 
@@ -119,7 +119,7 @@ def _list(items) -> str:
 
 def _licenses() -> str:
     templates = " UNION ALL ".join(
-        f"SELECT '{label}' AS label, {_list(sorted(set(text.split())))} AS words" for label, text in TEMPLATES
+        f"SELECT '{label}' AS label, {stride_of(text)} AS stride, {_list(sorted(set(text.split())))} AS words" for label, text in TEMPLATES
     )
     phrases = " UNION ALL ".join(
         f"SELECT r, pos, '{label}' AS label FROM tokens WHERE "
@@ -140,13 +140,14 @@ base AS (
 ),
 templates AS ({templates}),
 blocks AS (
-  SELECT r, list_distinct(w[b * {STRIDE} + 1 : b * {STRIDE} + {2 * STRIDE}]) AS words
-  FROM (SELECT r, w, unnest(range(0, CAST(ceil(len(w) / {STRIDE}) AS BIGINT))) AS b FROM texts)
+  SELECT r, stride, list_distinct(w[b * stride + 1 : b * stride + 2 * stride]) AS words
+  FROM (SELECT r, w, stride, unnest(range(0, CAST(ceil(len(w) / stride) AS BIGINT))) AS b
+        FROM texts, (SELECT DISTINCT stride FROM templates))
 ),
 found AS (
   SELECT r, label, len(list_intersect(b.words, t.words)) / len(t.words) AS score
   FROM blocks b JOIN templates t
-    ON len(list_intersect(b.words, t.words)) * 100 >= {NEEDED_PERCENT} * len(t.words)
+    ON b.stride = t.stride AND len(list_intersect(b.words, t.words)) * 100 >= {NEEDED_PERCENT} * len(t.words)
 ),
 matched AS (SELECT r, list(DISTINCT label) AS labels, max(score) AS score FROM found GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word,

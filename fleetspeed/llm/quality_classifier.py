@@ -6,8 +6,8 @@ sparse dot product.  Training takes a bounded sample of the labelled rows, dealt
 learners whose weights are averaged; scoring goes over every whole text where it lies.
 
 Null and empty texts have no features and get the score of the intercept.  Rows with a null
-``doc_id`` are scored and never trained on.  Repeated rows are scored alike.  Several labels of one
-document count as the largest.  Without any labelled row all scores are 1.
+``doc_id`` are scored and never trained on.  Repeated rows are scored alike, and of the rows of one
+labelled document one is trained on, the text of least hash.  Several labels of one document count as the largest.  Without any labelled row all scores are 1.
 """
 
 from __future__ import annotations
@@ -115,7 +115,14 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
         .limit(training.sample_rows)
     )
     # The sample is bounded by sample_rows rows of three numbers.
-    texts = common.with_text(docs).join(F.broadcast(chosen), "doc_id")
+    # One row for each of them, however often it stands: rows of an id meet as the least so far.
+    texts = (
+        common.with_text(docs)
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "_deal", "_label")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_least"))
+        .select("_deal", "_label", "_least.text")
+    )
     sparse = texts.select("_deal", "_label", "text").mapInArrow(
         lambda batches: _sparse(batches, training), "deal long, label int, places array<int>, shares array<float>"
     )

@@ -254,3 +254,17 @@ def test_pipeline_links_near_copies_by_five_words_at_80_percent(spark):
     rows = [(1, " ".join(first), "en", "s", 0), (2, " ".join(second), "en", "s", 0), (3, prose(1, 100), "en", "s", 0)]
     kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert len(kept) == 2 and 3 in {r["doc_id"] for r in kept}
+
+
+@pytest.mark.parametrize("n", range(1, 14))
+def test_short_items_with_every_substitution(spark, n):
+    """An item of n words is found if at least 80 % of its words stand in place, and only then."""
+    item = [f"item{n}w{k}" for k in range(n)]
+    rows, expected = [], []
+    for gone in [(), *[(a,) for a in range(n)], *[(a, b) for a in range(n) for b in range(a)]]:
+        words_ = [f"x{len(rows)}y{k}" if k in gone else w for k, w in enumerate(item)]
+        rows.append((len(rows), " ".join(["before", *words_, "behind"]), "en", "s", 0))
+        expected.append(5 * (n - len(gone)) >= 4 * n)
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, ""), (3, None)], "item_id long, text string")
+    found = decontamination.report(spark, spark.createDataFrame(rows, DOCS), benchmark).orderBy("doc_id").collect()
+    assert [r["contaminated"] for r in found] == expected

@@ -58,13 +58,27 @@ def test_cascade_order_and_result(spark):
     assert quality_rules.keep_passing(spark, docs, sampling=everything).count() == 30
 
 
+def test_rules_are_ordered_by_what_they_cost_there(spark):
+    """A slow rule with few rejections comes last, a known measure is no cost, and reruns agree."""
+    docs = frame(spark, [prose(n, 80) + " x1" * (n % 2) for n in range(400)])
+    slow = quality_rules.Rule("slow", lambda m: F.sha2(F.repeat(m("n_lines").cast("string"), 300_000), 512).startswith("0"))
+    never = quality_rules.Rule("never", lambda m: m("n_words") < 0)
+    half = quality_rules.Rule("half", lambda m: m("n_words") % 2 == 1)
+    known = frozenset(["n_words"])
+    for _ in range(2):
+        order = quality_rules.ordered_rules(spark, docs, (slow, never, half), quality_rules.Sampling(fraction=1.0), known)
+        assert [rule.name for rule, _, _ in order] == ["half", "slow", "never"]
+    costs = {rule.name: cost for rule, cost, _ in order}
+    assert costs["slow"] > 3 * costs["half"]
+
+
 def test_repeated_words_of_a_long_text_with_many_equal_windows(spark):
     text = ("a b c d " * 700 + prose(9, 500)) * 2
     row = quality_rules.report(spark, frame(spark, [text])).first()
     assert row["n_repeat_words"] == rule_measures(text)[4]
 
 
-def license_row(text):
+def license_row(text, templates=license_scan.TEMPLATES):
     w = words((text or "").translate(LOWER), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     places, labels = [], set()
     for phrase, label in license_scan.PHRASES:
@@ -73,9 +87,10 @@ def license_row(text):
         places += hits
         labels |= {label} if hits else set()
     found, best = set(labels), 1.0 if places else 0.0
-    for at in range(0, len(w), license_scan.STRIDE):
-        block = set(w[at : at + 2 * license_scan.STRIDE])
-        for label, template in license_scan.TEMPLATES:
+    for label, template in templates:
+        stride = max(32, 2 ** (len(template.split()) - 1).bit_length())
+        for at in range(0, len(w), stride):
+            block = set(w[at : at + 2 * stride])
             need = set(template.split())
             if 100 * len(block & need) >= license_scan.NEEDED_PERCENT * len(need):
                 found.add(label)
@@ -95,6 +110,15 @@ def test_licenses(spark, odd):
     same([tuple(r)[:-1] for r in rows], [(r[0], *license_row(r[1])[:-1]) for r in odd_rows()])
 
 
+def test_templates_of_any_length_are_found_at_every_place(spark):
+    """Each template stands verbatim behind 0 to 140 other words."""
+    templates = tuple((f"t{n}", " ".join(f"w{n}x{k}" for k in range(n))) for n in (5, 31, 33, 64, 65, 100, 150))
+    texts = [" ".join(f"o{k}" for k in range(before)) + " " + t for _, t in templates for before in (0, 1, 20, 63, 64, 77, 140)]
+    got = license_scan.report(spark, frame(spark, texts), templates).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == [label for label, _ in templates for _ in range(7)]
+    assert [(*tuple(r)[1:-1], round(r["score"], 9)) for r in got] == [license_row(t, templates) for t in texts]
+
+
 PERSONAL_TEXTS = [
     "mail a@b.com_x@y.z and a.b%c+d-e@x-y.co.uk, @nobody a@b a@b..c",
     "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3 12.34.56.78.",
@@ -173,6 +197,49 @@ def test_classifier_learns_and_holds_out(spark):
     same(found, quality_classifier.classify(spark, docs, turned).collect())
 
 
+def plain_ftrl(rows, training):
+    """FTRL-proximal over dictionaries, feature by feature."""
+    z, n = {}, {}
+
+    def weight(k):
+        zk, nk = z.get(k, 0.0), n.get(k, 0.0)
+        shrunk = max(abs(zk) - training.l1, 0.0) * (1 if zk > 0 else -1)
+        return -shrunk / ((training.beta + nk**0.5) / training.alpha + training.l2)
+
+    for _ in range(training.epochs):
+        for places, shares, label in rows:
+            features = {**dict(zip(places, shares)), 1 << training.bits: 1.0}
+            w = {k: weight(k) for k in features}
+            p = 1 / (1 + 2.718281828459045 ** -sum(w[k] * v for k, v in features.items()))
+            for k, v in features.items():
+                g = (p - label) * v
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / training.alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return weight
+
+
+def test_steps_of_the_learner():
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(3)
+    training = quality_classifier.Training(bits=6, epochs=3)
+    rows = [(rng.sample(range(64), 9), [rng.random() for _ in range(9)], rng.randrange(2)) for _ in range(40)]
+    learned = quality_classifier._learn(pd.DataFrame({"places": [np.array(r[0]) for r in rows], "shares": [np.array(r[1]) for r in rows], "label": [r[2] for r in rows]}), training)
+    expected = plain_ftrl(rows, training)
+    assert all(abs(learned[k] - expected(k)) < 1e-9 for k in range(65))
+
+
+def test_rows_of_one_labelled_document_are_trained_on_once(spark):
+    rows = labelled(60)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 > 0), 0) for r in rows], "doc_id long, quality int, toxic int")
+    once = quality_classifier.train(spark.createDataFrame(rows, DOCS), labels)
+    often = quality_classifier.train(spark.createDataFrame(rows + [rows[4]] * 500, DOCS), labels)
+    assert (once == often).all()
+
+
 def test_classifier_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (12, 0, 0), (None, 1, 0), (13, 1, None), (3, None, 0)], "doc_id long, quality int, toxic int")
     found = quality_classifier.classify(spark, odd, labels).collect()
