@@ -87,6 +87,21 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("subscriber"), F.explode(rooms).alias("zone_id"))
 
 
+def supplier_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of what every supplier listens to: a first version, and a second one for every third of them."""
+    zone = F.expr("CAST(s_nationkey % 5 AS INT)")
+    key = F.col("s_suppkey")
+    versions = F.array(
+        F.struct(F.lit(1).alias("version"), F.array(zone).alias("zones")),
+        F.when(
+            key % 3 == 0,
+            F.struct(F.lit(2).alias("version"), F.when(key % 2 == 0, F.array(zone, (zone + 1) % 5)).otherwise(F.array().cast("array<int>")).alias("zones")),
+        ),
+    )
+    changes = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("subscriber"), F.explode(F.array_compact(versions)).alias("v"))
+    return changes.select("subscriber", "v.zones", "v.version")
+
+
 def datagram_lines(datagrams_df: DataFrame) -> DataFrame:
     """Datagrams as CSV text, in line order of the fields; ``seq`` is kept beside the line.
 

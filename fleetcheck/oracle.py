@@ -142,6 +142,13 @@ _BOARD = """SELECT count(*) AS buses,
 _REACHES = "EXISTS (SELECT 1 FROM subs s WHERE s.subscriber = p.subscriber AND s.zone_id IN (0, x.zone_id))"
 _PEOPLE = "(SELECT DISTINCT subscriber FROM subs) p"
 
+_DELIVERIES = """SELECT zone_id AS delivery_key, 'update' AS kind, seq FROM upd
+      UNION ALL SELECT CASE WHEN seq % 2 = 0 THEN zone_id ELSE -1 END, 'alert', seq FROM alerts"""
+_LISTENERS = """listeners AS (SELECT DISTINCT s_name AS subscriber, CAST(unnest(
+        CASE WHEN s_suppkey % 3 <> 0 THEN [s_nationkey % 5]
+             WHEN s_suppkey % 2 = 0 THEN [s_nationkey % 5, (s_nationkey % 5 + 1) % 5] ELSE [] END) AS INT) AS zone_id
+      FROM supplier)"""
+
 _CSV_KEPT = "seq % 97 <> 0"
 _RUN = """SELECT count(*) AS processed_rows,
       count(*) - count(*) FILTER (WHERE reason IS NOT NULL) - (SELECT count(*) FROM seg WHERE late) AS valid_rows,
@@ -455,6 +462,35 @@ told AS (SELECT *, CASE WHEN exceptional THEN 'CRITICO' WHEN odometer = last_val
             f"""SELECT subscriber, (SELECT count(*) FROM upd x WHERE {_REACHES}) AS updates,
               (SELECT count(*) FROM alerts) AS alerts FROM {_PEOPLE}""",
         ),
+        "zone_deliveries": _with(_STATES, _DELIVERIES),
+        "supplier_inbox_counts": _with(
+            _STATES + f", del AS ({_DELIVERIES}), {_LISTENERS}",
+            """SELECT subscriber, count(DISTINCT seq) FILTER (kind = 'update') AS updates,
+              count(DISTINCT seq) FILTER (kind = 'alert') AS alerts
+            FROM listeners LEFT JOIN del ON zone_id = 0 OR delivery_key = zone_id OR delivery_key = -1 GROUP BY subscriber""",
+        ),
+        "supplier_inbox": _with(
+            _STATES + f", del AS ({_DELIVERIES}), {_LISTENERS}",
+            """SELECT DISTINCT kind, seq FROM listeners JOIN del ON zone_id = 0 OR delivery_key = zone_id OR delivery_key = -1
+            WHERE subscriber = 'Supplier#000000006'""",
+        ),
+        "accept_reject_rows": _with(_DATAGRAMS, "SELECT seq, line_id, coalesce(reason, 'accepted') AS reason FROM tagged"),
+        "stream_ingest_rows": _with(_DATAGRAMS, "SELECT seq, line_id, coalesce(reason, 'accepted') AS reason FROM tagged"),
+        "bus_shard_rows": _with(
+            _DATAGRAMS,
+            f"""SELECT 'chunk-' || lpad(CAST(bus_id % 4 AS VARCHAR), 2, '0') AS shard, unknown1, line_id, trip_id, bus_id,
+              raw_lat, raw_lon, {_TS} FROM d WHERE {_CSV_KEPT} AND bus_id > 0""",
+        ),
+        "stream_publish_rows": _with(
+            _STATES,
+            """SELECT seq, bus_id, zone_id, operational_state, CAST(NULL AS INT) AS event_type FROM upd
+            UNION ALL SELECT seq, bus_id, zone_id, 'ALERT', event_type FROM alerts""",
+        ),
+        "measured_run": _with(
+            _NORMAL + f", run AS ({_RUN})" + ","
+            + _totals("tot", "seg") + "," + _report("rep", "tot", "SELECT DISTINCT year_month FROM valid"),
+            "SELECT processed_rows, valid_rows, skipped_rows, (SELECT count(*) FROM rep) AS result_rows, true AS measured FROM run",
+        ),
         "update_speed_enriched": _with(
             _STATES + "," + _segments("seg", "valid") + "," + _totals("tot", "seg"),
             """SELECT seq, bus_id, upd.line_id, strftime(ts, '%Y-%m') AS year_month,

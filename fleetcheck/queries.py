@@ -160,6 +160,19 @@ def run_metrics(spark, sf):
     return metrics.run_metrics(_tagged(spark, sf), segments.trip_segments(_valid(spark, sf)))
 
 
+@query
+def measured_run(spark, sf):
+    """Counters of a run that is measured while it writes its report; times are only held to make sense."""
+    report = lambda cut: speed.complete_report(speed.route_month_totals(cut), inputs.routes(spark, sf))
+    row = metrics.measured_run(
+        spark, _tagged(spark, sf), segments.trip_segments, report, work_folder(spark, "measured"), "spark", "events"
+    )
+    fits = F.abs(F.col("rows_per_second") * F.col("elapsed_ms") / 1000 - F.col("processed_rows")) < 1
+    return row.select(
+        "processed_rows", "valid_rows", "skipped_rows", "result_rows", (fits & (F.col("memory_mb") > 0)).alias("measured")
+    )
+
+
 @query
 def partition_metrics(spark, sf):
     return speed.partition_metrics(segments.trip_segments(_valid(spark, sf), mode="arrival"))
@@ -211,6 +224,14 @@ def accept_reject_split(spark, sf):
     return quality.accept_reject_counts(_tagged(spark, sf))
 
 
+@query
+def accept_reject_rows(spark, sf):
+    """Both sides of the split, row by row."""
+    tagged = _tagged(spark, sf)
+    kept = quality.accepted(tagged).select("seq", "line_id", F.lit("accepted").alias("reason"))
+    return kept.unionByName(quality.rejected(tagged).select("seq", "line_id", F.col(quality.REJECT).alias("reason")))
+
+
 @query
 def input_cap(spark, sf):
     return quality.first_rows(inputs.datagrams(spark, sf).select("seq", "bus_id", "line_id"), 500)
@@ -530,6 +551,30 @@ def delivery_counts(spark, sf):
     )
 
 
+def _deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = _alerts(spark, sf).withColumn("priority", F.when(F.col("seq") % 2 == 0, "BAJA").otherwise(F.col("priority")))
+    return monitoring.zone_deliveries(_updates(spark, sf), mixed)
+
+
+@query
+def zone_deliveries(spark, sf):
+    return _deliveries(spark, sf)
+
+
+@query
+def supplier_inbox_counts(spark, sf):
+    """What every supplier gets, by the latest version of what they listen to."""
+    people = monitoring.current_subscriptions(inputs.supplier_subscriptions(spark, sf))
+    return monitoring.inbox_counts(_deliveries(spark, sf), people)
+
+
+@query
+def supplier_inbox(spark, sf):
+    """The inbox of one supplier, resolved when it is read."""
+    people = monitoring.current_subscriptions(inputs.supplier_subscriptions(spark, sf))
+    return monitoring.inbox(_deliveries(spark, sf), people, "Supplier#000000006")
+
+
 @query
 def update_speed_enriched(spark, sf):
     enriched = monitoring.with_month_speed(
@@ -679,6 +724,15 @@ def bus_shards(spark, sf):
     )
 
 
+@query
+def bus_shard_rows(spark, sf):
+    """Every line of the shards, read back and parsed."""
+    folder = work_folder(spark, "shards")
+    lake_sink.write_shards(inputs.datagram_lines(inputs.datagrams(spark, sf)), folder, SHARDS)
+    rows = datagram_source.parse_lines(spark.read.option("basePath", folder).text(folder))
+    return rows.select("shard", "unknown1", "line_id", "trip_id", "bus_id", "raw_lat", "raw_lon", _shown())
+
+
 # Streams, replayed over the events table until all of it is consumed
 
 
@@ -743,6 +797,20 @@ def stream_publish_replay(spark, sf):
     return counts[0].unionByName(counts[1])
 
 
+@query
+def stream_publish_rows(spark, sf):
+    """Every published update and alert."""
+    folder = work_folder(spark, "publish")
+    vehicles.publish(
+        _events_stream(spark, sf), inputs.line_zones(spark, sf), f"{folder}/updates", f"{folder}/alerts", f"{folder}/checkpoint"
+    ).awaitTermination()
+    updates, alerts = (spark.read.parquet(f"{folder}/{name}") for name in ("updates", "alerts"))
+    none = F.lit(None).cast("int")
+    return updates.select("seq", "bus_id", "zone_id", "operational_state", none.alias("event_type")).unionByName(
+        alerts.select("seq", "bus_id", "zone_id", F.lit("ALERT").alias("operational_state"), "event_type")
+    )
+
+
 @query
 def stream_signal_loss_replay(spark, sf):
     rows = monitoring.consumable(_events_stream(spark, sf))
@@ -773,6 +841,18 @@ def stream_ingest_replay(spark, sf):
     )
 
 
+@query
+def stream_ingest_rows(spark, sf):
+    """Every row that the ingest stream kept or rejected."""
+    folder = work_folder(spark, "ingest")
+    ingest.ingest_datagrams(
+        _events_stream(spark, sf), inputs.routes(spark, sf), f"{folder}/lake", f"{folder}/rejects", f"{folder}/checkpoint"
+    ).awaitTermination()
+    kept = lake_source.read_lake(spark, f"{folder}/lake").select("seq", "line_id", F.lit("accepted").alias("reason"))
+    lost = spark.read.parquet(f"{folder}/rejects").select("seq", "line_id", F.col(quality.REJECT).alias("reason"))
+    return kept.unionByName(lost)
+
+
 @query
 def stream_fanout_replay(spark, sf):
     updates = vehicles.bus_update_stream(_events_stream(spark, sf), inputs.line_zones(spark, sf))

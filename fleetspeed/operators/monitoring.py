@@ -251,6 +251,63 @@ def delivery_counts(updates: DataFrame, alerts: DataFrame, subscriptions: DataFr
     )
 
 
+def current_subscriptions(changes: DataFrame) -> DataFrame:
+    """``subscriber`` and ``zone_id`` by the latest version of each subscriber.
+
+    ``changes`` has ``subscriber``, ``zones`` and ``version``; an empty list of zones ends a subscription.
+    """
+    latest = changes.groupBy("subscriber").agg(F.max_by("zones", "version").alias("zones"))
+    return latest.select("subscriber", F.explode("zones").alias("zone_id"))
+
+
+def zone_deliveries(updates: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row for each update or alert and delivery key, whoever listens: ``delivery_key``, ``kind`` and ``seq``.
+
+    The table grows with what happens and not with the number of subscribers, who find their rows
+    when they read (``inbox``).
+    """
+    top = F.col("priority") == ALERT_PRIORITY
+    keys = F.when(top, F.array(F.lit(EVERYONE))).otherwise(F.array("zone_id"))
+    told = alerts.select(F.explode(keys).alias("delivery_key"), F.lit("alert").alias("kind"), "seq")
+    moved = updates.select(F.col("zone_id").alias("delivery_key"), F.lit("update").alias("kind"), "seq")
+    return moved.unionByName(told)
+
+
+def _listens(zone_id: Column) -> Column:
+    """Delivery keys that a subscription of a zone reads; a key other than the zone itself is EVERYONE."""
+    return F.array(zone_id, F.lit(EVERYONE))
+
+
+def inbox(deliveries: DataFrame, subscriptions: DataFrame, subscriber: str) -> DataFrame:
+    """What one subscriber gets, each update or alert once, as each has one key: a filter by the keys they listen to."""
+    # A few zones at most: as many as there are zones.
+    zones = {r["zone_id"] for r in subscriptions.where(F.col("subscriber") == subscriber).select("zone_id").distinct().collect()}
+    if ALL_ZONES not in zones:
+        deliveries = deliveries.where(F.col("delivery_key").isin(*zones, EVERYONE) if zones else F.lit(False))
+    return deliveries.select("kind", "seq")
+
+
+def inbox_counts(deliveries: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """``subscriber``, ``updates`` and ``alerts``: deliveries are counted by key before subscribers come in."""
+    per_key = deliveries.groupBy("delivery_key").agg(
+        F.count_if(F.col("kind") == "update").alias("updates"), F.count_if(F.col("kind") == "alert").alias("alerts")
+    )
+    total = per_key.agg(F.sum("updates").alias("updates"), F.sum("alerts").alias("alerts"))
+    pairs = subscriptions.select("subscriber", "zone_id").distinct()
+    wide = pairs.where(F.col("zone_id") == ALL_ZONES).select("subscriber")
+    narrow = pairs.join(wide, "subscriber", "left_anti")
+    keys = narrow.select("subscriber", F.explode(_listens(F.col("zone_id"))).alias("delivery_key")).distinct()
+    zero = F.lit(0).cast("long")
+    by_key = (
+        keys.join(per_key, "delivery_key", "left")
+        .groupBy("subscriber")
+        .agg(F.coalesce(F.sum("updates"), zero).alias("updates"), F.coalesce(F.sum("alerts"), zero).alias("alerts"))
+    )
+    counted = total.select(F.struct(*[F.coalesce(c, zero).alias(c) for c in ("updates", "alerts")]).alias("t")).scalar()
+    whole = wide.select("subscriber", counted["updates"].alias("updates"), counted["alerts"].alias("alerts"))
+    return by_key.unionByName(whole)
+
+
 def with_month_speed(updates: DataFrame, reports: DataFrame, fallback_month: str) -> DataFrame:
     """Add the average speed of the update's line and month; NULL without an OK report.
 
