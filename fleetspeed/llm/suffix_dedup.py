@@ -73,7 +73,7 @@ def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             while len(table) <= n:  # twice as many each time
                 table = np.concatenate([table, table * pow(base, len(table), _PRIME) % _PRIME])
             tables.append(table[: n + 1])
-        _residues[n] = tuple(tables)
+        _residues[n] = tuple(table.astype(np.uint32) for table in tables)
     return _residues[n]
 
 
@@ -81,7 +81,12 @@ def _fingerprints(data: np.ndarray, sums: np.ndarray, begin: np.ndarray, end: np
     """Of byte strings, from two rings: prefix sums modulo 2 ** 64 are given, those modulo the prime are made here."""
     up, down = _prime_powers(BLOCK)
     residue = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data.astype(np.int64) + 1) * up[: len(data)] % _PRIME, out=residue[1:])
+    sums_of = residue[1:]  # made in place: blocks are large
+    sums_of[:] = data
+    sums_of += 1
+    sums_of *= up[: len(data)]
+    sums_of %= _PRIME
+    np.cumsum(sums_of, out=sums_of)
     second = (residue[end] - residue[begin]) % _PRIME * down[begin] % _PRIME
     first = mix((sums[end] - sums[begin]) * power("down")[begin])
     return mix(first ^ (second.astype(u64) * u64(0x9E3779B97F4A7C15)))
