@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspeed.functions.text import fixed, quoted
+from fleetspeed.operators.ranks import ranked
 from fleetspeed.schema import METRICS_CSV_HEADER, SPEED_CSV_HEADER
 
 REPORT_ORDER = ("year_month", "line_id")
@@ -103,13 +104,36 @@ def report_json() -> Column:
 def reports_json_array(report: DataFrame) -> DataFrame:
     """All report rows as one JSON array text, by month then line.
 
-    A report is bounded by routes times months, so it fits in one row.
+    For reports that fit in one row; ``reports_json_chunks`` has no such limit.
     """
     entries = F.array_sort(F.collect_list(F.struct(*REPORT_ORDER, report_json().alias("json"))))
     texts = F.transform(entries, lambda e: e["json"])
     return report.agg(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("json"))
 
 
+def reports_json_chunks(report: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``(part, chunk, json)``: texts of at most ``rows`` rows each that make up the array in this order.
+
+    Part 0 opens the array, part 2 closes it.
+    """
+    spark, order = report.sparkSession, [F.col(c) for c in REPORT_ORDER]
+    placed = ranked(spark, report.select(*REPORT_ORDER, report_json().alias("json")), [], order, "_n")
+    chunk = F.floor(F.col("_n") / rows).cast("long")
+    entries = F.array_sort(F.collect_list(F.struct("_n", "json")))
+    joined = F.array_join(F.transform(entries, lambda e: e["json"]), ",")
+    comma = F.when(F.col("chunk") > 0, F.lit(",")).otherwise(F.lit(""))
+    body = placed.groupBy(chunk.alias("chunk")).agg(joined.alias("json"))
+    ends = spark.createDataFrame([(0, 0, "["), (2, 0, "]")], "part int, chunk long, json string")
+    return ends.unionByName(body.select(F.lit(1).alias("part"), "chunk", F.concat(comma, "json").alias("json")))
+
+
+def write_json_array(report: DataFrame, path: str, rows: int = 10_000) -> None:
+    """One JSON array for reports of any size: the part files in name order."""
+    reports_json_chunks(report, rows).orderBy("part", "chunk").select(F.col("json").alias("value")).write.mode(
+        "overwrite"
+    ).text(path)
+
+
 def write_report_json(report: DataFrame, path: str) -> None:
     """One JSON object per line, for reports of any size."""
     report.orderBy(*REPORT_ORDER).select(report_json().alias("value")).write.mode("overwrite").text(path)

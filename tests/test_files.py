@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -97,6 +99,61 @@ def test_archives(spark, tmp_path):
     assert first["bus_id"] == 1  # a.ZIP comes first
 
 
+class _OneWay(io.RawIOBase):
+    """A file that cannot go back, so that sizes and checksums stand behind the entries."""
+
+    def __init__(self, path):
+        self._file = open(path, "wb")
+
+    def writable(self):
+        return True
+
+    def write(self, data):
+        return self._file.write(data)
+
+    def close(self):
+        self._file.close()
+        super().close()
+
+
+@pytest.mark.parametrize("packing", [zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED])
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_archives_are_read_in_ranges(spark, tmp_path, packing, ending):
+    rng = random.Random(7)
+    texts = [f"{i},{rng.random()},ñ\x85{'x' * rng.randrange(300)}" for i in range(8_000)] + ["", "last"]
+    with zipfile.ZipFile(tmp_path / "seen.zip", "w", packing) as z:
+        z.writestr("notes.txt", rng.randbytes(30_000))
+        z.writestr("data.csv", ending.join(texts))
+    if packing == zipfile.ZIP_DEFLATED:
+        with zipfile.ZipFile(_OneWay(tmp_path / "streamed.zip"), "w", packing) as z:
+            z.writestr("notes.txt", "PK " * 9_000)
+            with z.open("DATA.CSV", "w", force_zip64=True) as entry:
+                entry.write((ending.join(texts) + ending).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = archives.archive_lines(spark, str(tmp_path)).orderBy("path", "line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = {}
+    for row in lines:
+        assert row["line_no"] == len(found.setdefault(row["path"], []))
+        found[row["path"]].append(row["value"])
+    assert len(found) == (2 if packing == zipfile.ZIP_DEFLATED else 1)
+    assert all(got == texts for got in found.values())
+
+
+@pytest.mark.parametrize("damage", ["cut", "changed", "other"])
+def test_damaged_archives_are_errors(spark, tmp_path, damage):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("data.csv", "one\ntwo\n" * 500)
+    whole = (tmp_path / "x.zip").read_bytes()
+    changed = {"cut": whole[:2000], "changed": whole.replace(b"two", b"tow", 1), "other": b"no archive"}
+    (tmp_path / "x.zip").write_bytes(changed[damage])
+    with pytest.raises(Exception, match="too early|damaged|not a zip"):
+        archives.archive_lines(spark, str(tmp_path)).count()
+
+
 def test_archive_without_csv_is_an_error(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("readme.txt", "no")
@@ -284,6 +341,18 @@ def test_report_json(spark, report):
     ]
 
 
+@pytest.mark.parametrize("rows", [1, 3, 100])
+def test_json_array_in_bounded_chunks(spark, report, tmp_path, rows):
+    whole = json.loads(result_sink.reports_json_array(report).first()["json"])
+    chunks = result_sink.reports_json_chunks(report, rows).where("part = 1").collect()
+    assert len(chunks) == -(-4 // rows) and all(len(json.loads(f"[{c['json'].lstrip(',')}]")) <= rows for c in chunks)
+    result_sink.write_json_array(report, str(tmp_path / "a.json"), rows)
+    texts = "".join(f.read_text() for f in sorted((tmp_path / "a.json").glob("part-*")))
+    assert json.loads(texts) == whole
+    result_sink.write_json_array(report.limit(0), str(tmp_path / "none.json"), rows)
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none.json").glob("part-*")))) == []
+
+
 def test_report_queries(report):
     assert reports.point(report, 207, 2019, 5).first()["valid_segments"] == 90417
     assert reports.point(report, 207, 2018, 5).count() == 0

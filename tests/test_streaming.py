@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from conftest import SMALL, datagram
 from pyspark.sql import functions as F
@@ -7,11 +10,11 @@ from pyspark.sql import functions as F
 from fleetcheck import inputs
 from fleetspeed.operators import monitoring, quality
 from fleetspeed.operators.segments import trip_segments
-from fleetspeed.schema import DATAGRAM_SCHEMA
+from fleetspeed.schema import DATAGRAM_SCHEMA, Limits
 from fleetspeed.sources import landing
 from fleetspeed.sources.datagrams import FILE_ROOM, to_line
 from fleetspeed.sources.lake import read_lake
-from fleetspeed.streaming import delivery, ingest, vehicles
+from fleetspeed.streaming import carried, delivery, ingest, vehicles
 from test_monitoring import STATES, at, reports_of_buses, subscriptions, zones  # noqa: F401
 
 PIECES = 4
@@ -226,3 +229,74 @@ def test_counters_add_up(spark, derived, landed, tmp_path):
 
 def test_schema_of_the_source(spark, landed):
     assert source(spark, landed).schema == DATAGRAM_SCHEMA
+
+
+@pytest.mark.parametrize("slice_rows", [None, 20])
+def test_carried_streams_equal_the_batch_forms(spark, derived, routes, landed, tmp_path, slice_rows):
+    limits, line_zones = Limits(slice_rows=slice_rows), inputs.line_zones(spark, SMALL)
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}").drop("batch_id")
+    to = lambda name: [f"{tmp_path}/{name}", f"{tmp_path}/{name}-state", f"{tmp_path}/{name}-checkpoint"]
+
+    carried.publish_states(source(spark, landed), line_zones, *to("states"), limits=limits).awaitTermination()
+    zoned = monitoring.with_line_zone(monitoring.operational_state(monitoring.consumable(derived)), line_zones)
+    same(read("states"), zoned.select(*monitoring.update_columns()))
+
+    carried.publish_silences(source(spark, landed), *to("silences"), limits=limits).awaitTermination()
+    same(read("silences"), monitoring.signal_gaps(monitoring.consumable(derived)))
+
+    all_routes = inputs.routes(spark, SMALL)
+    carried.publish_segments(source(spark, landed), all_routes, *to("segments"), limits=limits).awaitTermination()
+    same(read("segments"), trip_segments(quality.valid_datagrams(derived, all_routes)))
+
+
+@pytest.mark.parametrize("pieces", [1, 4])
+@pytest.mark.parametrize("slice_rows", [None, 7])
+def test_unrepeated_does_not_depend_on_the_cut(spark, frame, tmp_path, pieces, slice_rows):
+    rng = random.Random(3)
+    rows = []
+    for seq in range(1000):
+        clock = 40 * (seq // 10) + rng.choice([0, 0, 0, -30, -90, -400])
+        stamp = datetime(2019, 5, 14, 6) + timedelta(seconds=clock)
+        rows.append(datagram(seq, 207, rng.choice([1, 2, None]), stamp, 1, 1, rng.choice([1, 1, 1, 2, 3])))
+    newest, seen, expected = {}, set(), {"kept": [], "aside": []}
+    for seq, *_, trip, _task, stamp, bus in rows:
+        if bus in newest and stamp < newest[bus] - timedelta(seconds=100):
+            expected["aside"].append(seq)
+        elif (bus, stamp, trip) not in seen:
+            expected["kept"].append(seq)
+        seen.add((bus, stamp, trip))
+        newest[bus] = max(stamp, newest.get(bus, stamp))
+    for piece in range(pieces):
+        land(frame(rows), f"{tmp_path}/landing", piece, pieces)
+    paths = [f"{tmp_path}/{n}" for n in ("kept", "aside", "state", "checkpoint")]
+    carried.publish_unrepeated(
+        source(spark, f"{tmp_path}/landing"), *paths, horizon_s=100, limits=Limits(slice_rows=slice_rows)
+    ).awaitTermination()
+    for name, ids in expected.items():
+        assert ids and sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/{name}").collect()) == ids
+    state = spark.read.parquet(f"{tmp_path}/state/slot={(pieces - 1) % 2}")
+    ends = state.groupBy("bus_id").agg((F.max("ts") - F.min("ts")).alias("span")).collect()
+    assert all(r["span"] <= timedelta(seconds=100) for r in ends) and state.count() < 200
+
+
+def test_a_repeated_micro_batch_replaces_itself_and_a_lost_state_is_an_error(spark, frame, tmp_path):
+    row = lambda seq: datagram(seq, 207, 1, f"2019-05-14 06:0{seq}:00", 1, 1, 1)
+    state = f"{tmp_path}/state"
+    for batch_id, value in ((0, 1), (1, 2), (1, 3)):
+        carried._keep(frame([row(value)]), state, batch_id)
+    (found,) = carried._carried(spark, state, 2, DATAGRAM_SCHEMA).collect()
+    assert (found["seq"], found["ts"].minute) == (carried.EARLIER, 3)
+    with pytest.raises(RuntimeError, match="does not hold the state"):
+        carried._carried(spark, state, 4, DATAGRAM_SCHEMA)
+
+
+def test_silent_trips_go_after_their_time(spark, frame, routes, tmp_path):
+    rows = [
+        datagram(0, 207, 1, "2019-05-14 06:00:00", 1, 1, 1),
+        datagram(1, 207, 2, "2019-05-14 09:00:00", 1, 1, 1),
+        datagram(2, 207, 3, "2019-05-14 01:00:00", 1, 1, 2),
+    ]
+    frame(rows).coalesce(1).write.parquet(f"{tmp_path}/landing")
+    paths = [f"{tmp_path}/{n}" for n in ("out", "state", "checkpoint")]
+    carried.publish_segments(source(spark, f"{tmp_path}/landing"), routes, *paths, keep_s=3600).awaitTermination()
+    assert {r["trip_id"] for r in spark.read.parquet(f"{tmp_path}/state/slot=0").collect()} == {2, 3}
