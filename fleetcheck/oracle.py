@@ -197,6 +197,13 @@ def oracle_sql() -> dict[str, str]:
         + _report("rep", "tot", "SELECT DISTINCT year_month FROM whole"),
         f"SELECT {_SPEED_COLUMNS} FROM rep ORDER BY year_month, line_id",
     )
+    silences = _with(
+        _STATES
+        + """,
+        g AS (SELECT bus_id, seq, lag(ts) OVER (PARTITION BY bus_id ORDER BY seq) AS last_ts, ts FROM c)""",
+        f"""SELECT bus_id, seq, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, {_TS},
+          date_diff('second', last_ts, ts) AS silent_s FROM g WHERE date_diff('second', last_ts, ts) > 60""",
+    )
     throttled = _with(
         _STATES,
         """SELECT bus_id, strftime(time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01 00:00:00'),
@@ -204,6 +211,16 @@ def oracle_sql() -> dict[str, str]:
           count(*) AS alerts, min(seq) AS first_seq, arg_min(description, seq) AS description
         FROM alerts GROUP BY 1, 2""",
     )
+    young = f""",
+        aged AS (SELECT *, max(ts) OVER (PARTITION BY bus_id ORDER BY seq {_BEFORE}) AS newest FROM alerts),
+        young AS (SELECT * FROM aged WHERE NOT coalesce(ts < newest - INTERVAL 1 DAY, false))"""
+    throttled_within = _with(
+        _STATES + young,
+        """SELECT bus_id, strftime(time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01 00:00:00'),
+            '%Y-%m-%d %H:%M:%S') AS window_start,
+          count(*) AS alerts, min(seq) AS first_seq, arg_min(description, seq) AS description
+        FROM young GROUP BY 1, 2""",
+    )
     sql = {
         "route_month_speed": flagship,
         "partial_merge_by_bus_shard": flagship,
@@ -350,6 +367,13 @@ told AS (SELECT *, CASE WHEN exceptional THEN 'CRITICO' WHEN odometer = last_val
         "report_json_array": _with(
             _REPORT, f"SELECT '[' || string_agg({_JSON}, ',' ORDER BY year_month, line_id) || ']' AS json FROM rep"
         ),
+        "report_json_chunks": _with(
+            _REPORT,
+            f"""SELECT CAST(0 AS INT) AS part, CAST(0 AS BIGINT) AS chunk, '[' AS json UNION ALL SELECT 2, 0, ']' UNION ALL
+            SELECT 1, n // 40, CASE WHEN n >= 40 THEN ',' ELSE '' END || string_agg(json, ',' ORDER BY n)
+            FROM (SELECT row_number() OVER (ORDER BY year_month, line_id) - 1 AS n, {_JSON} AS json FROM rep)
+            GROUP BY n // 40, n >= 40""",
+        ),
         "speed_csv_lines": _with(
             _REPORT,
             f"""SELECT value FROM (SELECT 0 AS part, '' AS ym, 0 AS l,
@@ -402,13 +426,7 @@ told AS (SELECT *, CASE WHEN exceptional THEN 'CRITICO' WHEN odometer = last_val
             UNION ALL SELECT bus_id, count(*), 'alerts' FROM alerts GROUP BY bus_id""",
         ),
         "alert_history": _with(_STATES, f"SELECT {_ALERT} FROM alerts ORDER BY seq DESC LIMIT 50"),
-        "signal_gaps": _with(
-            _STATES
-            + """,
-            g AS (SELECT bus_id, seq, lag(ts) OVER (PARTITION BY bus_id ORDER BY seq) AS last_ts, ts FROM c)""",
-            f"""SELECT bus_id, seq, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, {_TS},
-              date_diff('second', last_ts, ts) AS silent_s FROM g WHERE date_diff('second', last_ts, ts) > 60""",
-        ),
+        "signal_gaps": silences,
         "signal_lost_asof": _with(
             _STATES,
             """SELECT bus_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_ts,
@@ -424,6 +442,17 @@ told AS (SELECT *, CASE WHEN exceptional THEN 'CRITICO' WHEN odometer = last_val
             FROM lost""",
         ),
         "stream_segments_replay": flagship,
+        "carried_segments": flagship,
+        "carried_updates": updates,
+        "carried_silences": silences,
+        "carried_unrepeated": _with(
+            _STATES
+            + f""",
+            t AS (SELECT *, max(ts) OVER (PARTITION BY bus_id ORDER BY seq {_BEFORE}) AS newest FROM c),
+            j AS (SELECT *, coalesce(ts < newest - INTERVAL 1 HOUR, false) AS old FROM t)""",
+            """SELECT min(seq) AS seq, bus_id, 'kept' AS what FROM j WHERE NOT old GROUP BY bus_id, ts, trip_id
+            UNION ALL SELECT seq, bus_id, 'aside' FROM j WHERE old""",
+        ),
         "latest_bus_state": _with(_STATES, f"SELECT {_LATEST} FROM last_upd"),
         "bus_detail": _with(_STATES, f"SELECT {_LATEST} FROM last_upd WHERE bus_id = 3"),
         "fleet_status": _with(
@@ -513,6 +542,7 @@ told AS (SELECT *, CASE WHEN exceptional THEN 'CRITICO' WHEN odometer = last_val
         ),
         "alert_throttle": throttled,
         "stream_alert_throttle": throttled,
+        "carried_throttle": throttled_within,
         "stream_deduplicated": _with(
             _STATES, f"SELECT DISTINCT bus_id, trip_id, {_TS} FROM c"
         ),

@@ -31,7 +31,7 @@ from fleetspeed.sources import landing
 from fleetspeed.sources import results as result_source
 from fleetspeed.sources import routes as route_source
 from fleetspeed.sources import zones
-from fleetspeed.streaming import delivery, ingest, vehicles
+from fleetspeed.streaming import carried, delivery, ingest, vehicles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -408,6 +408,12 @@ def report_json_array(spark, sf):
     return result_sink.reports_json_array(_rounded(_report(spark, sf)))
 
 
+@query
+def report_json_chunks(spark, sf):
+    """The array of all reports in texts of at most 40 rows."""
+    return result_sink.reports_json_chunks(_rounded(_report(spark, sf)), 40)
+
+
 @query
 def speed_csv_lines(spark, sf):
     return result_sink.speed_csv(_report(spark, sf))
@@ -754,6 +760,16 @@ def _landed_lines(spark: SparkSession, sf: str, folder: str, condition: str) ->
     return landing.stream_lines(spark, folder, files_per_trigger=1)
 
 
+def _landed_datagrams(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """All datagrams, landed file after file in arrival order, as a stream of one file a micro-batch."""
+    rows = inputs.datagrams(spark, sf)
+    low, high, n = rows.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    width = (high - low) // max(3, n // 200_000) + 1
+    for first in range(low, high + 1, width):
+        rows.where(F.col("seq").between(first, first + width - 1)).coalesce(1).write.mode("append").parquet(folder)
+    return landing.stream_datagrams(spark, folder, files_per_trigger=1)
+
+
 def _drained(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
     """Run an append stream over all that has landed and read what it wrote."""
     folder = work_folder(spark, purpose)
@@ -824,6 +840,55 @@ def stream_segments_replay(spark, sf):
     return _rounded(speed.complete_report(totals, inputs.routes(spark, sf)))
 
 
+@query
+def carried_updates(spark, sf):
+    """Updates of a stream whose bus states are carried as rows."""
+    folder = work_folder(spark, "carried")
+    stream, zones = _landed_datagrams(spark, sf, f"{folder}/landed"), inputs.line_zones(spark, sf)
+    carried.publish_states(stream, zones, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return _rounded(spark.read.parquet(f"{folder}/out").drop("batch_id"), 7)
+
+
+@query
+def carried_silences(spark, sf):
+    folder = work_folder(spark, "carried")
+    stream = _landed_datagrams(spark, sf, f"{folder}/landed")
+    carried.publish_silences(stream, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return _rounded(spark.read.parquet(f"{folder}/out").drop("batch_id"))
+
+
+@query
+def carried_segments(spark, sf):
+    folder, routes = work_folder(spark, "carried"), inputs.routes(spark, sf)
+    stream = _landed_datagrams(spark, sf, f"{folder}/landed")
+    carried.publish_segments(
+        stream, routes, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint"
+    ).awaitTermination()
+    totals = speed.route_month_totals(spark.read.parquet(f"{folder}/out").drop("batch_id"))
+    return _rounded(speed.complete_report(totals, routes))
+
+
+@query
+def carried_unrepeated(spark, sf):
+    """First arrivals of reports, and those an hour or more behind their bus, set aside."""
+    folder = work_folder(spark, "carried")
+    stream = _landed_datagrams(spark, sf, f"{folder}/landed")
+    names = [f"{folder}/{n}" for n in ("kept", "aside", "state", "checkpoint")]
+    carried.publish_unrepeated(stream, *names, horizon_s=3600).awaitTermination()
+    parts = [spark.read.parquet(f"{folder}/{n}").select("seq", "bus_id", F.lit(n).alias("what")) for n in ("kept", "aside")]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def carried_throttle(spark, sf):
+    """Alert windows of 10 minutes; alerts a day or more behind their bus are set aside."""
+    folder, zones = work_folder(spark, "carried"), inputs.line_zones(spark, sf)
+    alerts = vehicles.critical_alert_stream(_landed_datagrams(spark, sf, f"{folder}/landed"), zones)
+    names = [f"{folder}/{n}" for n in ("windows", "aside", "state", "checkpoint")]
+    carried.publish_throttled_within(alerts, *names, horizon_s=86_400, window="10 minutes").awaitTermination()
+    return _rounded(vehicles.read_throttled(spark, f"{folder}/windows"))
+
+
 @query
 def stream_ingest_replay(spark, sf):
     folder = work_folder(spark, "ingest")

@@ -183,3 +183,64 @@ def publish_unrepeated(
             judged.unpersist()
 
     return _run(monitoring.consumable(datagrams), state, checkpoint, step, trigger)
+
+
+def publish_throttled_within(
+    alerts: DataFrame,
+    target: str,
+    aside: str,
+    state: str,
+    checkpoint: str,
+    horizon_s: int,
+    window: str = "5 seconds",
+    limits: Limits = Limits(),
+    trigger: dict = NOW,
+) -> StreamingQuery:
+    """Alert windows as in ``vehicles.publish_throttled``, with a state that does not grow with the history.
+
+    A bus carries its alerts of the last ``horizon_s`` seconds and one window more, as one row a window.  An alert older than
+    ``horizon_s`` before the newest one of its bus, when it arrives, counts in no window and is written to ``aside``.  Read the windows
+    with ``vehicles.read_throttled``.
+    """
+    starts = F.window(F.col("ts").cast("timestamp"), window)
+    told = ("alerts", "first_seq", "description")
+    columns = alerts.columns
+    one = alerts.withColumns(
+        {
+            "window_start": starts.start.cast("timestamp_ntz"),
+            "window_end": starts.end.cast("timestamp_ntz"),
+            "alerts": F.lit(1).cast("long"),
+            "first_seq": F.col("seq"),
+            "newest_us": epoch_micros(F.col("ts")),
+        }
+    )
+
+    def step(rows: DataFrame, batch_id: int, keep: Callable[[DataFrame], None]) -> None:
+        earlier = rows.where(F.col("seq") == EARLIER)
+        ahead = _new(rows).unionByName(_newest(earlier, ("bus_id",), ("newest_us",)))
+        bounded = prior_max(ahead, ["bus_id"], ["seq"], ["newest_us"], [], "_newest", limits.slice_rows)
+        old = F.coalesce(F.col("newest_us") < F.col("_newest.newest_us") - horizon_s * SECOND_US, F.lit(False))
+        judged = _new(bounded).withColumn("_old", old).drop("_newest").persist()
+        try:
+            write_batch(judged.where("_old").select(*columns), aside, batch_id)
+            counted = judged.where(~F.col("_old")).drop("_old").unionByName(earlier)
+            by = ("bus_id", "window_start", "window_end")
+            windows = counted.groupBy(*by).agg(
+                F.sum("alerts").alias("alerts"),
+                F.min("first_seq").alias("first_seq"),
+                F.min_by("description", "first_seq").alias("description"),
+                F.max("newest_us").alias("newest_us"),
+                (F.max("seq") != EARLIER).alias("_changed"),
+                *[F.min_by(c, "first_seq").alias(c) for c in columns if c not in ("bus_id", "seq", "description")],
+            )
+            write_batch(windows.where("_changed").select("bus_id", "window_start", *told), target, batch_id)
+            # A window stays while an alert in it could still be young enough.
+            ends = windows.groupBy(F.col("bus_id").alias("_bus")).agg(F.max("newest_us").alias("_end"))
+            open_ = windows.join(ends, F.col("bus_id").eqNullSafe(F.col("_bus"))).where(
+                epoch_micros(F.col("window_end")) >= F.col("_end") - horizon_s * SECOND_US
+            )
+            keep(open_.withColumn("seq", F.col("first_seq")).select(*rows.columns))
+        finally:
+            judged.unpersist()
+
+    return _run(one, state, checkpoint, step, trigger)

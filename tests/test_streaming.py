@@ -300,3 +300,35 @@ def test_silent_trips_go_after_their_time(spark, frame, routes, tmp_path):
     paths = [f"{tmp_path}/{n}" for n in ("out", "state", "checkpoint")]
     carried.publish_segments(source(spark, f"{tmp_path}/landing"), routes, *paths, keep_s=3600).awaitTermination()
     assert {r["trip_id"] for r in spark.read.parquet(f"{tmp_path}/state/slot=0").collect()} == {2, 3}
+
+
+@pytest.mark.parametrize("pieces", [1, 4])
+def test_throttled_windows_do_not_depend_on_the_cut(spark, frame, tmp_path, pieces):
+    rng = random.Random(5)
+    rows = []
+    for seq in range(1000):
+        clock = 20 * (seq // 10) + rng.choice([0, 3, -8, -40, -90, -400])
+        stamp = datetime(2019, 5, 14, 6) + timedelta(seconds=clock)
+        rows.append(datagram(seq, 207, 1, stamp, 1, 1, rng.choice([1, 1, 1, 2, None]), event_type=rng.randrange(3, 9)))
+    newest, windows, aside = {}, {}, []
+    for seq, event, *_, stamp, bus in rows:
+        if bus in newest and stamp < newest[bus] - timedelta(seconds=100):
+            aside.append(seq)
+        else:
+            start = stamp - timedelta(seconds=stamp.second % 30)
+            windows.setdefault((bus, start), []).append((seq, event))
+        newest[bus] = max(stamp, newest.get(bus, stamp))
+    for piece in range(pieces):
+        land(frame(rows), f"{tmp_path}/landing", piece, pieces)
+    zones_of_lines = spark.createDataFrame([(207, 1)], "line_id int, zone_id int")
+    alerts = monitoring.critical_alerts(monitoring.with_line_zone(source(spark, f"{tmp_path}/landing"), zones_of_lines))
+    paths = [f"{tmp_path}/{n}" for n in ("windows", "aside", "state", "checkpoint")]
+    carried.publish_throttled_within(alerts, *paths, horizon_s=100, window="30 seconds").awaitTermination()
+    found = vehicles.read_throttled(spark, f"{tmp_path}/windows").collect()
+    assert len(found) == len(windows)
+    for row in found:
+        held = windows[row["bus_id"], row["window_start"]]
+        assert (row["alerts"], row["first_seq"]) == (len(held), held[0][0])
+        assert row["description"].endswith(str(held[0][1]))
+    assert aside and sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/aside").collect()) == aside
+    assert spark.read.parquet(f"{tmp_path}/state/slot={(pieces - 1) % 2}").count() < len(windows) / 2
