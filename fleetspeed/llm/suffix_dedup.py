@@ -340,23 +340,26 @@ def repeated_starts(shards: list[list[bytes]], length: int) -> tuple[np.ndarray,
     marks = np.cumsum([len(p) + 1 for s in shards for p in s]) - 1
     wide[text == 0] = 256
     wide[marks] = 0
+    del text
     shard = np.repeat(np.arange(len(shards), dtype=np.int32), sizes)
-    rows, interval = np.empty(len(wide), np.int64), np.empty(len(wide), np.int64)
+    # Places within a task are numbers of 32 bits.
+    rows, interval = np.empty(len(wide), np.int32), np.empty(len(wide), np.int32)
     for low, high in zip(first[:-1], first[1:], strict=True):
         order, rank = transform(wide[low:high], length)
         rows[low:high] = order + low
         interval[low:high] = rank + low
-    left = marks[np.searchsorted(marks, np.arange(len(wide)))] - np.arange(len(wide))
+    ahead = np.diff(marks, prepend=-1)  # symbols of each string with its mark
+    left = np.repeat(marks.astype(np.int32), ahead) - np.arange(len(wide), dtype=np.int32)
     common = np.zeros(len(wide), np.int32)
 
-    block, depth = np.zeros(len(rows), np.int64), 0
-    spanning = np.zeros(0, np.int64)
+    block, depth = np.zeros(len(rows), np.int32), 0
+    spanning = np.zeros(0, np.int32)
     while depth < length and len(shards) > 1:
         step = min(2, length - depth)
         rows = rows - step
         clean = (rows >= 0) & (left[np.maximum(rows, 0)] >= step)
         rows, block = rows[clean], block[clean]
-        symbols = wide[rows].astype(np.int64)
+        symbols = wide[rows].astype(np.int32)
         if step == 2:
             symbols = symbols << 9 | wide[rows + 1]
         deal = _dealt(symbols)
@@ -366,7 +369,7 @@ def repeated_starts(shards: list[list[bytes]], length: int) -> tuple[np.ndarray,
         size = np.diff(np.append(head, len(rows)))
         # Rows of a block stand in the order of the shards.
         mixed = np.repeat(shard[rows[head]] != shard[rows[head + size - 1]], size)
-        rows, block = rows[mixed], np.cumsum(edge)[mixed]
+        rows, block = rows[mixed], np.cumsum(edge, dtype=np.int32)[mixed]
         depth += step
         common[rows] = depth
         spanning = rows
