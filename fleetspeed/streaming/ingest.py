@@ -15,6 +15,8 @@ from fleetspeed.sources.datagrams import numbers_of, parse_lines, place_in_file,
 
 NOW = {"availableNow": True}  # run over what has landed, then stop
 
+PASSED_ROWS = 500_000  # about as many rows has a file of the table that is passed on; one task writes it
+
 
 def batch_files(lines: DataFrame) -> DataFrame:
     """The files of a micro-batch."""
@@ -29,11 +31,28 @@ def stamp_batch(lines: DataFrame, first: int) -> DataFrame:
     return placed.join(starts, "_path").select((F.col("_start") + F.col("_place")).alias("seq"), "value")
 
 
+def pass_on(rows: DataFrame, batch_id: int, target: str) -> None:
+    """Write one micro-batch as files of consecutive sequence numbers, one after another.
+
+    A stream takes files by the time they were written, and its own micro-batches may end after any of them.  Files that
+    tasks write side by side have no such order, so reports of a bus would reach its state out of order.
+    """
+    pieces = max(1, -(-rows.count() // PASSED_ROWS))
+    shares = [k / pieces for k in range(1, pieces)]
+    # One number a file; where it is inexact, files differ in size only.
+    cuts = sorted(set(rows.agg(F.percentile_approx("seq", shares)).first()[0])) if shares else []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        piece = rows if low is None else rows.where(F.col("seq") > low)
+        piece = piece if high is None else piece.where(F.col("seq") <= high)
+        written = piece.coalesce(1).write.mode("overwrite" if low is None else "append")
+        written.parquet(f"{target}/batch_id={batch_id}")
+
+
 def archive_batch(tagged: DataFrame, batch_id: int, lake: str, rejects: str, accepted: str | None = None) -> None:
     """Accepted rows to the lake, rejected rows with their reason to the reject table.
 
     With ``accepted`` the accepted rows are also passed on, as a table that the monitoring streams
-    read.  A batch owns its directories in all of them, so a repeated batch replaces itself.
+    read in order of arrival.  A batch owns its directories in all of them, so a repeated batch replaces itself.
     """
     tagged.persist()
     try:
@@ -41,7 +60,7 @@ def archive_batch(tagged: DataFrame, batch_id: int, lake: str, rejects: str, acc
         write_batch(quality.rejected(tagged), rejects, batch_id)
         if accepted:
             kept = quality.accepted(tagged).select(*DATAGRAM_SCHEMA.fieldNames())
-            write_batch(kept, accepted, batch_id)
+            pass_on(kept, batch_id, accepted)
     finally:
         tagged.unpersist()
 

@@ -155,6 +155,19 @@ def test_repeated_batch_replaces_itself(spark, derived, tmp_path):
     assert read_lake(spark, f"{folder}/lake").count() + spark.read.parquet(f"{folder}/rejects").count() == 1000
 
 
+@pytest.mark.parametrize("rows_a_file", [300, 500_000])
+def test_accepted_rows_are_passed_on_in_order(spark, derived, tmp_path, monkeypatch, rows_a_file):
+    monkeypatch.setattr(ingest, "PASSED_ROWS", rows_a_file, raising=False)
+    folder, catalogue = str(tmp_path), inputs.routes(spark, SMALL)
+    tagged = quality.with_reject_reason(derived, catalogue).repartition(4)
+    for _ in range(2):  # a repeated batch replaces itself
+        ingest.archive_batch(tagged, 0, f"{folder}/lake", f"{folder}/rejects", f"{folder}/accepted")
+    stream = vehicles.bus_update_stream(source(spark, f"{folder}/accepted"), inputs.line_zones(spark, SMALL))
+    drain(stream, folder)
+    accepted = quality.valid_datagrams(derived, catalogue).select(*derived.columns)
+    same(result(spark, stream, folder), monitoring.bus_updates(accepted, inputs.line_zones(spark, SMALL)))
+
+
 def test_delivery_by_subscriber(spark, reports_of_buses, zones, subscriptions, tmp_path):  # noqa: F811
     folder = str(tmp_path)
     reports_of_buses.coalesce(1).write.parquet(f"{folder}/landing")
