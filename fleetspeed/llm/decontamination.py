@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspeed.llm.common import same_document, stored, with_text
-from fleetspeed.llm.words import Words, mix, u64, word_blocks
+from fleetspeed.llm.words import SMALL_BLOCK, Words, mix, u64, word_blocks
 
 # Fixed masks of five kept words each: any 13 words, or 7 to 12 as a whole, that agree in 80 % keep one.
 MASKS = ("11111", "110111", "111011", "1011011", "1100111", "11010101")
@@ -68,7 +68,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and seeds of each item; of equal seeds of an item the first place is enough."""
     for batch in batches:
         rows: list[tuple] = []
-        for words in word_blocks(batch["text"], "plain"):
+        for words in word_blocks(batch["text"], "plain", block=SMALL_BLOCK):
             all_seeds = [_seeds(words, n) for n in range(len(ALL_MASKS))]
             for row in range(words.rows):
                 low, high = words.first[row], words.first[row + 1]
@@ -117,7 +117,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], table: np.ndarray, masks: lis
     """Documents with any seed that an item may have: their words, and those seeds with their places."""
     for batch in batches:
         rows, lists = [], []
-        for words in word_blocks(batch["text"], "plain"):
+        for words in word_blocks(batch["text"], "plain", block=SMALL_BLOCK):
             found = []
             for number in masks:
                 seeds, at = _seeds(words, number)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspeed.llm.common import stored, unused, with_text
-from fleetspeed.llm.words import mix, ngrams, u64, word_blocks
+from fleetspeed.llm.words import SMALL_BLOCK, mix, ngrams, u64, word_blocks
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def needed(join: Join, both: Column) -> Column:
 
 def document_sets(column: pa.Array, join: Join) -> Iterator[tuple[int, np.ndarray]]:
     """Row and distinct shingle hashes, sorted, of every text."""
-    for words in word_blocks(column):
+    for words in word_blocks(column, block=SMALL_BLOCK):
         grams, at = ngrams(words, join.shingle)
         bounds = np.searchsorted(at, words.first)
         for row in range(words.rows):

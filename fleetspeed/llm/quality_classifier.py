@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspeed.llm import common
-from fleetspeed.llm.words import Words, ngrams, shape_blocks, u64, word_blocks
+from fleetspeed.llm.words import SMALL_BLOCK, Words, ngrams, shape_blocks, u64, word_blocks
 
 HELD_OUT = 2
 THRESHOLD = 0.7
@@ -49,7 +49,9 @@ def held_out(doc_id: Column) -> Column:
 def _features(column: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, number of rows, row and weight index of every feature occurrence."""
     shift = u64(64 - bits)
-    for as_written, by_shape in zip(word_blocks(column, lower=False), shape_blocks(column), strict=True):
+    for as_written, by_shape in zip(
+        word_blocks(column, lower=False, block=SMALL_BLOCK), shape_blocks(column, SMALL_BLOCK), strict=True
+    ):
         rows, places = [], []
         for salt, words in ((0x51, as_written), (0xA7, by_shape)):
             owner = words.owner()

@@ -1,7 +1,8 @@
 """Words of Arrow text columns as NumPy arrays of 64-bit hashes, without a Python object a word.
 
 A text column is cut into blocks of about two megabytes, so the arrays stay small however many or
-long the texts are.  A word's hash depends on its bytes alone.
+long the texts are.  Words take arrays of some 90 bytes for each byte of a block, in every worker of an executor at once;
+callers that gain nothing from long blocks take ``SMALL_BLOCK``.  A word's hash depends on its bytes alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 21
+SMALL_BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,13 +35,14 @@ u64 = np.uint64
 _powers: dict[tuple[str, int], np.ndarray] = {}
 
 
-def power(kind: str) -> np.ndarray:
+def power(kind: str, block: int | None = None) -> np.ndarray:
     """Powers of the base, or of its inverse, for all places of a block."""
-    if (kind, BLOCK) not in _powers:
-        steps = np.full(BLOCK + 1, _BASE if kind == "up" else pow(_BASE, -1, 1 << 64), u64)
+    block = block or BLOCK
+    if (kind, block) not in _powers:
+        steps = np.full(block + 1, _BASE if kind == "up" else pow(_BASE, -1, 1 << 64), u64)
         steps[0] = 1
-        _powers[kind, BLOCK] = np.cumprod(steps)
-    return _powers[kind, BLOCK]
+        _powers[kind, block] = np.cumprod(steps)
+    return _powers[kind, block]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,14 +63,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, bytes and offsets (from 0) of consecutive rows of about ``BLOCK`` bytes."""
+def text_blocks(column: pa.Array, block: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and offsets (from 0) of consecutive rows of about ``block`` bytes, ``BLOCK`` if not given."""
+    block = block or BLOCK
     if not len(column):
         return
     data, offsets = text_bytes(column)
     row, n = 0, len(offsets) - 1
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + block, "right")) - 1)
         yield row, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 
@@ -88,19 +92,19 @@ class Words(NamedTuple):
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 
 
-def _word_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _word_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int) -> np.ndarray:
     out = np.empty(len(begin), u64)
-    up, down = power("up"), power("down")
+    up, down = power("up", block), power("down", block)
     at = 0
     while at < len(begin):
         low = begin[at]
-        stop = max(at + 1, int(np.searchsorted(end, low + BLOCK, "right")))
-        if end[at] - low > BLOCK:  # one word larger than a block
+        stop = max(at + 1, int(np.searchsorted(end, low + block, "right")))
+        if end[at] - low > block:  # one word larger than a block
             total, scale = 0, 1
-            for piece in range(low, end[at], BLOCK):
-                part = data[piece : min(piece + BLOCK, end[at])]
+            for piece in range(low, end[at], block):
+                part = data[piece : min(piece + block, end[at])]
                 total += scale * int(((part.astype(u64) + u64(1)) * up[: len(part)]).sum())
-                scale = scale * pow(_BASE, BLOCK, 1 << 64) % (1 << 64)
+                scale = scale * pow(_BASE, block, 1 << 64) % (1 << 64)
             out[at] = total % (1 << 64)
             at += 1
             continue
@@ -127,16 +131,16 @@ def _bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def word_blocks(column: pa.Array, kind: str = "spaced", lower: bool = True) -> Iterator[Words]:
-    for row, data, offsets in text_blocks(column):
+def word_blocks(column: pa.Array, kind: str = "spaced", lower: bool = True, block: int | None = None) -> Iterator[Words]:
+    for row, data, offsets in text_blocks(column, block):
         begin, end = _bounds(INSIDE[kind][data], offsets)
-        hashes = _word_hash(_LOWER[data] if lower else data, begin, end)
+        hashes = _word_hash(_LOWER[data] if lower else data, begin, end, block or BLOCK)
         yield Words(row, np.searchsorted(begin, offsets), hashes, begin, end)
 
 
-def shape_blocks(column: pa.Array) -> Iterator[Words]:
+def shape_blocks(column: pa.Array, block: int | None = None) -> Iterator[Words]:
     """Like ``word_blocks``, but a word's hash is that of its shape, such as ``Aa9`` for ``Tower77``."""
-    for row, data, offsets in text_blocks(column):
+    for row, data, offsets in text_blocks(column, block):
         inside = INSIDE["spaced"][data]
         begin, end = _bounds(inside, offsets)
         shape = _SHAPE[data]
@@ -145,7 +149,7 @@ def shape_blocks(column: pa.Array) -> Iterator[Words]:
         keep[begin] = True
         place = np.zeros(len(data) + 1, np.int64)
         np.cumsum(keep, out=place[1:])
-        hashes = _word_hash(shape[keep], place[begin], place[end])
+        hashes = _word_hash(shape[keep], place[begin], place[end], block or BLOCK)
         yield Words(row, np.searchsorted(begin, offsets), hashes, begin, end)
 
 

@@ -415,3 +415,30 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     assert whole == parts
     assert [len(x) for x in whole] == [len(words(t)) for t in texts.to_pylist()]
     assert not re.search("[A-Z]", "")
+
+
+def test_features_take_little_memory_and_do_not_depend_on_blocks(monkeypatch):
+    """Every worker of an executor makes them at once, whatever the size of a batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fleetspeed.llm import quality_classifier as q
+    from fleetspeed.llm import words as w
+
+    texts = pa.array([prose(k % 7, 600) for k in range(1500)] + ["x" * 600_000 + " y", None])
+
+    def features():
+        return np.concatenate([places for _, _, _, places in q._features(texts, 18)])
+
+    w.power("up"), w.power("down")
+    tracemalloc.start()
+    for _ in q._features(texts, 18):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000
+    small = np.sort(features())
+    monkeypatch.setattr(q, "SMALL_BLOCK", w.BLOCK)
+    assert np.array_equal(small, np.sort(features()))
