@@ -262,6 +262,28 @@ def test_carried_streams_equal_the_batch_forms(spark, derived, routes, landed, t
     same(read("segments"), trip_segments(quality.valid_datagrams(derived, all_routes)))
 
 
+def broadcasts(spark, run):
+    """How many plans that ran meanwhile, as adaptive execution left them, sent a table through the driver."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run().awaitTermination()
+    ended = store.executionsList()
+    ran = "".join(ended.apply(k).physicalPlanDescription() for k in range(before, ended.size()))
+    assert "SortMergeJoin" in ran
+    return ran.count("BroadcastExchange")
+
+
+def dated(seq):
+    return datagram(seq, 207, 1, datetime(2019, 5, 14, 6) + timedelta(seconds=50 * seq), 1, 1, seq % 2, event_type=9)
+
+
+def test_unrepeated_sends_no_rows_through_the_driver(spark, frame, tmp_path):
+    frame([dated(seq) for seq in range(1, 90)]).coalesce(1).write.parquet(f"{tmp_path}/landing")
+    paths = [f"{tmp_path}/{n}" for n in ("kept", "aside", "state", "checkpoint")]
+    stream = source(spark, f"{tmp_path}/landing")
+    assert broadcasts(spark, lambda: carried.publish_unrepeated(stream, *paths, horizon_s=100)) == 0
+
+
 @pytest.mark.parametrize("pieces", [1, 4])
 @pytest.mark.parametrize("slice_rows", [None, 7])
 def test_unrepeated_does_not_depend_on_the_cut(spark, frame, tmp_path, pieces, slice_rows):
