@@ -284,6 +284,13 @@ def test_unrepeated_sends_no_rows_through_the_driver(spark, frame, tmp_path):
     assert broadcasts(spark, lambda: carried.publish_unrepeated(stream, *paths, horizon_s=100)) == 0
 
 
+def test_throttle_sends_no_windows_through_the_driver(spark, frame, tmp_path):
+    frame([dated(seq) for seq in range(1, 90)]).coalesce(1).write.parquet(f"{tmp_path}/landing")
+    paths = [f"{tmp_path}/{n}" for n in ("windows", "aside", "state", "checkpoint")]
+    alerts = monitoring.critical_alerts(source(spark, f"{tmp_path}/landing").withColumn("zone_id", F.lit(1)))
+    assert broadcasts(spark, lambda: carried.publish_throttled_within(alerts, *paths, horizon_s=100)) == 0
+
+
 @pytest.mark.parametrize("pieces", [1, 4])
 @pytest.mark.parametrize("slice_rows", [None, 7])
 def test_unrepeated_does_not_depend_on_the_cut(spark, frame, tmp_path, pieces, slice_rows):
