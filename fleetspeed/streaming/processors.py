@@ -1,13 +1,14 @@
 """Keyed state: last odometer and last report of a bus, last accepted report of a trip.
 
 Each processor gets the rows of one key of one micro-batch as Arrow batches.  The landing
-sources bound a micro-batch by size, which bounds those rows too.  Rows are put in arrival
-order here because a shuffle does not keep it.
+sources bound a micro-batch by size, which bounds those rows too.  A shuffle does not keep the order of arrival, so
+the few columns that a state needs are put in that order here; the rows themselves are held once, as they came, and
+passed on batch by batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,30 @@ SECOND_US = 1_000_000
 TRIP_TTL_MS = 24 * 3600 * 1000
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values("seq", ignore_index=True)
+def _arrivals(frames: list[pd.DataFrame]) -> np.ndarray:
+    """Places of all rows in order of arrival."""
+    return np.argsort(np.concatenate([f["seq"].to_numpy() for f in frames]), kind="stable")
+
+
+def _column(frames: list[pd.DataFrame], name: str, order: np.ndarray) -> np.ndarray:
+    return np.concatenate([f[name].to_numpy() for f in frames])[order]
+
+
+def _back(found: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Values found in order of arrival, in the order of the rows."""
+    placed = np.empty_like(found)
+    placed[order] = found
+    return placed
+
+
+def _passed_on(frames: list[pd.DataFrame], columns: Callable[[slice], dict]) -> Iterator[pd.DataFrame]:
+    """Each batch with more columns, given by its place among all rows; a batch goes when it is passed on."""
+    at = 0
+    frames.reverse()
+    while frames:
+        frame = frames.pop()
+        yield frame.assign(**columns(slice(at, at + len(frame))))
+        at += len(frame)
 
 
 class OperationalState(StatefulProcessor):
@@ -40,21 +63,22 @@ class OperationalState(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows)
-        routine = frame["event_type"].isin(ROUTINE_EVENT_TYPES).to_numpy()
-        readings = frame["odometer"].to_numpy()[routine]
-        state = np.full(len(frame), CRITICAL, dtype=object)
+        frames = list(rows)
+        order = _arrivals(frames)
+        routine = np.concatenate([f["event_type"].isin(ROUTINE_EVENT_TYPES).to_numpy() for f in frames])[order]
+        readings = _column(frames, "odometer", order)[routine]
+        label = np.zeros(len(order), dtype=np.int8)
         if len(readings):
             same = np.empty(len(readings), dtype=bool)
             same[1:] = readings[1:] == readings[:-1]
             same[0] = self._odometer.exists() and self._odometer.get()[0] == readings[0]
-            state[routine] = np.where(same, STOPPED, EN_ROUTE)
+            label[routine] = np.where(same, 1, 2)
             if pd.isna(readings[-1]):
                 self._odometer.clear()
             else:
                 self._odometer.update((int(readings[-1]),))
-        frame["operational_state"] = state
-        yield frame
+        label, names = _back(label, order), np.array([CRITICAL, STOPPED, EN_ROUTE], dtype=object)
+        yield from _passed_on(frames, lambda part: {"operational_state": names[label[part]]})
 
     def close(self) -> None:
         pass
@@ -92,7 +116,8 @@ class SignalLoss(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = _in_order(rows)["ts_us"].to_numpy(dtype="int64")
+        needed = [f[["seq", "ts_us"]] for f in rows]
+        times = _column(needed, "ts_us", _arrivals(needed)).astype("int64", copy=False)
         reported = False
         if self._last.exists():
             last_us, reported = self._last.get()
@@ -145,24 +170,38 @@ class TripSegments(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows)
-        times = frame["ts_us"].to_numpy(dtype="int64")
+        frames = list(rows)
+        order = _arrivals(frames)
+        times, lat, lon = (_column(frames, n, order) for n in ("ts_us", "lat", "lon"))
+        times = times.astype("int64", copy=False)
         known = self._last.get() if self._last.exists() else None
         floor = known[0] if known else np.iinfo("int64").min
         newest = np.maximum.accumulate(np.concatenate([[floor], times[:-1]]))
         late = times <= newest
-        accepted = frame[~late]
-        before = accepted[["ts_us", "lat", "lon"]].shift(1)
-        if known and len(before):
-            before.iloc[0] = known
-        frame["late"] = late
-        for name in ("ts_us", "lat", "lon"):
-            frame[f"prev_{name}"] = before[name].reindex(frame.index)
-        frame["prev_ts_us"] = frame["prev_ts_us"].astype("Int64")
+        accepted = np.flatnonzero(~late)
+        # The place of the earlier end of each accepted report; the first one of them has its own.
+        has = np.zeros(len(order), dtype=bool)
+        has[accepted[0 if known else 1 :]] = True
+        before = {}
+        for n, (name, values) in enumerate((("ts_us", times), ("lat", lat), ("lon", lon))):
+            earlier = np.full(len(order), 0 if name == "ts_us" else np.nan, dtype=values.dtype)
+            earlier[accepted[1:]] = values[accepted[:-1]]
+            if known and len(accepted):
+                earlier[accepted[0]] = known[n]
+            before[name] = _back(earlier, order)
         if len(accepted):
-            end = accepted.iloc[-1]
-            self._last.update((int(end["ts_us"]), float(end["lat"]), float(end["lon"])))
-        yield frame
+            end = accepted[-1]
+            self._last.update((int(times[end]), float(lat[end]), float(lon[end])))
+        late, has = _back(late, order), _back(has, order)
+        yield from _passed_on(
+            frames,
+            lambda part: {
+                "late": late[part],
+                "prev_ts_us": pd.arrays.IntegerArray(before["ts_us"][part], ~has[part]),
+                "prev_lat": before["lat"][part],
+                "prev_lon": before["lon"][part],
+            },
+        )
 
     def close(self) -> None:
         pass

@@ -100,6 +100,52 @@ def test_segments_equal_the_batch_form(spark, derived, landed, tmp_path):
     same(result(spark, stream, str(tmp_path)), expected.select(*shown))
 
 
+def test_processors_hold_rows_once_and_pass_them_on_in_batches():
+    """A bus that owns a whole micro-batch: what its state takes beside its rows stays below their size."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from fleetspeed.streaming.processors import OperationalState
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    n, batch = 400_000, 10_000
+    mixed = np.random.default_rng(1).permutation(n)
+    wide = {f"c{k}": np.arange(n) for k in range(6)}
+    whole = pd.DataFrame({"seq": mixed, "event_type": np.where(mixed % 5 == 0, 9, 0), "odometer": mixed // 4, **wide})
+    batches = [whole.iloc[at : at + batch].copy() for at in range(0, n, batch)]
+    processor = OperationalState()
+    processor._odometer = Held()
+    tracemalloc.start()
+    counts = {}
+    for told in processor.handleInputRows((1,), iter(batches), None):
+        assert len(told) <= batch
+        for label, times in told["operational_state"].value_counts().items():
+            counts[label] = counts.get(label, 0) + times
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ordered = [(seq // 4, seq % 5 == 0) for seq in range(n)]
+    expected, last = {}, None
+    for odometer, exceptional in ordered:
+        label = "CRITICO" if exceptional else "PARADO" if odometer == last else "EN_RUTA"
+        expected[label] = expected.get(label, 0) + 1
+        last = last if exceptional else odometer
+    assert counts == expected and processor._odometer.value == ((n - 1) // 4,)
+    assert peak < whole.memory_usage(deep=True).sum()
+
+
 def test_signal_loss_equals_the_gap_list(spark, derived, landed, tmp_path):
     stream = vehicles.signal_loss_stream(monitoring.consumable(source(spark, landed)), live=False)
     drain(stream, str(tmp_path))
