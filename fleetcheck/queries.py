@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -672,14 +672,19 @@ def lake_bulk_then_stream(spark, sf):
 
 @query
 def live_chain(spark, sf):
-    """Raw lines to accepted datagrams in one stream, and from those to bus updates in the next."""
+    """Raw lines to accepted datagrams in one stream, and from those to bus updates in the next.
+
+    The states of the buses are carried as rows: keyed state would load and store one piece for every shuffle partition in
+    every micro-batch, and both grow with the input.
+    """
     folder, routes = work_folder(spark, "chain"), inputs.routes(spark, sf)
     stream = _landed_lines(spark, sf, f"{folder}/live", "true")
     paths = (f"{folder}/lake", f"{folder}/rejects", f"{folder}/checkpoint")
     ingest.ingest_lines(stream, routes, *paths, accepted=f"{folder}/accepted").awaitTermination()
     accepted = landing.stream_datagrams(spark, f"{folder}/accepted", files_per_trigger=1)
-    updates = vehicles.bus_update_stream(accepted, inputs.line_zones(spark, sf))
-    found = _drained(spark, updates.select("bus_id", "line_id", "operational_state"), "chain")
+    told = [f"{folder}/{n}" for n in ("updates", "states", "updates-checkpoint")]
+    carried.publish_states(accepted, inputs.line_zones(spark, sf), *told).awaitTermination()
+    found = spark.read.parquet(told[0])
     return found.groupBy("bus_id", "line_id", "operational_state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -749,24 +754,32 @@ def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.as_datagrams(raw)
 
 
+def _pieces(spark: SparkSession, rows: DataFrame, folder: str) -> Iterator[DataFrame]:
+    """Rows in consecutive pieces, each in arrival order and one task, to be landed as one file after another.
+
+    All rows are dealt by piece in one pass; a scan of the table for each piece would grow with its square.
+    """
+    low, high, n = rows.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    width = (high - low) // max(3, n // 200_000) + 1
+    dealt = rows.withColumn("piece", F.expr(f"(seq - {low}) div {width}"))
+    dealt.repartition("piece").write.partitionBy("piece").parquet(folder)
+    held = spark.read.schema(dealt.schema).parquet(folder)
+    for k in range((high - low) // width + 1):
+        yield held.where(F.col("piece") == k).drop("piece").coalesce(1).sortWithinPartitions("seq")
+
+
 def _landed_lines(spark: SparkSession, sf: str, folder: str, condition: str) -> DataFrame:
     """Lines of some rows, landed file after file in arrival order, as a stream of one file a micro-batch."""
     lines = inputs.datagram_lines(inputs.datagrams(spark, sf).where(condition))
-    low, high, n = lines.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
-    width = (high - low) // max(3, n // 200_000) + 1
-    for first in range(low, high + 1, width):
-        piece = lines.where(F.col("seq").between(first, first + width - 1))
-        piece.coalesce(1).sortWithinPartitions("seq").select("value").write.mode("append").text(folder)
+    for piece in _pieces(spark, lines, f"{folder}-dealt"):
+        piece.select("value").write.mode("append").text(folder)
     return landing.stream_lines(spark, folder, files_per_trigger=1)
 
 
 def _landed_datagrams(spark: SparkSession, sf: str, folder: str) -> DataFrame:
     """All datagrams, landed file after file in arrival order, as a stream of one file a micro-batch."""
-    rows = inputs.datagrams(spark, sf)
-    low, high, n = rows.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
-    width = (high - low) // max(3, n // 200_000) + 1
-    for first in range(low, high + 1, width):
-        rows.where(F.col("seq").between(first, first + width - 1)).coalesce(1).write.mode("append").parquet(folder)
+    for piece in _pieces(spark, inputs.datagrams(spark, sf), f"{folder}-dealt"):
+        piece.write.mode("append").parquet(folder)
     return landing.stream_datagrams(spark, folder, files_per_trigger=1)
 
 

@@ -27,16 +27,16 @@ def read_loads(spark: SparkSession, lake: str) -> DataFrame:
 
 def reserve(spark: SparkSession, lake: str, load: str, size: int) -> int:
     """First sequence number of a load of ``size`` numbers."""
-    loads = read_loads(spark, lake)
-    own = loads.where(F.col("load") == load).first()
+    own = F.when(F.col("load") == load, F.struct("first", "size"))
+    own, end = read_loads(spark, lake).agg(F.max(own), F.max(F.col("first") + F.col("size"))).first()
     if own:
         if own["size"] != size:
             raise ValueError(f"load {load} had {own['size']} numbers of input, now {size}")
         return own["first"]
-    first = loads.agg(F.max(F.col("first") + F.col("size"))).first()[0] or 0
+    first = end or 0
     if first + size >= 1 << 63:
         raise OverflowError("the sequence numbers of this lake are used up")
-    row = spark.createDataFrame([(load, first, size)], _SCHEMA)
+    row = spark.range(1).select(F.lit(load).alias("load"), F.lit(first).cast("long").alias("first"), F.lit(size).cast("long").alias("size"))
     row.coalesce(1).write.mode("append").parquet(f"{lake}/_loads")
     return first
 

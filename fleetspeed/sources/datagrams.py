@@ -42,9 +42,13 @@ def place_in_file(block_start: Column) -> Column:
     return block_start + index
 
 
-def numbers_of(files: DataFrame) -> int:
+def taken_numbers() -> Column:
     """How many numbers files of these sizes take."""
-    return files.agg(F.sum(F.col("size") + FILE_ROOM)).first()[0] or 0
+    return F.coalesce(F.sum(F.col("size") + FILE_ROOM), F.lit(0))
+
+
+def numbers_of(files: DataFrame) -> int:
+    return files.agg(taken_numbers()).first()[0]
 
 
 def starts_of(files: DataFrame, first: int, *order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from fleetspeed.schema import DATAGRAM_SCHEMA
 from fleetspeed.sinks.lake import write_lake
 from fleetspeed.sinks.live import write_batch
 from fleetspeed.sinks.loads import reserve
-from fleetspeed.sources.datagrams import numbers_of, parse_lines, place_in_file, starts_of
+from fleetspeed.sources.datagrams import parse_lines, place_in_file, starts_of, taken_numbers
 
 NOW = {"availableNow": True}  # run over what has landed, then stop
 
@@ -23,11 +23,14 @@ def batch_files(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("file_path").alias("path"), "file_time", F.col("file_size").alias("size")).distinct()
 
 
-def stamp_batch(lines: DataFrame, first: int) -> DataFrame:
+def stamp_batch(lines: DataFrame, first: int, files: int) -> DataFrame:
     """``seq`` from ``first`` for the lines of one micro-batch: files by landing time, lines in file order."""
-    starts = starts_of(batch_files(lines), first, "file_time", "path")
     # The rows of a micro-batch come straight from the scan, so they are still in file order.
-    placed = lines.select("value", F.col("file_path").alias("_path"), place_in_file(F.col("block_start")).alias("_place"))
+    place = place_in_file(F.col("block_start"))
+    if files == 1:  # it starts at the first number
+        return lines.select((F.lit(first) + place).alias("seq"), "value")
+    starts = starts_of(batch_files(lines), first, "file_time", "path")
+    placed = lines.select("value", F.col("file_path").alias("_path"), place.alias("_place"))
     return placed.join(starts, "_path").select((F.col("_start") + F.col("_place")).alias("seq"), "value")
 
 
@@ -56,7 +59,7 @@ def archive_batch(tagged: DataFrame, batch_id: int, lake: str, rejects: str, acc
     """
     tagged.persist()
     try:
-        write_lake(quality.accepted(tagged), lake, f"live-{batch_id}")
+        write_lake(quality.accepted(tagged), lake, f"live-{batch_id}", held=True)
         write_batch(quality.rejected(tagged), rejects, batch_id)
         if accepted:
             kept = quality.accepted(tagged).select(*DATAGRAM_SCHEMA.fieldNames())
@@ -101,8 +104,9 @@ def ingest_lines(
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        first = reserve(batch.sparkSession, lake, f"live-{batch_id}", numbers_of(batch_files(batch)))
-        parsed = parse_lines(stamp_batch(batch, first))
+        numbers, files = batch_files(batch).agg(taken_numbers(), F.count(F.lit(1))).first()
+        first = reserve(batch.sparkSession, lake, f"live-{batch_id}", numbers)
+        parsed = parse_lines(stamp_batch(batch, first, files))
         archive_batch(quality.with_reject_reason(parsed, routes), batch_id, lake, rejects, accepted)
 
     return _start(lines, sink, checkpoint, trigger)

@@ -2,15 +2,19 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import SMALL, datagram
 from pyspark.sql import functions as F
 
-from fleetcheck import inputs
+from fleetcheck import inputs, queries
 from fleetspeed.operators import monitoring, quality
 from fleetspeed.operators.segments import trip_segments
 from fleetspeed.schema import DATAGRAM_SCHEMA, Limits
+from fleetspeed.sinks import lake as lake_sink
+from fleetspeed.sinks.lake import write_lake
 from fleetspeed.sources import landing
 from fleetspeed.sources.datagrams import FILE_ROOM, to_line
 from fleetspeed.sources.lake import read_lake
@@ -214,6 +218,61 @@ def test_accepted_rows_are_passed_on_in_order(spark, derived, tmp_path, monkeypa
     same(result(spark, stream, folder), monitoring.bus_updates(accepted, inputs.line_zones(spark, SMALL)))
 
 
+def test_landing_reads_the_table_twice_however_many_files_it_makes(spark, derived, tmp_path, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    seen = derived.mapInArrow(counted, derived.schema)
+    monkeypatch.setattr(inputs, "datagrams", lambda *_: seen)
+    folder = tmp_path / "landed"
+    queries._landed_datagrams(spark, SMALL, str(folder))
+    assert read.value == 2 * 1000  # once for their number, once to deal them
+    pieces = [pq.read_table(f)["seq"].to_pylist() for f in sorted(folder.glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)]
+    assert len(pieces) == 3 and sum(pieces, []) == sorted(r["seq"] for r in derived.collect())
+
+
+def test_a_micro_batch_does_not_list_the_lake(spark, derived, tmp_path, monkeypatch):
+    folder, catalogue = str(tmp_path), inputs.routes(spark, SMALL)
+    tagged = quality.with_reject_reason(derived, catalogue)
+    write_lake(quality.accepted(tagged), f"{folder}/bulk")
+
+    def listing(*_):
+        raise AssertionError("looks for its files in the whole lake")
+
+    monkeypatch.setattr(lake_sink, "read_load", listing)
+    ingest.archive_batch(tagged, 0, f"{folder}/lake", f"{folder}/rejects")
+    months = spark.read.parquet(f"{folder}/lake/_trips").drop("load_id")
+    same(months, spark.read.parquet(f"{folder}/bulk/_trips").drop("load_id"))
+
+
+def test_the_chain_keeps_no_piece_of_state_for_every_shuffle_partition(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.glob("chain-*"))
+    assert queries.queries()["live_chain"](spark, SMALL).count() == 24
+    (made,) = {f for f in shared.glob("chain-*") if (f / "accepted").exists()} - before
+    # Where a query keeps state, its checkpoint has a folder for each partition, which every micro-batch loads and stores.
+    of_streams = {f for f in shared.glob("chain-*/**/state/0/*")} - {f for b in before for f in b.glob("**/state/0/*")}
+    assert made.exists() and not of_streams
+
+
+def test_the_only_file_of_a_micro_batch_needs_no_prefix_sums(spark, routes, tmp_path, monkeypatch):
+    (tmp_path / "lines").mkdir()
+    line = "0,14-MAY-19,604118,70,34512345,-765310987,391,207,31,7300125588,2019-05-14 06:00:00,42"
+    (tmp_path / "lines" / "a.csv").write_text(f"{line}\n{line}\n")
+
+    def sums(*_):
+        raise AssertionError("sums over one file")
+
+    monkeypatch.setattr(ingest, "starts_of", sums)
+    paths = [str(tmp_path / n) for n in ("lake", "rejects", "checkpoint")]
+    ingest.ingest_lines(landing.stream_lines(spark, str(tmp_path / "lines"), 1), routes, *paths).awaitTermination()
+    assert [r["seq"] for r in read_lake(spark, paths[0]).orderBy("seq").collect()] == [0, 1]
+
+
 def test_delivery_by_subscriber(spark, reports_of_buses, zones, subscriptions, tmp_path):  # noqa: F811
     folder = str(tmp_path)
     reports_of_buses.coalesce(1).write.parquet(f"{folder}/landing")
