@@ -370,10 +370,15 @@ def test_carried_streams_equal_the_batch_forms(spark, derived, routes, landed, t
 def broadcasts(spark, run):
     """How many plans that ran meanwhile, as adaptive execution left them, sent a table through the driver."""
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
+
+    def executions():
+        kept = store.executionsList()
+        return [kept.apply(k) for k in range(kept.size())]
+
+    # By number, as Spark keeps the last thousand only, so that their count stands still in a long session.
+    before = max((e.executionId() for e in executions()), default=-1)
     run().awaitTermination()
-    ended = store.executionsList()
-    ran = "".join(ended.apply(k).physicalPlanDescription() for k in range(before, ended.size()))
+    ran = "".join(e.physicalPlanDescription() for e in executions() if e.executionId() > before)
     assert "SortMergeJoin" in ran
     return ran.count("BroadcastExchange")
 
